@@ -37,10 +37,10 @@ LEAST_ROWS = 200
 #: Squared distance at which a row is rejected, after scaling so that the median
 #: is that of a chi-square variable; far beyond its tail, since texts of a source
 #: are no Gaussian sample and clean texts have to stay.
-CUT = 150.0
+CUT = 60.0
 #: Spread that every component is given beside its own: differences below it
 #: don't count as odd.
-FLOORS = (0.15, 0.02, 0.05, 0.05)
+FLOORS = (0.15, 0.03, 0.15, 0.15)
 SYMBOL = re.compile(r"[#*$%&|<>]")
 CHI2_MEDIAN = 3.357  # of 4 degrees of freedom
 VECTOR = ("v0", "v1", "v2", "v3")

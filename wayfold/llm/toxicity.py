@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,7 +38,9 @@ from wayfold.llm.common import slices, texts
 SAMPLE, SAMPLE_CHARS = 2500, 20_000
 SEGMENT = 64
 FEATURES = 50_000
-LEAST_ODDS, LEAST_TOXIC = 2.5, 4
+#: Log-odds of a feature that marks tokens, and the toxic documents it is in: so
+#: many, and this share of them.
+LEAST_ODDS, LEAST_TOXIC, LEAST_SHARE = 2.5, 4, 0.01
 STEPS, RATE, DECAY = 60, 0.5, 1e-4
 THRESHOLD = 0.7
 SPAN_LEAST = 0.5
@@ -162,11 +165,16 @@ def fit(found: list[str], labels: list[int]) -> Model:
         logit = math.log((share or 1e-9) / (1 - share)) if share < 1 else 30.0
         return Model({}, -6.0, np.zeros((2, 2)), np.array([max(logit, -30.0), 0, 0, 0]))
     split = [[w.lower() for w in TOKEN.findall(t)] for t in found]
+    # of near copies, which would make any of their words stand out, one is learnt from
+    first = {tuple(sorted({zlib.crc32(w.encode()) for w in ws})[:3]): i for i, ws in reversed(list(enumerate(split)))}
+    chosen = sorted(first.values())
+    found, split, labels = [found[i] for i in chosen], [split[i] for i in chosen], [labels[i] for i in chosen]
+    y = np.array(labels, np.float64)
     toxic, clean = Counter(), Counter()
     for words, label in zip(split, labels, strict=True):
         (toxic if label else clean).update({f for w in set(words) for f in features(w)})
     nt, nc = sum(labels), len(labels) - sum(labels)
-    odds = {f: math.log((k + 0.25) / (nt + 0.5)) - math.log((clean[f] + 0.25) / (nc + 0.5)) for f, k in toxic.items() if k >= LEAST_TOXIC}
+    odds = {f: math.log((k + 0.25) / (nt + 0.5)) - math.log((clean[f] + 0.25) / (nc + 0.5)) for f, k in toxic.items() if k >= max(LEAST_TOXIC, LEAST_SHARE * nt)}
     seeds = {f for f, o in odds.items() if o >= LEAST_ODDS}
     # features that the field may weigh: those of marked words first, then common ones
     common = Counter(toxic)
