@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import ship, shipped, slices, texts
+from wayfold.llm.pieces import splitter
 
 #: Words that a compiled lexicon holds at most; the others are merged exactly.
 LEXICON_WORDS = 65536
@@ -54,8 +55,6 @@ class Vocabulary:
     """Merges, ids and pre-tokeniser of a byte-level BPE file."""
 
     def __init__(self, path: str):
-        import public_tokenizers
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, symbols = spec["model"], byte_symbols()
@@ -73,7 +72,7 @@ class Vocabulary:
             self.table[v] = k
         for k, v in self.special.items():
             self.table[v] = k.encode()
-        self.piece = regex.compile(public_tokenizers.PATTERN)
+        self.piece = splitter()
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def merge(self, word: bytes) -> list[int]:
@@ -116,10 +115,10 @@ class Vocabulary:
     def pieces(self, text: str) -> list[str]:
         """Words of a text; special strings stand by themselves."""
         if self.split is None or not any(s in text for s in self.special):
-            return self.piece.findall(text)
+            return self.piece(text)
         out: list[str] = []
         for part in self.split.split(text):
-            out.extend([part] if part in self.special else self.piece.findall(part))
+            out.extend([part] if part in self.special else self.piece(part))
         return out
 
 

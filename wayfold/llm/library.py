@@ -6,10 +6,15 @@ remembered; texts that hold a special string go to it whole."""
 
 from __future__ import annotations
 
+import sys
+from array import array
+
 import numpy as np
-import regex
 
-MEMO_WORDS = 400_000
+from wayfold.llm.pieces import splitter
+
+#: Words remembered by a process, about 200 bytes each; beyond it all are dropped.
+MEMO_WORDS = 1_200_000
 
 
 class LibraryEncoder:
@@ -17,18 +22,17 @@ class LibraryEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = regex.compile(public_tokenizers.PATTERN).findall
+        self.pieces = splitter()
         self.memo: dict[str, bytes] = {}
 
     def _raw(self, encoding) -> bytes:
-        return np.array(encoding.ids, "<u4").tobytes()
+        return array("I", encoding.ids).tobytes() if sys.byteorder == "little" else np.array(encoding.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
