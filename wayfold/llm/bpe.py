@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import ship, shipped, slices, texts
+from wayfold.llm.common import ship, shipped, slices, stored, texts
 from wayfold.llm.pieces import splitter
 
 #: Words that a compiled lexicon holds at most; the others are merged exactly.
@@ -283,10 +283,19 @@ def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, tokenizer: str, words: int = LEXICON_WORDS) -> list[bytes]:
-    """The most frequent words of the corpus with two bytes at least, at most
-    `words` of them (ties by the word), sorted by their bytes."""
-    found = word_counts(docs, tokenizer).where((F.length("word") > 1) & (F.length("word") <= 64)).orderBy(F.desc("n"), "word").limit(words).collect()
-    return sorted(bytes(r["word"]) for r in found)
+    """The words of two bytes or more with the highest counts in the corpus,
+    sorted by their bytes: all that occur at least t times, for the smallest t
+    (two or more) that leaves at most `words` of them. t comes from the histogram
+    of counts, so no task or driver sorts or holds more than these words."""
+    counts = stored(word_counts(docs, tokenizer).where((F.col("n") > 1) & F.length("word").between(2, 64)))
+    # numbers of words by count; counts beyond `words` are too few to matter apart
+    bins = counts.groupBy(F.least("n", F.lit(words)).alias("n")).agg(F.count("*").alias("k")).collect()
+    least, held = words + 1, 0
+    for r in sorted(bins, key=lambda r: -r["n"]):
+        if held + r["k"] > words:
+            break
+        least, held = r["n"], held + r["k"]
+    return sorted(bytes(r["word"]) for r in counts.where(F.col("n") >= least).select("word").collect())
 
 
 def compile_lexicon(docs: DataFrame, tokenizer: str, words: int = LEXICON_WORDS) -> str:
@@ -294,7 +303,7 @@ def compile_lexicon(docs: DataFrame, tokenizer: str, words: int = LEXICON_WORDS)
     v = vocabulary(tokenizer)
     chosen = [w for w in frequent_words(docs, tokenizer, words) if w.decode("utf-8", "replace") not in v.special]
     data = Lexicon.compile((w, v.merge(w)) for w in chosen)
-    return ship(docs.sparkSession, f"lexicon-{hashlib.sha256(data).hexdigest()[:16]}.bin", data)
+    return ship(docs.sparkSession, "lexicon.bin", data)
 
 
 def encode(docs: DataFrame, tokenizer: str, lexicon: str | None = None) -> DataFrame:

@@ -50,6 +50,7 @@ def stored(df: DataFrame, keep_codec: str = "snappy") -> DataFrame:
 def ship(spark: SparkSession, name: str, data: bytes) -> str:
     """Write a small file to the shared folder and hand it to every executor,
     also to those that join later; returns the name for shipped()."""
+    name = f"{uuid.uuid4().hex}-{name}"  # an application's file names are distinct
     path = f"{shared_folder(spark)}/{name}"
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

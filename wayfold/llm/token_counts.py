@@ -18,7 +18,6 @@ as one token each, as the tokenizers library does by default.
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections.abc import Iterator
 
@@ -255,7 +254,7 @@ def compile_counter(docs: DataFrame, tokenizer: str, words: int = COUNTER_WORDS)
     chosen = [w.decode() for w in frequent_words(docs, tokenizer, words)]
     made = Counter.compile([w for w in chosen if w not in v.special], v)
     data = pickle.dumps((made.next, made.adds, made.final, made.symbol))
-    return ship(docs.sparkSession, f"counter-{hashlib.sha256(data).hexdigest()[:16]}.bin", data)
+    return ship(docs.sparkSession, "counter.bin", data)
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, transducer: str | None = None) -> DataFrame:
