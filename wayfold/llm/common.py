@@ -10,6 +10,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.operators.tables import shared_folder, stored  # noqa: F401
+
 #: A word is a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -27,26 +29,6 @@ def texts(docs: DataFrame, *others: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *others, F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared checkpoint folder."""
-    sc = spark.sparkContext
-    top = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not top:
-        got = sc._jsc.sc().getCheckpointDir()
-        top = got.get() if got.isDefined() else None
-    if not top:
-        top = "/tmp/checkpoints/wayfold"  # only where no folder is named, as in tests
-    return f"{top.rstrip('/')}/wayfold-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, keep_codec: str = "snappy") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, and the
-    table outlives any executor."""
-    spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    df.write.option("compression", keep_codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ship(spark: SparkSession, name: str, data: bytes) -> str:
     """Write a small file to the shared folder and hand it to every executor,
     also to those that join later; returns the name for shipped()."""

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import WORD, slices, stored, texts
-from wayfold.llm.components import connected, join_hot
+from wayfold.operators.components import connected, join_hot
 
 #: Ratio of neighbouring bounds of set sizes.
 RATIO = 1.35
