@@ -35,7 +35,7 @@ from wayfold.llm.common import slices, texts
 
 #: Labelled documents of each class that the field is fitted on at most, and
 #: characters of each at most: longer ones are not in the sample.
-SAMPLE, SAMPLE_CHARS = 2500, 20_000
+SAMPLE, SAMPLE_CHARS = 2000, 10_000
 SEGMENT = 64
 FEATURES = 50_000
 #: Log-odds of a feature that marks tokens, and the toxic documents it is in: so
@@ -244,13 +244,20 @@ def held_out():
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model of at most SAMPLE labelled documents of each class, none of them
-    held out, chosen by a hash of their ids."""
-    known = labels.where("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    own = texts(docs).join(known, "doc_id").where(~held_out() & (F.length("text") <= SAMPLE_CHARS))
-    found = [own.where(F.col("toxic") == k).select("text", "toxic", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect() for k in (0, 1)]
-    rows = [r for part in found for r in part]
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    """A model of about SAMPLE labelled documents of each class, none of them
+    held out. They are chosen from the labels alone, by a hash of their ids, so
+    no text is moved but theirs: each class's share is such that 1.5 times
+    SAMPLE are expected, and no more than twice SAMPLE are taken."""
+    known = labels.where("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") != 0).cast("int").alias("toxic")).where(~held_out())
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    found: list[tuple[int, str, int]] = []
+    for label, n in sorted(counts.items()):
+        chosen = known.where((F.col("toxic") == label) & (place < 1.5 * SAMPLE / n)).limit(2 * SAMPLE).dropDuplicates(["doc_id"])
+        own = texts(docs).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(chosen), "doc_id")  # twice SAMPLE rows at most
+        found += [(r["doc_id"], r["text"], label) for r in own.select("doc_id", "text").collect()]
+    found.sort()
+    return fit([t for _, t, _ in found], [label for *_, label in found])
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD, offsets: bool = False) -> DataFrame:
