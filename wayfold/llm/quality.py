@@ -5,7 +5,7 @@ half of the words stand in repeated 3-word windows, fails. For the others a
 vector of transformed statistics is held against a minimum-covariance-determinant
 estimate of its language and source: the mean and scatter of those `SHARE` of
 the group's rows that lie closest together. The estimate is found by
-concentration steps over all rows: from a robust start (medians and quartiles
+concentration steps over all rows, for all groups at once: from a robust start (medians and quartiles
 by component), each step computes distances, takes the rows under the group's
 quantile, and re-estimates from their sums, which tasks add up before they
 shuffle. A row whose squared Mahalanobis distance is beyond CUT is rejected.
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import WORD, slices, stored, texts
+from wayfold.operators.components import join_hot
 
 LEAST_WORDS = 50
 SHARE = 0.75
@@ -92,13 +93,16 @@ def vectors(stats: DataFrame) -> DataFrame:
     return stats.withColumns({"v0": F.log(chars / n), "v1": F.sqrt(F.col("n_symbols") / chars), "v2": F.sqrt(F.col("n_repeat_words") / n), "v3": F.sqrt(F.col("n_dup_lines") / F.col("n_lines"))})
 
 
-LEVELS = (("lang", "source"), ("lang",), ())
+OVERALL = "all"
+_PAIRS = [(i, j) for i in range(4) for j in range(i, 4)]
+PARAMETERS = [*(f"m{i}" for i in range(4)), *(f"i{i}{j}" for i, j in _PAIRS)]
+_ESTIMATE = "g string, n long, " + ", ".join(f"{c} double" for c in PARAMETERS)
 
 
-def _distance(prefix: str):
+def _distance():
     """Squared distance from inverse scatter entries i00.. and means m0.."""
-    d = [F.col(v) - F.col(f"{prefix}m{i}") for i, v in enumerate(VECTOR)]
-    terms = [d[i] * d[j] * F.col(f"{prefix}i{i}{j}") * F.lit(1.0 if i == j else 2.0) for i in range(4) for j in range(i, 4)]
+    d = [F.col(v) - F.col(f"m{i}") for i, v in enumerate(VECTOR)]
+    terms = [d[i] * d[j] * F.col(f"i{i}{j}") * F.lit(1.0 if i == j else 2.0) for i, j in _PAIRS]
     return sum(terms[1:], terms[0])
 
 
@@ -106,64 +110,56 @@ def _estimate(rows: pd.DataFrame) -> pd.DataFrame:
     """Means and inverse scatter from sums, a row for each group."""
     out = []
     for r in rows.to_dict("records"):
-        n = r["n"]
+        n = r["inside"]
         mean = np.array([r[f"s{i}"] / n for i in range(4)])
         scatter = np.array([[r[f"p{min(i, j)}{max(i, j)}"] / n - mean[i] * mean[j] for j in range(4)] for i in range(4)])
         inverse = np.linalg.inv(scatter + np.diag(np.square(FLOORS)))
-        out.append({"lang": r["lang"], "source": r["source"], "n": n} | {f"m{i}": mean[i] for i in range(4)} | {f"i{i}{j}": inverse[i, j] for i in range(4) for j in range(i, 4)})
+        out.append({"g": r["g"], "n": r["n"]} | {f"m{i}": mean[i] for i in range(4)} | {f"i{i}{j}": inverse[i, j] for i, j in _PAIRS})
     return pd.DataFrame(out)
 
 
-PARAMETERS = ["lang", "source", "n", *(f"m{i}" for i in range(4)), *(f"i{i}{j}" for i in range(4) for j in range(i, 4))]
-_PARAMETER_TYPES = "lang string, source string, n long, " + ", ".join(f"{c} double" for c in PARAMETERS[3:])
+def keyed(rows: DataFrame) -> DataFrame:
+    """rows with k0, its language and source, and k1, its language, as text."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.regexp_replace(c, "/", "//")), F.lit("null"))
+    return rows.withColumns({"k0": F.concat(part("lang"), F.lit("/."), part("source")), "k1": part("lang")})
 
 
-def _groups(rows: DataFrame, level: tuple[str, ...]) -> DataFrame:
-    """rows with key columns lang and source, null-safe, '' beyond the level."""
-    return rows.withColumns({f"g_{c}": F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null")) if c in level else F.lit("all") for c in ("lang", "source")})
-
-
-def estimates(rows: DataFrame, level: tuple[str, ...], share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """The estimate of each group of a level, with scale: the factor that brings
-    the median squared distance to that of a chi-square variable."""
-    own = _groups(rows, level).select("g_lang", "g_source", *VECTOR)
-    keys = ["g_lang", "g_source"]
+def estimates(rows: DataFrame, total: int, share: float = SHARE, steps: int = STEPS) -> DataFrame:
+    """rows: a stored table with k0, k1 and the vector. The estimate of every
+    group of LEAST_ROWS rows by language and source, by language, and of all:
+    g, n (rows), means, inverse scatter, and scale: the factor that brings the
+    median squared distance down to that of a chi-square variable."""
+    own = rows.select(F.explode(F.array("k0", "k1", F.lit(OVERALL))).alias("g"), *VECTOR)
     q = [F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i, v in enumerate(VECTOR)]
-    start = own.groupBy(keys).agg(F.count("*").alias("n"), *q)
+    start = own.groupBy("g").agg(F.count("*").alias("n"), *q).where(F.col("n") >= LEAST_ROWS)
     wide = {f"m{i}": F.col(f"q{i}")[1] for i in range(4)}
     for i in range(4):
         spread = (F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349
         wide |= {f"i{i}{j}": (1 / (spread * spread + F.lit(FLOORS[i] ** 2)) if i == j else F.lit(0.0)) for j in range(i, 4)}
-    now = start.select(F.col("g_lang").alias("lang"), F.col("g_source").alias("source"), "n", *(c.cast("double").alias(k) for k, c in wide.items()))
-
-    def measured(table: DataFrame) -> DataFrame:
-        p = table.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *PARAMETERS[3:])
-        return own.join(p, keys).withColumn("d", _distance("")).select(*keys, *VECTOR, "d")
-
+    now = stored(start.select("g", "n", *(wide[c].cast("double").alias(c) for c in PARAMETERS)))
+    at = lambda table, *more: join_hot(own, table, "g", 3 * total).withColumn("d", _distance()).select("g", "n", *VECTOR, "d", *more)
     for _ in range(steps):
-        now = stored(now)
-        seen = measured(now)
-        edge = seen.groupBy(keys).agg(F.percentile_approx("d", share, 1000).alias("edge"))
-        inside = seen.join(edge, keys).where("d <= edge")
-        sums = inside.groupBy(keys).agg(F.count("*").alias("n"), *(F.sum(v).alias(f"s{i}") for i, v in enumerate(VECTOR)), *(F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"p{i}{j}") for i in range(4) for j in range(i, 4)))
-        now = sums.withColumnsRenamed({"g_lang": "lang", "g_source": "source"}).mapInPandas(lambda parts: (_estimate(p) for p in parts if len(p)), _PARAMETER_TYPES)
-    now = stored(now)
-    scale = measured(now).groupBy(keys).agg(F.percentile_approx("d", 0.5, 1000).alias("median"), F.count("*").alias("rows"))
-    return now.join(scale, [now["lang"] == scale["g_lang"], now["source"] == scale["g_source"]]).select(*PARAMETERS, (F.lit(CHI2_MEDIAN) / F.greatest("median", F.lit(CHI2_MEDIAN))).alias("scale"), "rows")
+        edge = at(now).groupBy("g").agg(F.percentile_approx("d", share, 1000).alias("edge"))
+        inside = at(stored(now.join(edge, "g")), "edge").where("d <= edge")
+        sums = inside.groupBy("g").agg(F.first("n").alias("n"), F.count("*").alias("inside"), *(F.sum(v).alias(f"s{i}") for i, v in enumerate(VECTOR)), *(F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"p{i}{j}") for i, j in _PAIRS))
+        now = stored(sums.mapInPandas(lambda parts: (_estimate(p) for p in parts if len(p)), _ESTIMATE))
+    median = at(now).groupBy("g").agg(F.percentile_approx("d", 0.5, 1000).alias("median"))
+    return now.join(median, "g").select("g", "n", *PARAMETERS, (F.lit(CHI2_MEDIAN) / F.greatest("median", F.lit(CHI2_MEDIAN))).alias("scale"))
 
 
 def quality(docs: DataFrame, cut: float = CUT) -> DataFrame:
-    """doc_id, the statistics, base_failed, distance (of the finest group with
-    LEAST_ROWS rows; null where base_failed) and kept."""
+    """doc_id, the statistics, base_failed, distance (from the finest group with
+    LEAST_ROWS rows; null where there is none or base_failed) and kept."""
     base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = stored(vectors(statistics(docs)).withColumn("base_failed", base))
-    sound = rows.where("not base_failed")
-    out, distance = rows, F.lit(None).cast("double")
-    for k, level in enumerate(reversed(LEVELS)):  # the finest that applies is put on last
-        found = estimates(sound, level).where(F.col("rows") >= LEAST_ROWS)
-        renamed = found.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *(F.col(c).alias(f"e{k}_{c}") for c in (*PARAMETERS[3:], "scale")))
-        out = _groups(out, level).join(renamed, ["g_lang", "g_source"], "left").drop("g_lang", "g_source")
-        distance = F.coalesce(_distance(f"e{k}_") * F.col(f"e{k}_scale"), distance)
-    out = out.withColumn("distance", F.when(~F.col("base_failed"), distance))
+    rows = stored(keyed(vectors(statistics(docs))).withColumn("base_failed", base))
+    found = stored(estimates(rows.where("not base_failed"), rows.count()))
+    names = [*PARAMETERS, "scale"]
+    overall = found.where(F.col("g") == OVERALL).first()  # one row
+    of = lambda k: found.select(F.col("g").alias(k), F.struct(*names).alias(f"at_{k}"))
+    rest = F.struct(*(F.lit(overall[c] if overall else None).cast("double").alias(c) for c in names))
+    groups = rows.groupBy("k0", "k1").agg(F.count("*").alias("n"))
+    groups = groups.join(of("k0"), "k0", "left").join(of("k1"), "k1", "left").withColumn("e", F.coalesce("at_k0", "at_k1", rest)).select("k0", "n", "e.*")
+    out = join_hot(rows, stored(groups), "k0", rows.count())
+    out = out.withColumn("distance", F.when(~F.col("base_failed"), _distance() * F.col("scale")))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
