@@ -36,17 +36,27 @@ class LibraryEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        whole = [any(s in t for s in self.special) for t in texts]
-        words = [[] if w else self.pieces(t) for t, w in zip(texts, whole, strict=True)]
-        memo = self.memo
+        memo, special = self.memo, self.special
         if len(memo) > MEMO_WORDS:
             memo.clear()
-        new = {w for ws in words for w in ws if w not in memo}
+        found: list[list[bytes | None]] = []
+        gaps: list[tuple[list[bytes | None], list[str], list[int]]] = []
+        for text in texts:
+            if any(s in text for s in special):
+                found.append([self._raw(self.tokenizer.encode(text, add_special_tokens=False))])
+                continue
+            words = self.pieces(text)
+            ids = list(map(memo.get, words))
+            if None in ids:
+                gaps.append((ids, words, [i for i, x in enumerate(ids) if x is None]))
+            found.append(ids)
+        new = list({words[i] for _, words, at in gaps for i in at})
         if new:
-            new = list(new)
             memo.update(zip(new, map(self._raw, self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
-        get = memo.__getitem__
-        return [self._raw(self.tokenizer.encode(t, add_special_tokens=False)) if w else b"".join(map(get, ws)) for t, w, ws in zip(texts, whole, words, strict=True)]
+            for ids, words, at in gaps:
+                for i in at:
+                    ids[i] = memo[words[i]]
+        return [b"".join(ids) for ids in found]
 
 
 _workers: dict[str, LibraryEncoder] = {}

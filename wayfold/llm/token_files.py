@@ -96,13 +96,17 @@ class Code:
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ids) else 0
         start = ends - size
+        # codes have 16 bits at most, so each lies in two neighbouring 32-bit words
         word, room = start >> 5, 64 - (start & 31) - size
         held = self.codes[ids] << room.astype(np.uint64)
-        n = (total >> 5) + 2
-        # codes share no bit, so sums stand for bitwise or; each half stays below 2^32
-        high = np.bincount(word, (held >> np.uint64(32)).astype(np.float64), n)
-        low = np.bincount(word + 1, (held & np.uint64(0xFFFFFFFF)).astype(np.float64), n)
-        payload = (high + low).astype(np.uint64).astype(">u4").tobytes()[: -(-total // 8)]
+        out = np.zeros((total >> 5) + 2, np.uint64)
+        if len(ids):
+            first = np.flatnonzero(np.diff(word, prepend=-1))  # every word up to the last has a code that starts in it
+            both = np.bitwise_or.reduceat(held, first)
+            at = word[first]
+            out[at] |= both >> np.uint64(32)
+            out[at + 1] |= both & np.uint64(0xFFFFFFFF)
+        payload = out.astype(">u4").tobytes()[: -(-total // 8)]
         marks = np.append(start[::RUN], total)
         return payload, np.diff(marks).astype("<u2").tobytes()
 
@@ -173,22 +177,24 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, end_id: int | None =
 
         code, part = Code(shared.value), TaskContext.get().partitionId()
         ids: list[bytes] = []
-        docs_, held, block = [], 0, 0
+        docs_, held, block, width = [], 0, 0, np.dtype(kind).itemsize
 
         def out() -> pa.RecordBatch:
             nonlocal ids, docs_, held, block
-            payload, runs = code.encode(np.frombuffer(b"".join(ids), kind).astype(np.int64))
-            row = [[part], [block], [np.array(docs_, "<i8").tobytes()], [np.array([len(x) // np.dtype(kind).itemsize for x in ids], "<i8").tobytes()], [payload], [runs]]
+            payload, runs = code.encode(np.frombuffer(b"".join(ids), kind))
+            row = [[part], [block], [np.array(docs_, "<i8").tobytes()], [np.array([len(x) // width for x in ids], "<i8").tobytes()], [payload], [runs]]
             ids, docs_, held, block = [], [], 0, block + 1
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "block", "doc_ids", "sizes", "payload", "runs"])
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                docs_.append(batch.column("doc_id")[i].as_py())
-                ids.append(batch.column("ids")[i].as_py())
-                held += len(ids[-1]) // np.dtype(kind).itemsize
-                if held >= BLOCK_IDS:
-                    yield out()
+            for i in range(0, batch.num_rows, 256):
+                part_ = batch.slice(i, 256)
+                for doc_id, raw_ in zip(part_.column("doc_id").to_pylist(), part_.column("ids").to_pylist(), strict=True):
+                    docs_.append(doc_id)
+                    ids.append(raw_)
+                    held += len(raw_) // width
+                    if held >= BLOCK_IDS:
+                        yield out()
         if docs_:
             yield out()
 
