@@ -18,7 +18,7 @@ MEMO_WORDS = 1_200_000
 
 
 class LibraryEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, narrow: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -27,15 +27,18 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        #: bytes of an id: 4, or 2 if narrow ids are asked for and fit
+        self.width = 2 if narrow and self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self._code = ("H" if self.width == 2 else "I") if sys.byteorder == "little" else None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = splitter()
         self.memo: dict[str, bytes] = {}
 
     def _raw(self, encoding) -> bytes:
-        return array("I", encoding.ids).tobytes() if sys.byteorder == "little" else np.array(encoding.ids, "<u4").tobytes()
+        return array(self._code, encoding.ids).tobytes() if self._code else np.array(encoding.ids, f"<u{self.width}").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        """Ids of each text as little-endian unsigned integers of `width` bytes."""
         memo, special = self.memo, self.special
         if len(memo) > MEMO_WORDS:
             memo.clear()
@@ -59,11 +62,12 @@ class LibraryEncoder:
         return [b"".join(ids) for ids in found]
 
 
-_workers: dict[str, LibraryEncoder] = {}
+_workers: dict[tuple[str, bool], LibraryEncoder] = {}
 
 
-def library_encoder(path: str) -> LibraryEncoder:
+def library_encoder(path: str, narrow: bool = False) -> LibraryEncoder:
     """The encoder of this process."""
-    if path not in _workers:
-        _workers[path] = LibraryEncoder(path)
-    return _workers[path]
+    if (path, narrow) not in _workers:
+        _workers.clear()
+        _workers[path, narrow] = LibraryEncoder(path, narrow)
+    return _workers[path, narrow]

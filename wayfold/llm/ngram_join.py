@@ -7,10 +7,13 @@ at least `percent` / 100. The join is exact (up to collisions of 64-bit hashes):
 1. Equal sets become one class, whose smallest doc_id stands for it.
 2. Two linked sets of n and m shingles differ in at most (n + m) * (100 -
    percent) / (100 + percent) of them. Each set is cut into more ranges of the
-   order than that, so linked sets have a range in common. Ranges that hold the
-   same shingles give the same signature; sets that share signatures, directly
-   or through others, form a family. Signatures are counted as (signature,
-   class), after copies are gone.
+   order than that, a quarter more, so linked sets have many ranges in common.
+   Ranges that hold the same shingles give the same signature. Signatures are
+   ordered, those that no other set has first, then rare ones, and of each set
+   as many are looked at, in that order, as a linked set may lack, and one more
+   (prefix filtering): linked sets have one of these in common, and most sets,
+   whose signatures are mostly their own, are done with. Sets that share such
+   signatures, directly or through others, form a family.
 3. The sets of a family meet in blocks: a family of many sets is cut into g
    blocks, and every pair of blocks is one group of rows, so no task holds more
    than two blocks. In a group the sets of one block are stored in a trie. Each
@@ -41,9 +44,12 @@ from wayfold.operators.components import connected, join_hot
 
 #: Ratio of neighbouring bounds of set sizes.
 RATIO = 1.35
-#: Identical ranges that two linked sets have at least; sets with fewer empty
-#: ranges than this give no signature for those.
+#: Identical ranges that two linked sets have at least (and a quarter of those
+#: that may differ); sets with fewer empty ranges than this give no signature
+#: for empty ones.
 SPARE = 4
+#: A signature is rare in fewer classes than this.
+RARE = 17
 #: Sets, and shingles in all, of a block, about.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
 #: Bits of the fixed-size filters that tasks hold (2 MB). A filter that is full
@@ -94,13 +100,15 @@ def size_bounds(limit: int = 1 << 40) -> np.ndarray:
 _BOUNDS = size_bounds()
 
 
-def signatures(shingles: np.ndarray, percent: int = 90) -> np.ndarray:
+def signatures(shingles: np.ndarray, percent: int = 90) -> list[tuple[int, np.ndarray]]:
     """Signatures of one set, for its own class of sizes and, where a smaller
-    set of the class below may link with it, for that."""
-    n = len(shingles)
+    set of the class below may link with it, for that; with each the number that
+    is to be looked at. A signature for empty ranges, where there are many,
+    stands by itself."""
+    n, out = len(shingles), []
     if not n:
-        return np.zeros(0, np.uint64)
-    own, out = int(np.searchsorted(_BOUNDS, n, "right")) - 1, []
+        return out
+    own = int(np.searchsorted(_BOUNDS, n, "right")) - 1
     for c in (own, own - 1):
         if c < 0 or (c < own and percent * n > 100 * (int(_BOUNDS[own]) - 1)):
             continue
@@ -108,14 +116,16 @@ def signatures(shingles: np.ndarray, percent: int = 90) -> np.ndarray:
         differ = largest * (100 - percent) // percent
         if differ == 0:
             continue  # linked sets are equal
-        ranges = differ + SPARE
+        spare = max(SPARE, differ // 4)
+        ranges = differ + spare
         at = ((shingles >> _S32) * np.uint64(ranges)) >> _S32
         first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
         held = np.add.reduceat(_mix(shingles + np.uint64(c)), first)
-        out.append(_mix(held + at[first] * _GOLD + np.uint64(c)))
-        if ranges - len(first) >= SPARE:
-            out.append(_mix(np.array([c], np.uint64)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        # of these, at most `differ` are missing in a linked set, or stand against its empty ranges
+        out.append((differ + 1, _mix(held + at[first] * _GOLD + np.uint64(c))))
+        if ranges - len(first) >= spare:
+            out.append((1, _mix(np.array([c], np.uint64))))
+    return out
 
 
 def needed(n: int, m: int, percent: int) -> int:
@@ -217,7 +227,8 @@ def _held(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (64-bit hash of the set), signatures."""
+    """doc_id, n_shingles, set_id (64-bit hash of the set), signatures, and
+    groups: how many signatures each group has and how many are looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,13 +236,18 @@ def fingerprints(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 part = batch.slice(at, n)
                 sets = [shingle_set(t, words) for t in part.column("text").to_pylist()]
                 ids = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array([signatures(s, percent).tobytes() for s in sets], pa.binary())], ["doc_id", "n_shingles", "set_id", "signatures"])
+                found = [signatures(s, percent) for s in sets]
+                held = [b"".join(h.tobytes() for _, h in g) for g in found]
+                groups = [np.array([(len(h), k) for k, h in g], "<i4").tobytes() for g in found]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array(held, pa.binary()), pa.array(groups, pa.binary())], ["doc_id", "n_shingles", "set_id", "signatures", "groups"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_id long, signatures binary")
+    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_id long, signatures binary, groups binary")
 
 
-def _exploded(prints: DataFrame, bitmap=None) -> DataFrame:
-    """(h, set_id) for every signature that the bitmap holds."""
+def _exploded(prints: DataFrame, bitmaps=None) -> DataFrame:
+    """(h, set_id) for every signature; with bitmaps (of those that several sets
+    have, and of those that many have), for the ones to be looked at that the
+    first bitmap holds. The order is by bitmaps, then by value, for all sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,21 +256,28 @@ def _exploded(prints: DataFrame, bitmap=None) -> DataFrame:
                 raw = part.column("signatures").to_pylist()
                 h = np.frombuffer(b"".join(raw), np.int64)
                 own = np.repeat(part.column("set_id").to_numpy(), [len(x) // 8 for x in raw])
-                if bitmap is not None:
-                    keep = _held(bitmap.value, h)
+                if bitmaps is not None and len(h):
+                    several, many = (_held(b, h) for b in bitmaps.value)
+                    size, look = np.frombuffer(b"".join(part.column("groups").to_pylist()), "<i4").reshape(-1, 2).T
+                    group = np.repeat(np.arange(len(size)), size)
+                    order = np.lexsort((h, several.astype(np.int8) + (several & many), group))
+                    place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+                    keep = order[(place < np.repeat(look, size)) & several[order]]
                     h, own = h[keep], own[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(own)], ["h", "set_id"])
 
-    return prints.select("set_id", "signatures").mapInArrow(run, "h long, set_id long")
+    return prints.select("set_id", "signatures", "groups").mapInArrow(run, "h long, set_id long")
 
 
 def families(prints: DataFrame) -> DataFrame:
-    """(set_id, family) of the sets that share a signature with another."""
+    """(set_id, family) of the sets that share a looked-at signature with another."""
     spark = prints.sparkSession
-    shared = stored(_exploded(prints).groupBy("h").agg(F.min("set_id").alias("first"), F.max("set_id").alias("last")).where("first <> last").select("h", "first"))
-    bitmap = spark.sparkContext.broadcast(_bitmap(shared))
-    members = _exploded(prints, bitmap).distinct()  # copies of a set go before the join
-    edges = members.join(shared.hint("merge"), "h").select(F.col("set_id").alias("a"), F.col("first").alias("b"))
+    # of copies of a set, and of a set's two groups, a signature counts once if it is all there is
+    shared = stored(_exploded(prints).groupBy("h").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b"), F.count("*").alias("n")).where("a <> b").select("h", "n"))
+    bitmaps = spark.sparkContext.broadcast((_bitmap(shared), _bitmap(shared.where(F.col("n") >= RARE))))
+    members = stored(_exploded(prints, bitmaps).distinct())  # copies of a set go before the join
+    stars = members.groupBy("h").agg(F.min("set_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    edges = join_hot(members, stars, "h", members.count()).select(F.col("set_id").alias("a"), F.col("first").alias("b"))
     return connected(edges).select(F.col("node").alias("set_id"), F.col("component").alias("family"))
 
 

@@ -67,28 +67,27 @@ def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
     return out
 
 
-def canonical_codes(lengths: np.ndarray) -> np.ndarray:
-    """Codes in order of (length, id)."""
-    codes = np.zeros(len(lengths), np.uint32)
+def canonical_order(lengths: np.ndarray) -> np.ndarray:
+    """Ids with a code, in order of (length, id)."""
     used = np.flatnonzero(lengths)
-    code = before = 0
-    for i in used[np.lexsort((used, lengths[used]))].tolist():
-        code <<= int(lengths[i]) - before
-        before = int(lengths[i])
-        codes[i] = code
-        code += 1
-    return codes
+    return used[np.lexsort((used, lengths[used]))]
 
 
 class Code:
-    def __init__(self, lengths: np.ndarray):
+    """In canonical order, each code follows the one before; aligned to MAX_BITS,
+    it is the sum of what the codes before it take up."""
+
+    def __init__(self, lengths: np.ndarray, decoder: bool = True):
         self.lengths = lengths.astype(np.int64)
-        self.codes = canonical_codes(lengths).astype(np.uint64)
-        self.symbol, self.bits = np.zeros(1 << MAX_BITS, np.uint32), np.ones(1 << MAX_BITS, np.uint8)
-        for i in np.flatnonzero(lengths).tolist():
-            free = MAX_BITS - int(lengths[i])
-            a = int(self.codes[i]) << free
-            self.symbol[a : a + (1 << free)], self.bits[a : a + (1 << free)] = i, lengths[i]
+        order = canonical_order(lengths)
+        free = MAX_BITS - self.lengths[order]
+        room = np.left_shift(1, free)
+        self.codes = np.zeros(len(lengths), np.uint64)
+        self.codes[order] = (np.cumsum(room) - room) >> free
+        if decoder:
+            self.symbol, self.bits = np.zeros(1 << MAX_BITS, np.uint32), np.ones(1 << MAX_BITS, np.uint8)
+            filled = int(room.sum())
+            self.symbol[:filled], self.bits[:filled] = np.repeat(order, room), np.repeat(self.lengths[order], room)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, bytes]:
         """Payload, and the bits of each run of RUN ids as 16-bit numbers."""
@@ -126,16 +125,15 @@ class Code:
 
 def raw_ids(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID) -> DataFrame:
     """doc_id, n_tokens, ids; 16 bits an id where the vocabulary allows."""
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = library_encoder(tokenizer)
-        kind = "<u2" if e.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        e = library_encoder(tokenizer, narrow=True)
+        end = b"" if end_id is None else int(end_id).to_bytes(e.width, "little")
         for batch in batches:
             for at, n in slices(batch):
                 part = batch.slice(at, n)
-                ids = [np.frombuffer(x + end, "<u4").astype(kind) for x in e.encode(part.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
+                ids = [x + end for x in e.encode(part.column("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // e.width for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
@@ -175,7 +173,7 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, end_id: int | None =
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        code, part = Code(shared.value), TaskContext.get().partitionId()
+        code, part = Code(shared.value, decoder=False), TaskContext.get().partitionId()
         ids: list[bytes] = []
         docs_, held, block, width = [], 0, 0, np.dtype(kind).itemsize
 
