@@ -3,7 +3,8 @@
 Words are tagged toxic or not. Labelled tokens come from labelled documents:
 words, or word beginnings, that stand out in toxic documents by their log-odds
 mark the tokens that have them there; all other tokens are labelled clean. The
-field has one weight for each word and each beginning of 3 to 6 letters, and
+field has one weight for each word and each beginning of 3 to 6 letters that several toxic
+documents have, and
 weights between neighbouring tags; it is trained by gradient steps on the
 likelihood, whose gradient needs the marginals of forward-backward. Chains are
 segments of SEGMENT words, so all segments of a slice of texts run side by side.
@@ -35,7 +36,7 @@ from wayfold.llm.common import slices, texts
 
 #: Labelled documents of each class that the field is fitted on at most, and
 #: characters of each at most: longer ones are not in the sample.
-SAMPLE, SAMPLE_CHARS = 2000, 10_000
+SAMPLE, SAMPLE_CHARS = 1200, 8_000
 SEGMENT = 64
 FEATURES = 50_000
 #: Log-odds of a feature that marks tokens, and the toxic documents it is in: so
@@ -170,16 +171,20 @@ def fit(found: list[str], labels: list[int]) -> Model:
     chosen = sorted(first.values())
     found, split, labels = [found[i] for i in chosen], [split[i] for i in chosen], [labels[i] for i in chosen]
     y = np.array(labels, np.float64)
-    toxic, clean = Counter(), Counter()
-    for words, label in zip(split, labels, strict=True):
-        (toxic if label else clean).update({f for w in set(words) for f in features(w)})
     nt, nc = sum(labels), len(labels) - sum(labels)
-    odds = {f: math.log((k + 0.25) / (nt + 0.5)) - math.log((clean[f] + 0.25) / (nc + 0.5)) for f, k in toxic.items() if k >= max(LEAST_TOXIC, LEAST_SHARE * nt)}
+    toxic = Counter()
+    for ws, label in zip(split, labels, strict=True):
+        if label:
+            toxic.update({f for w in set(ws) for f in features(w)})
+    # what the field may weigh; all other features are let go before clean texts are counted
+    toxic = Counter({f: k for f, k in toxic.most_common(FEATURES) if k >= LEAST_TOXIC})
+    clean = Counter()
+    for ws, label in zip(split, labels, strict=True):
+        if not label:
+            clean.update({f for w in set(ws) for f in features(w) if f in toxic})
+    odds = {f: math.log((k + 0.25) / (nt + 0.5)) - math.log((clean[f] + 0.25) / (nc + 0.5)) for f, k in toxic.items() if k >= LEAST_SHARE * nt}
     seeds = {f for f, o in odds.items() if o >= LEAST_ODDS}
-    # features that the field may weigh: those of marked words first, then common ones
-    common = Counter(toxic)
-    common.update(clean)
-    kept = sorted(seeds)[:FEATURES] + [f for f, _ in common.most_common(FEATURES) if f not in seeds][: max(0, FEATURES - len(seeds))]
+    kept = sorted(toxic)
     number = {f: i for i, f in enumerate(kept)}
     words = sorted({w for ws in split for w in ws})
     index = {w: i for i, w in enumerate(words)}
@@ -197,7 +202,6 @@ def fit(found: list[str], labels: list[int]) -> Model:
     place, real, owner = segments(sizes)
     target = np.where(real, (marked[flat] & in_toxic)[place], False)
     cells = flat[place]
-    # all segments with a marked token, and as many others again as make up the rest of the sample
     weights, bias, move = np.zeros(len(kept)), -4.0, np.zeros((2, 2))
     seen = np.zeros((2, 2))
     for a in (0, 1):
@@ -208,7 +212,11 @@ def fit(found: list[str], labels: list[int]) -> Model:
     square_move, square_bias = np.full((2, 2), 1e-6), 1e-6
     for _ in range(STEPS):
         by_word = np.bincount(own, weights[feature], len(words)) + bias
-        p, moves = marginals(by_word[cells], real, move)
+        p, moves = np.empty(real.shape), np.zeros((2, 2))
+        for k in range(0, len(real), 2048):  # in parts, for the messages take four times the room
+            part = slice(k, k + 2048)
+            p[part], some = marginals(by_word[cells[part]], real[part], move)
+            moves += some
         off = np.where(real, target - p, 0.0)
         grad_word = np.bincount(cells[real], off[real], len(words))
         grad = np.bincount(feature, grad_word[own], len(kept)) / n - DECAY * weights
