@@ -62,3 +62,18 @@ def slices(batch, column: str = "text"):
             start, held = i + 1, 0
     if start < len(sizes):
         yield start, len(sizes) - start
+
+
+_owner: list[str] = [""]
+_memos: dict[str, object] = {}
+
+
+def sole_memo(owner: str, clear) -> None:
+    """Called where a task of an operator begins: a Python worker serves one
+    operator after another, and what the others remembered is let go."""
+    _memos[owner] = clear
+    if _owner[0] != owner:
+        for name, other in _memos.items():
+            if name != owner:
+                other()
+        _owner[0] = owner

@@ -11,10 +11,11 @@ from array import array
 
 import numpy as np
 
+from wayfold.llm.common import sole_memo
 from wayfold.llm.pieces import splitter
 
 #: Words remembered by a process, about 200 bytes each; beyond it all are dropped.
-MEMO_WORDS = 1_200_000
+MEMO_WORDS = 1_000_000
 
 
 class LibraryEncoder:
@@ -67,6 +68,7 @@ _workers: dict[tuple[str, bool], LibraryEncoder] = {}
 
 def library_encoder(path: str, narrow: bool = False) -> LibraryEncoder:
     """The encoder of this process."""
+    sole_memo("library", _workers.clear)
     if (path, narrow) not in _workers:
         _workers.clear()
         _workers[path, narrow] = LibraryEncoder(path, narrow)

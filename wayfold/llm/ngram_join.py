@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import WORD, slices, stored, texts
+from wayfold.llm.common import WORD, slices, sole_memo, stored, texts
 from wayfold.operators.components import connected, join_hot
 
 #: Ratio of neighbouring bounds of set sizes.
@@ -55,7 +55,7 @@ BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
 #: Bits of the fixed-size filters that tasks hold (2 MB). A filter that is full
 #: only lets more rows through, which the joins behind it drop.
 FILTER_BITS = 24
-MEMO_WORDS = 500_000
+MEMO_WORDS = 300_000
 
 _GOLD, _M1, _M2, _S32 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(32)
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -231,6 +231,7 @@ def fingerprints(docs: DataFrame, words: int, percent: int) -> DataFrame:
     groups: how many signatures each group has and how many are looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_memo("ngram_join", _memo.clear)
         for batch in batches:
             for at, n in slices(batch):
                 part = batch.slice(at, n)
@@ -285,6 +286,7 @@ def _sets_of(docs: DataFrame, bitmap, words: int) -> DataFrame:
     """(doc_id, shingles) of the documents whose id the bitmap holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_memo("ngram_join", _memo.clear)
         for batch in batches:
             keep = np.flatnonzero(_held(bitmap.value, batch.column("h").to_numpy()))
             if len(keep):

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from wayfold.llm.common import slices, texts
+from wayfold.llm.common import slices, sole_memo, texts
 
 # The patterns of the base kinds.
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -138,6 +138,7 @@ def masked_documents(docs: DataFrame) -> DataFrame:
     ids = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_memo("secrets", lambda: None)
         for batch in batches:
             for start, n in slices(batch):
                 part = batch.slice(start, n)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import slices, texts
+from wayfold.llm.common import slices, sole_memo, texts
 
 #: Labelled documents of each class that the field is fitted on at most, and
 #: characters of each at most: longer ones are not in the sample.
@@ -45,7 +45,7 @@ LEAST_ODDS, LEAST_TOXIC, LEAST_SHARE = 2.5, 4, 0.01
 STEPS, RATE, DECAY = 60, 0.5, 1e-4
 THRESHOLD = 0.7
 SPAN_LEAST = 0.5
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -274,6 +274,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD, offsets:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        sole_memo("toxicity", m.memo.clear)
         for batch in batches:
             for at, n in slices(batch):
                 part = batch.slice(at, n)
@@ -298,6 +299,7 @@ def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_memo("toxicity", shared.value.memo.clear)
         for batch in batches:
             for start, n in slices(batch):
                 part = batch.slice(start, n)
