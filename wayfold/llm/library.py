@@ -56,7 +56,7 @@ class LibraryEncoder:
             found.append(ids)
         new = list({words[i] for _, words, at in gaps for i in at})
         if new:
-            memo.update(zip(new, map(self._raw, self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
+            memo.update(zip(new, map(self._raw, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
             for ids, words, at in gaps:
                 for i in at:
                     ids[i] = memo[words[i]]
