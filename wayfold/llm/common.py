@@ -3,6 +3,8 @@ intermediate tables in the shared folder, and files shipped to executors."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import uuid
 
@@ -76,4 +78,13 @@ def sole_memo(owner: str, clear) -> None:
         for name, other in _memos.items():
             if name != owner:
                 other()
+        _release()
         _owner[0] = owner
+
+
+def _release() -> None:
+    """Give what was let go back to the system, where the C library can."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import sys
 from array import array
+from itertools import islice
 
 import numpy as np
 
 from wayfold.llm.common import sole_memo
 from wayfold.llm.pieces import splitter
 
-#: Words remembered by a process, about 200 bytes each; beyond it all are dropped.
-MEMO_WORDS = 1_000_000
+#: Words remembered by a process, about 200 bytes each; beyond it all but the
+#: first MEMO_KEPT are dropped: common words are met early.
+MEMO_WORDS, MEMO_KEPT = 600_000, 300_000
 
 
 class LibraryEncoder:
@@ -40,9 +42,9 @@ class LibraryEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned integers of `width` bytes."""
+        if len(self.memo) > MEMO_WORDS:
+            self.memo = dict(islice(self.memo.items(), MEMO_KEPT))
         memo, special = self.memo, self.special
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
         found: list[list[bytes | None]] = []
         gaps: list[tuple[list[bytes | None], list[str], list[int]]] = []
         for text in texts:
