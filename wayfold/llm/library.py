@@ -15,13 +15,14 @@ import numpy as np
 from wayfold.llm.common import sole_memo
 from wayfold.llm.pieces import splitter
 
-#: Words remembered by a process, about 200 bytes each; beyond it all but the
-#: first MEMO_KEPT are dropped: common words are met early.
+#: Words remembered by a process, unless an operator has room for more, about
+#: 200 bytes each; beyond it all but the first MEMO_KEPT are dropped: common
+#: words are met early.
 MEMO_WORDS, MEMO_KEPT = 600_000, 300_000
 
 
 class LibraryEncoder:
-    def __init__(self, path: str, narrow: bool = False):
+    def __init__(self, path: str, narrow: bool = False, words: int = MEMO_WORDS):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -35,6 +36,7 @@ class LibraryEncoder:
         self._code = ("H" if self.width == 2 else "I") if sys.byteorder == "little" else None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = splitter()
+        self.words = words
         self.memo: dict[str, bytes] = {}
 
     def _raw(self, encoding) -> bytes:
@@ -42,7 +44,7 @@ class LibraryEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned integers of `width` bytes."""
-        if len(self.memo) > MEMO_WORDS:
+        if len(self.memo) > self.words:
             self.memo = dict(islice(self.memo.items(), MEMO_KEPT))
         memo, special = self.memo, self.special
         found: list[list[bytes | None]] = []
@@ -65,13 +67,13 @@ class LibraryEncoder:
         return [b"".join(ids) for ids in found]
 
 
-_workers: dict[tuple[str, bool], LibraryEncoder] = {}
+_workers: dict[tuple[str, bool, int], LibraryEncoder] = {}
 
 
-def library_encoder(path: str, narrow: bool = False) -> LibraryEncoder:
+def library_encoder(path: str, narrow: bool = False, words: int = MEMO_WORDS) -> LibraryEncoder:
     """The encoder of this process."""
     sole_memo("library", _workers.clear)
-    if (path, narrow) not in _workers:
+    if (path, narrow, words) not in _workers:
         _workers.clear()
-        _workers[path, narrow] = LibraryEncoder(path, narrow)
-    return _workers[path, narrow]
+        _workers[path, narrow, words] = LibraryEncoder(path, narrow, words)
+    return _workers[path, narrow, words]

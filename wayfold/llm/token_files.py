@@ -35,6 +35,8 @@ RUN = 64
 END_ID = 0
 #: Documents in one range partition, about.
 PARTITION_IDS = 4_000_000
+#: Words that the encoder remembers.
+MEMO_WORDS = 1_000_000
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -127,7 +129,7 @@ def raw_ids(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID) -> Dat
     """doc_id, n_tokens, ids; 16 bits an id where the vocabulary allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = library_encoder(tokenizer, narrow=True)
+        e = library_encoder(tokenizer, narrow=True, words=MEMO_WORDS)
         end = b"" if end_id is None else int(end_id).to_bytes(e.width, "little")
         for batch in batches:
             for at, n in slices(batch):
