@@ -394,6 +394,20 @@ def test_quality_outliers(spark):
     assert all(got[i]["kept"] for i, *_ in sane) and not any(got[i]["kept"] for i, *_ in odd)
 
 
+def test_quality_repeats(spark):
+    """One of repeated lines and repeated words is enough, where the base rule passes."""
+    rng = np.random.default_rng(1)
+    words = lambda n: ["".join(rng.choice(list("abcdefgh"), int(rng.integers(3, 9)))) for _ in range(n)]
+    sane = [(i, " ".join(words(120))) for i in range(400)]
+    lines = [(1000 + i, "\n".join(rng.choice(words(30), 300))) for i in range(5)]
+    again = [(2000 + i, " ".join([*(w := words(27)), *words(33), *w, *words(33)])) for i in range(5)]
+    rows = [(i, t, "en", "s") for i, t in sane + lines + again]
+    got = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    odd = [got[i] for i, _ in lines + again]
+    assert all(got[i]["kept"] for i, _ in sane) and not any(r["base_failed"] or r["kept"] for r in odd)
+    assert all(got[i]["n_repeat_words"] < 40 and got[i]["n_dup_lines"] > 200 for i, _ in lines) and all(got[i]["n_dup_lines"] == 0 for i, _ in again)
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 

@@ -18,6 +18,7 @@ is a group of its own. Repeated rows count as often as they occur.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -40,8 +41,9 @@ LEAST_ROWS = 200
 #: are no Gaussian sample and clean texts have to stay.
 CUT = 60.0
 #: Spread that every component is given beside its own: differences below it
-#: don't count as odd.
-FLOORS = (0.15, 0.03, 0.15, 0.15)
+#: don't count as odd. Where the group repeats nothing, repeated words alone are
+#: beyond CUT from 40 % on (the base rule ends at 50 %), repeated lines from 75 %.
+FLOORS = (0.15, 0.03, math.sqrt(0.40 / CUT), math.sqrt(0.75 / CUT))
 SYMBOL = re.compile(r"[#*$%&|<>]")
 CHI2_MEDIAN = 3.357  # of 4 degrees of freedom
 VECTOR = ("v0", "v1", "v2", "v3")
