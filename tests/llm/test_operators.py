@@ -99,6 +99,21 @@ def test_ngram_join_near_copies(spark, monkeypatch, block):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == brute_components(brute_sets(texts))
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_ngram_join_links(spark, monkeypatch, block):
+    """No link of a family goes, whether or not others connect its texts."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
+    words = [f"w{i}" for i in range(100)]
+    texts = {k: " ".join([*words, *(f"t{i}" for i in range(k))]) for k in range(9)} | {20: "", 21: "else"}
+    texts |= {30: texts[0], 31: texts[0], 32: texts[4]}
+    sets = brute_sets(texts)
+    near = {(a, b) for a in sets for b in sets if a < b and sets[a] and 10 * len(sets[a] & sets[b]) >= 9 * len(sets[a] | sets[b])}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.ngram_join(frame).collect()}
+    assert got == {i: sum(i in pair for pair in near) for i in sets}
+    assert sorted(map(tuple, ngram_join.links(frame).collect())) == sorted(p for p in near if max(p) < 30)
+
+
 def test_ngram_join_odd(odd, empty):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(odd).collect()}
     sets = brute_sets({i: t or "" for i, t in ODD})

@@ -19,14 +19,16 @@ at least `percent` / 100. The join is exact (up to collisions of 64-bit hashes):
    than two blocks. In a group the sets of one block are stored in a trie. Each
    set of the other is taken down the trie: children of a node share the overlap
    found so far, and a subtree is left as soon as the shingles that remain can't
-   reach the needed overlap. Only links leave the task; a set that already
-   belongs to another's component is not compared with it again.
+   reach the needed overlap. Every pair is decided for link counts, which tasks
+   add up by set before they leave, and for `links`. For components alone, a set
+   that already belongs to another's component is not compared with it again.
 4. Links are contracted to components, labelled with the smallest doc_id.
 
 Null texts count as empty; texts without words have empty sets, which link with
 nothing. Texts with fewer than `words` words have the whole sequence as their
 one shingle. Letters A-Z count as a-z. Repeated rows are copies. A null doc_id
-stands for no other document. Other columns are ignored.
+stands for no other document: rows without one that equal no row with one link
+only with their copies. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -187,9 +189,9 @@ class Trie:
         return out
 
 
-def block_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None, percent: int) -> list[tuple[int, int]]:
+def block_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None, percent: int, every: bool = False) -> list[tuple[int, int]]:
     """Links that join the components of the two blocks' sets (right None: of
-    left with itself): enough of them to connect what is linked."""
+    left with itself): enough of them to connect what is linked, or every one."""
     parent: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -203,9 +205,11 @@ def block_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.nd
     place = {i: k for k, i in enumerate(trie.ids)}
     for i, probe in left:
         own = place.get(i, -1) if right is None else -1
-        for k, _ in trie.links(probe, percent, lambda k: k <= own or top(trie.ids[k]) == top(i)):
+        for k, _ in trie.links(probe, percent, lambda k: k <= own or not every and top(trie.ids[k]) == top(i)):
             j = trie.ids[k]
-            if top(i) != top(j):
+            if every:
+                out.append((i, j))
+            elif top(i) != top(j):
                 parent[top(i)] = top(j)
                 out.append((i, j))
     return out
@@ -298,56 +302,103 @@ def _sets_of(docs: DataFrame, bitmap, words: int) -> DataFrame:
     return texts(docs).withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "doc_id long, shingles binary")
 
 
-def _links(rows: DataFrame, percent: int) -> DataFrame:
-    """rows: (family, i, j, side, doc_id, shingles), side 0 for block i and 1
-    for block j. Groups come one after another, sorted; a task holds one group."""
+def _counted(links: list[tuple[int, int]], copies: dict[int, int]) -> tuple[list[tuple[int, int]], dict[int, int]]:
+    """Of all links of a group, enough to connect what is linked; and how many
+    documents each set links with."""
+    parent: dict[int, int] = {}
+    count: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for a, b in links:
+        count[a], count[b] = count.get(a, 0) + copies[b], count.get(b, 0) + copies[a]
+        if top(a) != top(b):
+            parent[top(a)] = top(b)
+            out.append((a, b))
+    return out, count
+
+
+def _links(rows: DataFrame, percent: int, kind: str = "joining") -> DataFrame:
+    """rows: (family, i, j, side, doc_id, copies, shingles), side 0 for block i
+    and 1 for block j. Groups come one after another, sorted; a task holds one
+    group. Links (a, b): enough to connect what is linked ("joining"), or "every"
+    one; "counted" adds rows of a set a and the number n of documents that it
+    links with in the group, without b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, blocks = None, ([], [])
+        key, blocks, copies = None, ([], []), {}
 
         def out() -> Iterator[pa.RecordBatch]:
             if key is not None:
-                found = block_links(blocks[0], None if key[1] == key[2] else blocks[1], percent)
+                found, count = block_links(blocks[0], None if key[1] == key[2] else blocks[1], percent, kind != "joining"), {}
+                if kind == "counted":
+                    found, count = _counted(found, copies)
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+                    a, b = [a for a, _ in found] + list(count), [b for _, b in found] + [None] * len(count)
+                    n = [None] * len(found) + list(count.values())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, n)], ["a", "b", "n"])
 
         for batch in batches:
             for r in range(batch.num_rows):
                 at = (batch.column("family")[r].as_py(), batch.column("i")[r].as_py(), batch.column("j")[r].as_py())
                 if at != key:
                     yield from out()
-                    key, blocks = at, ([], [])
+                    key, blocks, copies = at, ([], []), {}
+                copies[batch.column("doc_id")[r].as_py()] = batch.column("copies")[r].as_py()
                 blocks[batch.column("side")[r].as_py()].append((batch.column("doc_id")[r].as_py(), np.frombuffer(batch.column("shingles")[r].as_py(), np.uint64)))
         yield from out()
 
     dealt = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long, n long")
 
 
-def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id that a document
-    reaches by links, itself included."""
+def _met(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The documents' fingerprints; those with shingles; their classes; and the
+    classes' representatives as rows for _links()."""
     spark = docs.sparkSession
     prints = stored(fingerprints(docs, words, percent))
     sound = prints.where("n_shingles > 0")
     classes = stored(sound.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("n_shingles").alias("size")))
     own = classes.join(families(prints), "set_id")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
-    own = stored(own.where("rep is not null").select("rep", "family", "size"))
+    own = stored(own.where("rep is not null").select("rep", "family", "size", F.col("n").alias("copies")))
     sizes = own.groupBy("family").agg(blocks.alias("g"), F.count("*").alias("members"))
     bitmap = spark.sparkContext.broadcast(_bitmap(own.select(F.xxhash64("rep").alias("h"))))
     dealt = join_hot(own, sizes, "family", own.count(), "members").where("members > 1").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("g")).cast("int"))
     sets = dealt.join(_sets_of(docs, bitmap, words).dropDuplicates(["doc_id"]), F.col("rep") == F.col("doc_id"))
     other = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
-    placed = sets.select("family", "own", other.alias("other"), "doc_id", "shingles")
-    rows = placed.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "doc_id", "shingles")
-    labels = connected(_links(rows, percent)).withColumnsRenamed({"node": "rep", "component": "_label"})
-    named = classes.join(labels, "rep", "left").select("set_id", "n", F.coalesce("_label", "rep").alias("component_id"))
-    linked = join_hot(sound.select("doc_id", "n_shingles", "set_id"), named, "set_id", sound.count()).select("doc_id", "n_shingles", "component_id")
-    return linked.unionByName(prints.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    placed = sets.select("family", "own", other.alias("other"), "doc_id", "copies", "shingles")
+    rows = placed.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "doc_id", "copies", "shingles")
+    return prints, sound, classes, rows
+
+
+def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90, counts: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id that a document
+    reaches by links, itself included; and, with counts, n_links: the other
+    documents that it links with, copies included."""
+    prints, sound, classes, rows = _met(docs, words, percent)
+    found = stored(_links(rows, percent, "counted" if counts else "joining"))
+    labels = connected(found.where("b IS NOT NULL").select("a", "b")).withColumnsRenamed({"node": "rep", "component": "_label"})
+    others = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("_others"))
+    named = classes.join(labels, "rep", "left").join(others, "rep", "left").select("set_id", "n", F.coalesce("_label", "rep").alias("component_id"), (F.col("n") - 1 + F.coalesce("_others", F.lit(0))).alias("n_links"))
+    names = ["doc_id", "n_shingles", "component_id", *(["n_links"] if counts else [])]
+    linked = join_hot(sound.select("doc_id", "n_shingles", "set_id"), named, "set_id", sound.count()).select(names)
+    return linked.unionByName(prints.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")).select(names))
+
+
+def links(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
+    """(a, b), a < b: every link between different texts, each of which its
+    smallest doc_id stands for."""
+    found = _links(_met(docs, words, percent)[3], percent, "every")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs without the documents that reach one with a smaller doc_id."""
-    gone = ngram_join(docs, words, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
+    gone = ngram_join(docs, words, percent, counts=False).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
