@@ -1,5 +1,7 @@
 """The route engine on small fixtures, and every query against its SQL."""
 
+from types import SimpleNamespace
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import fields
 from wayfold.operators import abilities, chains, components, eligibility, graph, landmarks, routes, search, store, validate
+from wayfold.plans import queries
 from wayfold.plans.oracle import ORACLE
 from wayfold.plans.queries import QUERIES
 from wayfold.sources import regions, text
@@ -179,6 +182,31 @@ def test_search_against_relaxation(spark):
     assert {r["node"]: (r["fw"], r["bw"]) for r in back.collect()} == {v: (want.get(v), turned.get(v)) for v in {*want, *turned}}
 
 
+def test_virtual_routes(spark):
+    """Answers from beside the graph, against relaxation from all global teleports."""
+    rng, n = np.random.default_rng(3), 25
+    edges = [(int(a), int(b), int(w)) for a, b, w in zip(rng.integers(0, n, 60), rng.integers(0, n, 60), rng.integers(1, 200_000, 60), strict=True) if a != b]
+    entries = {2: 50_000, 11: 90_000, 19: 10_000}
+    src, dst, w = (np.array(c, np.int64) for c in zip(*edges, strict=True))
+    graph_ = {0: search.Graph(n, src, dst, w, (), entries.items())}
+    asked = spark.createDataFrame([(i, 0, (0, 77)[i % 2], None if i < n else 5, i % n) for i in range(n + 3)], "query_id long, profile_id int, seed long, start long, goal long")
+    plain_, seeded = search.route(asked.withColumn("seed", F.lit(0).cast("long")), graph_).cache(), search.route(asked, graph_).cache()
+    got = {r["query_id"]: r for r in queries.virtual_routes(SimpleNamespace(routes=plain_, seeded_routes=seeded)).collect()}
+    assert sorted(got) == list(range(n))
+    for seed in (0, 77):
+        best = dict(entries)
+        for _ in range(n):
+            for a, b, c in edges:
+                if a in best:
+                    best[b] = min(best.get(b, 1 << 60), best[a] + c + search.tick_jitter(seed, a, b))
+        for i in range(n):
+            if seed == 0:
+                assert got[i]["cost"] == best.get(i) and (got[i]["status"] == "found") == (i in best)
+                assert got[i]["path"] is None or int(got[i]["path"].split(",")[0]) in entries
+            if got[i]["seed"] == seed:
+                assert got[i]["seeded_cost"] == best.get(i)
+
+
 def test_landmarks(spark):
     both = [(a, b, 100) for x in range(3) for a, b in ((x, x + 1), (x + 1, x))] + [(4, 5, 100), (5, 4, 100)]
     walk = spark.createDataFrame(both, "src long, dst long, w long")

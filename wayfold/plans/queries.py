@@ -301,6 +301,27 @@ def route_paths(w):
     return found.select("query_id", F.size("path").cast("long").alias("length_tiles"), listed("path").alias("path"))
 
 
+@query
+def virtual_routes(w):
+    """The answers whose start lies beside the graph, which the route queries
+    above leave to this one: with and without the query's seed."""
+    own = w.routes.where("start IS NULL")
+    seeded = w.seeded_routes.where("start IS NULL").select("query_id", "seed", F.col("cost").alias("seeded_cost"), listed("path").alias("seeded_path"))
+    costs = own.select("query_id", "profile_id", "status", "cost", F.size("path").cast("long").alias("length_tiles"), listed("path").alias("path"))
+    return costs.join(seeded, "query_id").join(routes.response(own), "query_id")
+
+
+@query
+def virtual_geometry(w):
+    return routes.geometry(w.routes.where("start IS NULL"), w.nodes)
+
+
+@query
+def virtual_actions(w):
+    far = w.routes.where("start IS NULL").select("query_id")
+    return w.actions.join(far, "query_id").select("query_id", "pos", "u", "v", "type", "kind", "id", F.round("cost_ms", 3).alias("cost_ms"))
+
+
 @query
 def route_geometry(w):
     return routes.geometry(w.routes.where("start IS NOT NULL"), w.nodes)
