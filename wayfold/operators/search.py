@@ -2,8 +2,9 @@
 
 `route` answers a table of queries with one search for each start, profile and
 seed; its edges are shipped to the tasks as arrays, which is done up to
-BROADCAST_EDGES edges. `distances` answers by rounds of joins and has no such
-bound; `route` goes over to it beyond.
+BROADCAST_EDGES edges. `distances` gives costs by rounds of joins and has no such
+bound, but neither paths nor rings and global teleports: beyond the bound route
+queries stop with an error.
 """
 
 from __future__ import annotations
