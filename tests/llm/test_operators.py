@@ -12,6 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from wayfold.llm import bpe, chat_format, exact_dedup, ngram_join, packing, quality, secret_scan, token_counts, token_files, toxicity
+from wayfold.llm.library import LibraryEncoder
 from wayfold.operators.components import connected
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -279,6 +280,28 @@ def test_token_files(docs, odd, empty, rows, library, spark, tmp_path):
     assert np.frombuffer(full[15], "<u4").tolist() == [*library.encode(dict(ODD)[15], add_special_tokens=False).ids, 0]
 
 
+def test_token_files_repeated_and_null_ids(spark, library, monkeypatch):
+    """Repeated rows, two texts under one id, and rows without an id."""
+    monkeypatch.setattr(token_files, "BLOCK_IDS", 20)
+    texts = [(5, "a b"), (None, "null one"), (5, "a b"), (2, BASE), (None, "null two"), (2, ""), (5, "c"), (2**40, None)]
+    runs = [[tuple(r) for r in token_files.write_and_read(spark.createDataFrame(texts, "doc_id long, text string").repartition(k), PATH).collect()] for k in (1, 3)]
+    assert sorted(runs[0], key=lambda r: r[1]) == sorted(runs[1], key=lambda r: r[1])
+    got, at = sorted(runs[0], key=lambda r: r[1]), 0
+    for _, start, n, _ in got:
+        assert start == at
+        at += n
+    assert [r[0] for r in got] == [None, None, 2, 2, 5, 5, 5, 2**40]
+    crc = lambda t: zlib.crc32(np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes())
+    assert Counter((r[0], r[3]) for r in got) == Counter((i, crc(t)) for i, t in texts)
+
+
+def test_library_words(library):
+    """Words that go to the library's model in lines have the ids that the library gives."""
+    e = LibraryEncoder(PATH)
+    texts = [t or "" for _, t in ODD] + ["\n\n x", "tab\tx \r\n\x85 y", "Ċ Ġ", "漢字 né\u0301 \u2028z", "'S 's", " \u00a0 x"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_huffman_code():
     rng = np.random.default_rng(2)
     for counts in (np.array([0, 5]), np.array([1, 1, 1]), 2 ** np.arange(30), rng.integers(0, 1000, 5000)):
@@ -287,8 +310,11 @@ def test_huffman_code():
         assert used.max() <= 16 and (2.0**-used).sum() <= 1 and ((lengths > 0) == (np.asarray(counts) > 0)).all()
         code = token_files.Code(lengths)
         ids = rng.choice(np.flatnonzero(lengths), 1000)
-        for n in (0, 1, 63, 64, 65, 1000):
-            assert (code.decode(*code.encode(ids[:n]), n) == ids[:n]).all()
+        for sizes in ([0], [1], [63], [64], [65], [1000], [1, 64, 0, 3, 129, 0]):
+            n = np.array(sizes)
+            payload, runs = code.encode(ids[: n.sum()], n)
+            assert (code.decode(b"".join(payload), b"".join(runs), n) == ids[: n.sum()]).all()
+            assert payload == [code.encode(ids[b - k : b], np.array([k]))[0][0] for k, b in zip(sizes, np.cumsum(n))]
     fair = token_files.code_lengths(np.array([8, 4, 2, 1, 1]))
     assert fair.tolist() == [1, 2, 3, 4, 4]
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import ship, shipped, slices, stored, texts
-from wayfold.llm.pieces import splitter
+from wayfold.llm.pieces import byte_symbols, splitter
 
 #: Words that a compiled lexicon holds at most; the others are merged exactly.
 LEXICON_WORDS = 65536
@@ -40,17 +40,6 @@ MEMO_WORDS = 400_000
 COUNT_WORDS = 400_000
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in the file."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    out, extra = {b: chr(b) for b in plain}, 0
-    for b in range(256):
-        if b not in out:
-            out[b] = chr(256 + extra)
-            extra += 1
-    return [out[b] for b in range(256)]
-
-
 class Vocabulary:
     """Merges, ids and pre-tokeniser of a byte-level BPE file."""
 

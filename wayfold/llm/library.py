@@ -1,8 +1,13 @@
 """Ids by the tokenizers library, word by word.
 
 The library works on each word of its pre-tokeniser by itself, so a text's ids
-are its words' ids in a row. Distinct words go to the library in batches and are
-remembered; texts that hold a special string go to it whole."""
+are its words' ids in a row. Distinct words go to the library's model in batches
+and are remembered; texts that hold a special string go to the library whole.
+
+A batch of words is one string in the byte symbols of the vocabulary, a line for
+each word, for a copy of the tokenizer that splits at line ends and does nothing
+else. Each symbol stands for a byte, so the lengths of the tokens say where a
+word's ids end."""
 
 from __future__ import annotations
 
@@ -13,12 +18,14 @@ from itertools import islice
 import numpy as np
 
 from wayfold.llm.common import sole_memo
-from wayfold.llm.pieces import splitter
+from wayfold.llm.pieces import byte_symbols, splitter
 
 #: Words remembered by a process, unless an operator has room for more, about
 #: 200 bytes each; beyond it all but the first MEMO_KEPT are dropped: common
 #: words are met early.
 MEMO_WORDS, MEMO_KEPT = 600_000, 300_000
+#: New words that go to the library at once.
+BATCH_WORDS = 4096
 
 
 class LibraryEncoder:
@@ -26,7 +33,7 @@ class LibraryEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -38,10 +45,28 @@ class LibraryEncoder:
         self.pieces = splitter()
         self.words = words
         self.memo: dict[str, bytes] = {}
+        self._lines = Tokenizer.from_file(path)
+        self._lines.no_truncation()
+        self._lines.no_padding()
+        self._lines.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        symbols = byte_symbols()
+        self._symbols, self._space = dict(enumerate(symbols)), symbols[32]
+        self._size = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self._size[i] = len(token)
 
     def _raw(self, encoding) -> bytes:
         return array(self._code, encoding.ids).tobytes() if self._code else np.array(encoding.ids, f"<u{self.width}").tobytes()
 
+    def _new(self, words: list[str]) -> list[bytes]:
+        """Ids of words, none of which holds a special string."""
+        held = [w.replace(" ", self._space) if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self._symbols) for w in words]
+        encoding = self._lines.encode_batch_fast(["\n".join(held)], add_special_tokens=False)[0]
+        ids = np.array(encoding.ids, f"<u{self.width}")
+        ends = np.searchsorted(np.cumsum(self._size[ids]), np.cumsum([len(h) for h in held])) + 1
+        raw, at = ids.tobytes(), [0, *(ends * self.width).tolist()]
+        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned integers of `width` bytes."""
         if len(self.memo) > self.words:
@@ -60,7 +85,8 @@ class LibraryEncoder:
             found.append(ids)
         new = list({words[i] for _, words, at in gaps for i in at})
         if new:
-            memo.update(zip(new, map(self._raw, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+            for k in range(0, len(new), BATCH_WORDS):
+                memo.update(zip(new[k : k + BATCH_WORDS], self._new(new[k : k + BATCH_WORDS]), strict=True))
             for ids, words, at in gaps:
                 for i in at:
                     ids[i] = memo[words[i]]

@@ -1,4 +1,4 @@
-"""The pre-tokeniser of byte-level BPE: words of a text."""
+"""Byte-level BPE: the words of a text, and the symbols of bytes."""
 
 from __future__ import annotations
 
@@ -9,6 +9,17 @@ import public_tokenizers
 import regex
 
 
+def byte_symbols() -> list[str]:
+    """The printable character that stands for each byte in the file."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out, extra = {b: chr(b) for b in plain}, 0
+    for b in range(256):
+        if b not in out:
+            out[b] = chr(256 + extra)
+            extra += 1
+    return [out[b] for b in range(256)]
+
+
 def splitter() -> Callable[[str], list[str]]:
     """A function from a text to its words. Texts of the first 256 characters go
     to an equal pattern that spells the classes out, which runs twice as fast."""

@@ -3,16 +3,24 @@
 One pass encodes the texts and stores the raw ids in the shared folder. From the
 counts of all ids (one row for each id of the vocabulary) code lengths of at
 most 16 bits are found by package-merge; the canonical code follows from the
-lengths alone, so the header of a file set is one row. Documents are range
-partitioned by doc_id, and each partition writes blocks: whole documents whose
-ids reach BLOCK_IDS together, or one longer document. A block is decoded without
-any other. It holds the bit length of every run of RUN ids (the checkpoints), so
-all its runs are decoded side by side with a table of 2^16 entries.
+lengths alone, so the header of a file set is one row. Documents are coded where
+they are, each from a byte boundary on, and only codes are shuffled: they are
+range partitioned by doc_id, and each partition writes blocks: whole documents
+whose ids reach BLOCK_IDS together, or one longer document. A block is decoded
+without any other. It holds the bit length of every run of RUN ids of a document
+(the checkpoints), so all its runs are decoded side by side with a table of 2^16
+entries, and where it starts in its partition, so that readers need one number
+for each partition and none for each block.
 
 A file set is a folder with `header` (code lengths, id width) and `blocks`
-(partition, block, doc_ids, sizes, payload, checkpoints) in Parquet, which every
-store that Spark writes to can hold. Null texts count as empty. Repeated rows
-are written as they come. An empty table gives an empty file set.
+(part, start, ids, doc_ids, sizes, payload, runs) in Parquet, which every store
+that Spark writes to can hold.
+
+Null texts count as empty: such a document is its end id alone. Very long texts
+are one block each. Rows with the same doc_id, repeated rows among them, are
+written one after another, in the order of their codes' crc32. A null doc_id
+comes first and is read back as null. An empty table gives an empty file set.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import shared_folder, slices, stored, texts
@@ -91,29 +99,41 @@ class Code:
             filled = int(room.sum())
             self.symbol[:filled], self.bits[:filled] = np.repeat(order, room), np.repeat(self.lengths[order], room)
 
-    def encode(self, ids: np.ndarray) -> tuple[bytes, bytes]:
-        """Payload, and the bits of each run of RUN ids as 16-bit numbers."""
+    def encode(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+        """ids: of documents of these sizes, one after another. For each document
+        its codes, whole bytes, and the bits of each run of RUN ids as 16-bit numbers."""
         size = self.lengths[ids]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ids) else 0
-        start = ends - size
+        bits = np.concatenate([[0], np.cumsum(size)])  # before each id, and in all
+        last = np.cumsum(sizes)
+        first = last - sizes
+        room = (bits[last] - bits[first] + 7) >> 3
+        at = np.cumsum(room) - room  # first byte of each document
+        start = bits[:-1] + np.repeat(8 * at - bits[first], sizes)
         # codes have 16 bits at most, so each lies in two neighbouring 32-bit words
-        word, room = start >> 5, 64 - (start & 31) - size
-        held = self.codes[ids] << room.astype(np.uint64)
-        out = np.zeros((total >> 5) + 2, np.uint64)
+        word, free = start >> 5, 64 - (start & 31) - size
+        held = self.codes[ids] << free.astype(np.uint64)
+        out = np.zeros((int(room.sum()) >> 2) + 2, np.uint64)
         if len(ids):
-            first = np.flatnonzero(np.diff(word, prepend=-1))  # every word up to the last has a code that starts in it
-            both = np.bitwise_or.reduceat(held, first)
-            at = word[first]
-            out[at] |= both >> np.uint64(32)
-            out[at + 1] |= both & np.uint64(0xFFFFFFFF)
-        payload = out.astype(">u4").tobytes()[: -(-total // 8)]
-        marks = np.append(start[::RUN], total)
-        return payload, np.diff(marks).astype("<u2").tobytes()
-
-    def decode(self, payload: bytes, runs: bytes, n: int) -> np.ndarray:
-        sizes = np.frombuffer(runs, "<u2").astype(np.int64)
-        at = np.cumsum(sizes) - sizes
+            head = np.flatnonzero(np.diff(word, prepend=-1))  # every word up to the last has a code that starts in it
+            both = np.bitwise_or.reduceat(held, head)
+            place = word[head]
+            out[place] |= both >> np.uint64(32)
+            out[place + 1] |= both & np.uint64(0xFFFFFFFF)
+        payload = out.astype(">u4").tobytes()
+        lanes = -(-sizes // RUN)
+        low = np.repeat(first, lanes) + RUN * (np.arange(int(lanes.sum())) - np.repeat(np.cumsum(lanes) - lanes, lanes))
+        runs = (bits[np.minimum(low + RUN, np.repeat(last, lanes))] - bits[low]).astype("<u2").tobytes()
+        cut = lambda raw, n: [raw[b - k : b] for b, k in zip(np.cumsum(n).tolist(), n.tolist(), strict=True)]
+        return cut(payload, room), cut(runs, 2 * lanes)
+
+    def decode(self, payload: bytes, runs: bytes, sizes: np.ndarray) -> np.ndarray:
+        """The ids of documents of these sizes, from their joined codes and runs."""
+        bits, lanes = np.frombuffer(runs, "<u2").astype(np.int64), -(-sizes // RUN)
+        before = np.concatenate([[0], np.cumsum(bits)])
+        last = np.cumsum(lanes)
+        own = before[last] - before[last - lanes]  # bits of each document
+        room = 8 * ((own + 7) >> 3)
+        at = before[:-1] + np.repeat(np.cumsum(room) - room - before[last - lanes], lanes)
         raw = np.frombuffer(payload + b"\0\0\0\0", np.uint8).astype(np.uint32)
         window = (raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]  # 24 bits from each byte
         out = np.empty((RUN, len(at)), np.uint32)
@@ -122,7 +142,10 @@ class Code:
             key = (window[np.minimum(at >> 3, limit)] >> (8 - (at & 7)).astype(np.uint32)) & 0xFFFF
             out[step] = self.symbol[key]
             at = at + self.bits[key]
-        return out.T.ravel()[:n]  # the last run reads on beyond its end
+        held = np.full(len(bits), RUN)  # a document's last run reads on beyond its end
+        some = lanes > 0
+        held[last[some] - 1] = sizes[some] - RUN * (lanes[some] - 1)
+        return out.T[np.arange(RUN)[None, :] < held[:, None]]
 
 
 def raw_ids(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID) -> DataFrame:
@@ -157,50 +180,72 @@ def id_counts(raw: DataFrame, kind: str, size: int) -> np.ndarray:
     return out
 
 
-BLOCKS = "part int, block int, doc_ids binary, sizes binary, payload binary, runs binary"
+BLOCKS = "part int, start long, ids long, doc_ids array<long>, sizes array<long>, payload binary, runs binary"
+_CODED = "doc_id long, n long, crc long, payload binary, runs binary"
 
 
-def write_files(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = END_ID) -> None:
-    """Write the file set of all documents, in ascending doc_id order, to path."""
-    from tokenizers import Tokenizer
+def coded(raw: DataFrame, lengths, kind: str) -> DataFrame:
+    """raw_ids() by document as codes: doc_id, n (ids), crc (of the codes),
+    payload, runs. lengths: the broadcast code lengths."""
 
-    spark = docs.sparkSession
-    size = Tokenizer.from_file(tokenizer).get_vocab_size()
-    kind = "<u2" if size <= 1 << 16 else "<u4"
-    raw = stored(raw_ids(docs, tokenizer, end_id), "zstd")
-    counts = id_counts(raw, kind, size)
-    lengths = code_lengths(counts)
-    shared = spark.sparkContext.broadcast(lengths)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, width = Code(lengths.value, decoder=False), np.dtype(kind).itemsize
+        for batch in batches:
+            for at, n in slices(batch, "ids"):
+                part = batch.slice(at, n)
+                held = part.column("ids").to_pylist()
+                sizes = np.array([len(x) // width for x in held], np.int64)
+                payload, runs = code.encode(np.frombuffer(b"".join(held), kind), sizes)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array([zlib.crc32(x) for x in payload], pa.int64()), pa.array(payload, pa.binary()), pa.array(runs, pa.binary())], ["doc_id", "n", "crc", "payload", "runs"])
+
+    return raw.select("doc_id", "ids").mapInArrow(run, _CODED)
+
+
+def blocked(codes: DataFrame) -> DataFrame:
+    """coded() in order, within partitions, as rows of blocks."""
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        code, part = Code(shared.value, decoder=False), TaskContext.get().partitionId()
-        ids: list[bytes] = []
-        docs_, held, block, width = [], 0, 0, np.dtype(kind).itemsize
+        part, start = TaskContext.get().partitionId(), 0
+        rows: list[tuple] = []
+        held = 0
 
         def out() -> pa.RecordBatch:
-            nonlocal ids, docs_, held, block
-            payload, runs = code.encode(np.frombuffer(b"".join(ids), kind))
-            row = [[part], [block], [np.array(docs_, "<i8").tobytes()], [np.array([len(x) // width for x in ids], "<i8").tobytes()], [payload], [runs]]
-            ids, docs_, held, block = [], [], 0, block + 1
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "block", "doc_ids", "sizes", "payload", "runs"])
+            doc_ids, sizes, payload, runs = zip(*rows, strict=True)
+            values = [part], [start], [held], [list(doc_ids)], [list(sizes)], [b"".join(payload)], [b"".join(runs)]
+            kinds = pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], [f.split()[0] for f in BLOCKS.split(", ")])
 
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                part_ = batch.slice(i, 256)
-                for doc_id, raw_ in zip(part_.column("doc_id").to_pylist(), part_.column("ids").to_pylist(), strict=True):
-                    docs_.append(doc_id)
-                    ids.append(raw_)
-                    held += len(raw_) // width
+                some = batch.slice(i, 256)
+                for row in zip(*(some.column(c).to_pylist() for c in ("doc_id", "n", "payload", "runs")), strict=True):
+                    rows.append(row)
+                    held += row[1]
                     if held >= BLOCK_IDS:
                         yield out()
-        if docs_:
+                        rows, start, held = [], start + held, 0
+        if rows:
             yield out()
 
+    return codes.mapInArrow(run, BLOCKS)
+
+
+def write_files(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = END_ID) -> None:
+    """Write the file set of all documents, in ascending doc_id order, to path."""
+    from tokenizers import Tokenizer
+
+    spark = docs.sparkSession
+    size = Tokenizer.from_file(tokenizer).get_vocab_size()
+    kind = "<u2" if size <= 1 << 16 else "<u4"
+    raw = stored(raw_ids(docs, tokenizer, end_id), "zstd")
+    counts = id_counts(raw, kind, size)
+    lengths = code_lengths(counts)
+    shared = spark.sparkContext.broadcast(lengths)  # a byte for each id of the vocabulary
     parts = max(1, int(counts.sum()) // PARTITION_IDS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = raw.select("doc_id", "ids").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    ordered = coded(raw, shared, kind).repartitionByRange(parts, "doc_id", "crc").sortWithinPartitions("doc_id", "crc", "n")
+    blocked(ordered).write.option("compression", "none").parquet(f"{path}/blocks")
     spark.createDataFrame([(bytearray(lengths.tobytes()), kind)], "lengths binary, kind string").coalesce(1).write.parquet(f"{path}/header")
 
 
@@ -210,37 +255,25 @@ def read_files(spark: SparkSession, path: str, digests_only: bool = False) -> Da
     header = spark.read.parquet(f"{path}/header").first()
     lengths = np.frombuffer(bytes(header["lengths"]), np.uint8)
     table = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-
-    def length(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = [int(np.frombuffer(x, "<i8").sum()) for x in batch.column("sizes").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("block"), pa.array(n, pa.int64())], ["part", "block", "n"])
-
-    # One row for each range partition and one for each block: a block holds
-    # BLOCK_IDS ids or more, so the prefix sums are short beside the ids.
-    sums = table.select("part", "block", "sizes").mapInArrow(length, "part int, block int, n long").groupBy("part").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("block", "n"))).alias("blocks"))
-    before, starts = 0, {}
-    for r in sorted(sums.collect(), key=lambda r: r["part"]):
-        at = before
-        for b in r["blocks"]:
-            starts[r["part"], b["block"]] = at
-            at += b["n"]
-        before += r["n"]
-    shared = spark.sparkContext.broadcast((lengths, starts))
+    # one row for each range partition; how it meets the blocks is left to its size
+    sums = table.groupBy("part").agg(F.sum("ids").alias("n"))
+    base = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    placed = table.join(base, "part").select((F.col("base") + F.col("start")).alias("start"), "doc_ids", "sizes", "payload", "runs")
+    shared = spark.sparkContext.broadcast(lengths)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, at = Code(shared.value[0]), shared.value[1]
+        code = Code(shared.value)
         for batch in batches:
             for r in range(batch.num_rows):
-                row = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
-                doc_ids, sizes = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["sizes"], "<i8")
-                ids = code.decode(row["payload"], row["runs"], int(sizes.sum())).astype("<u4")
+                row = {c: batch.column(c)[r] for c in batch.schema.names}
+                sizes = row["sizes"].values.to_numpy()
+                ids = code.decode(row["payload"].as_py(), row["runs"].as_py(), sizes).astype("<u4")
                 ends = np.cumsum(sizes)
                 raw = [ids[b - n : b].tobytes() for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                cols = [pa.array(doc_ids), pa.array(at[row["part"], row["block"]] + ends - sizes), pa.array(sizes), pa.array([zlib.crc32(x) for x in raw], pa.int64())]
+                cols = [row["doc_ids"].values, pa.array(row["start"].as_py() + ends - sizes), pa.array(sizes), pa.array([zlib.crc32(x) for x in raw], pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols + ([] if digests_only else [pa.array(raw, pa.binary())]), ["doc_id", "start", "n_tokens", "ids_crc32"] + ([] if digests_only else ["ids"]))
 
-    return table.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ("" if digests_only else ", ids binary"))
+    return placed.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ("" if digests_only else ", ids binary"))
 
 
 def write_and_read(docs: DataFrame, tokenizer: str) -> DataFrame:
