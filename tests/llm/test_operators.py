@@ -122,6 +122,48 @@ def test_ngram_join_odd(odd, empty):
     assert ngram_join.ngram_join(empty).count() == 0
 
 
+def test_ngram_join_repeated_and_null_ids(spark):
+    """Two texts under one doc_id both link; rows without one link by text."""
+    a, b = BASE, BASE.replace("word", "term")
+    rows = [(1, a), (1, b), (1, a), (2, a + " tail"), (3, b + " tail"), (None, a), (None, "alone here now"), (9, None)]
+    got = sorted((tuple(r) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str)
+    assert got == sorted([(1, 58, 1, 3), (1, 58, 1, 3), (1, 58, 1, 1), (2, 59, 1, 3), (3, 59, 1, 1), (None, 58, 1, 3), (None, 1, None, 0), (9, 0, 9, 0)], key=str)
+    kept = ngram_join.one_of_each(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, _gone int, _doc_id int"), words=3, percent=90)
+    assert kept.columns == ["doc_id", "text", "_gone", "_doc_id"]
+    assert sorted([r["doc_id"] for r in kept.collect()], key=str) == sorted([1, 1, 1, None, None, 9], key=str)
+
+
+def test_unlike_sets_make_no_families(spark):
+    """Sets that have nothing in common share no signature, whatever their sizes."""
+    rng = np.random.default_rng(11)
+    for percent in (80, 90):
+        seen, twice = set(), 0
+        for k in range(12_000):
+            got = {int(h) for _, part in ngram_join.signatures(np.unique(np.frombuffer(rng.bytes(8 * int(rng.integers(4, 81))), np.uint64)), percent) for h in part}
+            twice += bool(got & seen)
+            seen |= got
+        assert twice == 0
+    texts = [(k, " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 59))) for k in range(3000)]
+    prints = ngram_join.fingerprints(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), 5, 80)
+    assert ngram_join.families(prints.cache()).count() == 0
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_trie_finds_every_link(percent):
+    rng = np.random.default_rng(percent)
+    sets = []
+    for _ in range(40):
+        base = np.unique(rng.integers(0, 1 << 60, int(rng.integers(5, 200)), np.uint64))
+        for _ in range(6):
+            keep = base[rng.random(len(base)) > rng.choice([0.02, 0.1, 0.3])]
+            sets.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 60, int(rng.integers(0, 8)), np.uint64)])))
+    sets += [np.sort(np.append(sets[0], np.uint64(5))), sets[3][:-1], sets[3]]
+    trie = ngram_join.Trie(list(range(len(sets))), sets)
+    for probe in sets:
+        want = {i for i, s in enumerate(sets) if 100 * len(np.intersect1d(s, probe)) >= percent * len(np.union1d(s, probe)) and len(s)}
+        assert {trie.ids[i] for i, _ in trie.links(probe, percent)} == want
+
+
 def test_shingle_sizes_and_thresholds(spark, rows):
     few = {i: rows[i] for i in sorted(rows)[:120]}
     frame = spark.createDataFrame(list(few.items()), "doc_id long, text string")

@@ -7,34 +7,44 @@ at least `percent` / 100. The join is exact (up to collisions of 64-bit hashes):
 1. Equal sets become one class, whose smallest doc_id stands for it.
 2. Two linked sets of n and m shingles differ in at most (n + m) * (100 -
    percent) / (100 + percent) of them. Each set is cut into more ranges of the
-   order than that, a quarter more, so linked sets have many ranges in common.
-   Ranges that hold the same shingles give the same signature. Signatures are
+   order than that, a quarter more at least, so linked sets have many ranges in
+   common, and so many that of a set's ranges more hold shingles than may differ
+   (but for one set in 10 million, see range_count()). Ranges that hold the same
+   shingles give the same signature. Signatures are
    ordered, those that no other set has first, then rare ones, and of each set
    as many are looked at, in that order, as a linked set may lack, and one more
    (prefix filtering): linked sets have one of these in common, and most sets,
    whose signatures are mostly their own, are done with. Sets that share such
    signatures, directly or through others, form a family.
+   Signatures that several sets have are told by a bitmap, up to 32 MB; beyond
+   some 100 million of them it only lets more rows through, which the joins
+   behind it drop.
 3. The sets of a family meet in blocks: a family of many sets is cut into g
    blocks, and every pair of blocks is one group of rows, so no task holds more
    than two blocks. In a group the sets of one block are stored in a trie. Each
    set of the other is taken down the trie: children of a node share the overlap
-   found so far, and a subtree is left as soon as the shingles that remain can't
-   reach the needed overlap. Every pair is decided for link counts, which tasks
+   found so far, and a subtree is left, with all sets below it that are not long
+   enough, as soon as the shingles that remain can't reach the needed overlap.
+   Every pair is decided for link counts, which tasks
    add up by set before they leave, and for `links`. For components alone, a set
    that already belongs to another's component is not compared with it again.
-4. Links are contracted to components, labelled with the smallest doc_id.
+4. Links are contracted to components of sets, labelled with the smallest doc_id.
 
 Null texts count as empty; texts without words have empty sets, which link with
 nothing. Texts with fewer than `words` words have the whole sequence as their
-one shingle. Letters A-Z count as a-z. Repeated rows are copies. A null doc_id
-stands for no other document: rows without one that equal no row with one link
-only with their copies. Other columns are ignored.
+one shingle. Letters A-Z count as a-z. Very long texts are read whole; a text is
+what a task holds at least. Repeated rows are copies. A doc_id that stands with
+several texts has a row for each, and what any of them links with reaches it. A
+null doc_id is nobody's label: a component of such rows alone has none. An empty
+table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,14 +60,19 @@ RATIO = 1.35
 #: that may differ); sets with fewer empty ranges than this give no signature
 #: for empty ones.
 SPARE = 4
+#: Share of sets, at most, of which no more ranges hold shingles than may differ.
+SPARSE = 1e-7
 #: A signature is rare in fewer classes than this.
 RARE = 17
 #: Sets, and shingles in all, of a block, about.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
-#: Bits of the fixed-size filters that tasks hold (2 MB). A filter that is full
-#: only lets more rows through, which the joins behind it drop.
-FILTER_BITS = 24
+#: Bits of the filters that tasks hold, as a power of two: by how much they hold,
+#: 2 MB at least and 32 MB at most. A filter that is full only lets more rows
+#: through, which the joins behind it drop.
+FILTER_BITS, FILTER_MOST = 24, 28
 MEMO_WORDS = 300_000
+#: Stands for a null doc_id while rows are looked up.
+NOBODY = -(1 << 63)
 
 _GOLD, _M1, _M2, _S32 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(32)
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -102,11 +117,25 @@ def size_bounds(limit: int = 1 << 40) -> np.ndarray:
 _BOUNDS = size_bounds()
 
 
+@lru_cache(maxsize=1024)
+def range_count(least: int, differ: int) -> int:
+    """Ranges for sets of `least` shingles or more, `differ` of which may lack:
+    so many that at most a share of SPARSE of them leave all but `differ` ranges
+    empty. Shingles are hashes, so the share is under C(ranges, differ) * (differ
+    / ranges) ^ least."""
+    ranges = differ + max(SPARE, differ // 4)
+    beyond = lambda r: math.lgamma(r + 1) - math.lgamma(differ + 1) - math.lgamma(r - differ + 1) + least * math.log(differ / r) > math.log(SPARSE)
+    while beyond(ranges):
+        ranges += max(1, ranges // 16)
+    return ranges
+
+
 def signatures(shingles: np.ndarray, percent: int = 90) -> list[tuple[int, np.ndarray]]:
     """Signatures of one set, for its own class of sizes and, where a smaller
     set of the class below may link with it, for that; with each the number that
-    is to be looked at. A signature for empty ranges, where there are many,
-    stands by itself."""
+    is to be looked at. Where no more ranges hold shingles than may differ, the
+    ranges in common with a linked set may be empty ones: one signature stands
+    for those, by itself."""
     n, out = len(shingles), []
     if not n:
         return out
@@ -118,14 +147,13 @@ def signatures(shingles: np.ndarray, percent: int = 90) -> list[tuple[int, np.nd
         differ = largest * (100 - percent) // percent
         if differ == 0:
             continue  # linked sets are equal
-        spare = max(SPARE, differ // 4)
-        ranges = differ + spare
+        ranges = range_count(int(_BOUNDS[c]), differ)
         at = ((shingles >> _S32) * np.uint64(ranges)) >> _S32
         first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
         held = np.add.reduceat(_mix(shingles + np.uint64(c)), first)
         # of these, at most `differ` are missing in a linked set, or stand against its empty ranges
         out.append((differ + 1, _mix(held + at[first] * _GOLD + np.uint64(c))))
-        if ranges - len(first) >= spare:
+        if len(first) <= differ:
             out.append((1, _mix(np.array([c], np.uint64))))
     return out
 
@@ -138,7 +166,9 @@ def needed(n: int, m: int, percent: int) -> int:
 class Trie:
     """Ascending sets in lexicographic order with the length of the prefix that
     each shares with the one before: the nodes of their trie in depth-first
-    order. Long edges are walked in steps of STEP shingles."""
+    order. `after` is the next set that shares less, so the sets from one up to
+    there hang below its branch; `longest` is the largest size among them. Long
+    edges are walked in steps of STEP shingles."""
 
     STEP = 48
 
@@ -150,28 +180,41 @@ class Trie:
             k = min(len(a), len(b))
             differs = np.flatnonzero(a[:k] != b[:k])
             self.shared.append(int(differs[0]) if len(differs) else k)
+        n = len(self.sets)
+        self.after, self.longest = [n] * n, [len(x) for x in self.sets]
+        for i in range(n - 1, -1, -1):
+            j = i + 1
+            while j < n and self.shared[j] >= self.shared[i]:
+                self.longest[i] = max(self.longest[i], self.longest[j])
+                j = self.after[j]
+            self.after[i] = j
 
     def links(self, probe: np.ndarray, percent: int, skip=lambda i: False) -> list[tuple[int, int]]:
         """(position, overlap) of the stored sets that link with the probe."""
         out, n = [], len(probe)
         if not n:
             return out
+        shared, after, longest, sets = self.shared, self.after, self.longest, self.sets
         # overlap of the current path at the depths that were reached
         depths, found = [0], [0]
-        dead = -1  # depth of the subtree that was left, -1 for none
-        for i, held in enumerate(self.sets):
-            share, m = self.shared[i], len(held)
-            while depths[-1] > share:
+        i, dead, missed = 0, -1, 0  # dead: depth of the subtree that was left, missed: its shingles that the probe lacks
+        while i < len(sets):
+            while depths[-1] > shared[i]:
                 depths.pop()
                 found.pop()
-            if 0 <= dead <= share:
-                # the subtree was left because of shingles that miss; a longer set may afford more
-                if m - (dead - dead_overlap) < needed(n, m, percent):
+            if dead > shared[i]:
+                dead = -1
+            if dead >= 0:
+                # below it, only sets that are longer than those tried may afford so many
+                if longest[i] - missed < needed(n, longest[i], percent):
+                    i = after[i]
                     continue
-            dead = -1
-            if min(n, m) < needed(n, m, percent) or skip(i):
+            held = sets[i]
+            m, need = len(held), needed(n, len(held), percent)
+            if dead >= 0 and m - missed < need or min(n, m) < need or skip(i):
+                i += 1
                 continue
-            depth, overlap, need = depths[-1], found[-1], needed(n, m, percent)
+            depth, overlap = depths[-1], found[-1]
             while depth < m:
                 step = held[depth : depth + self.STEP]
                 at = np.searchsorted(probe, step)
@@ -185,7 +228,8 @@ class Trie:
             if depth >= m and overlap >= need:
                 out.append((i, overlap))
             elif depth < m:
-                dead, dead_overlap = depth, overlap
+                dead, missed = depth, depth - overlap
+            i += 1
         return out
 
 
@@ -216,17 +260,18 @@ def block_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.nd
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """hashes: (h), longs. A fixed-size set of them: 2^FILTER_BITS bits, in
-    2^(FILTER_BITS - 6) rows at most."""
-    place = hashes.select((F.col("h").bitwiseAND((1 << FILTER_BITS) - 1)).alias("p"))
+    """hashes: (h), longs of a stored table. A set of them, of four bits or more
+    for each, as far as FILTER_MOST allows; in words of 64 bits."""
+    bits = min(FILTER_MOST, max(FILTER_BITS, (4 * hashes.count()).bit_length()))
+    place = hashes.select((F.col("h").bitwiseAND((1 << bits) - 1)).alias("p"))
     rows = place.groupBy(F.expr("shiftright(p, 6) AS w")).agg(F.expr("bit_or(shiftleft(1L, CAST(p & 63 AS INT))) AS b")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out = np.zeros(1 << (bits - 6), np.uint64)
     out[rows.column("w").to_numpy()] = rows.column("b").to_numpy().view(np.uint64)
     return out
 
 
 def _held(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    place = hashes.view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+    place = hashes.view(np.uint64) & np.uint64(64 * len(bitmap) - 1)
     return (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
@@ -240,7 +285,7 @@ def fingerprints(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for at, n in slices(batch):
                 part = batch.slice(at, n)
                 sets = [shingle_set(t, words) for t in part.column("text").to_pylist()]
-                ids = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
+                ids = [_set_id(s) for s in sets]
                 found = [signatures(s, percent) for s in sets]
                 held = [b"".join(h.tobytes() for _, h in g) for g in found]
                 groups = [np.array([(len(h), k) for k, h in g], "<i4").tobytes() for g in found]
@@ -286,8 +331,12 @@ def families(prints: DataFrame) -> DataFrame:
     return connected(edges).select(F.col("node").alias("set_id"), F.col("component").alias("family"))
 
 
+def _set_id(shingles: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def _sets_of(docs: DataFrame, bitmap, words: int) -> DataFrame:
-    """(doc_id, shingles) of the documents whose id the bitmap holds."""
+    """(doc_id, set_id, shingles) of the documents whose id the bitmap holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sole_memo("ngram_join", _memo.clear)
@@ -297,9 +346,10 @@ def _sets_of(docs: DataFrame, bitmap, words: int) -> DataFrame:
                 chosen = batch.take(pa.array(keep))
                 for at, n in slices(chosen):
                     part = chosen.slice(at, n)
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([shingle_set(t, words).tobytes() for t in part.column("text").to_pylist()], pa.binary())], ["doc_id", "shingles"])
+                    sets = [shingle_set(t, words) for t in part.column("text").to_pylist()]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(_set_id, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "set_id", "shingles"])
 
-    return texts(docs).withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "doc_id long, shingles binary")
+    return texts(docs).withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "doc_id long, set_id long, shingles binary")
 
 
 def _counted(links: list[tuple[int, int]], copies: dict[int, int]) -> tuple[list[tuple[int, int]], dict[int, int]]:
@@ -324,7 +374,7 @@ def _counted(links: list[tuple[int, int]], copies: dict[int, int]) -> tuple[list
 
 
 def _links(rows: DataFrame, percent: int, kind: str = "joining") -> DataFrame:
-    """rows: (family, i, j, side, doc_id, copies, shingles), side 0 for block i
+    """rows: (family, i, j, side, set_id, copies, shingles), side 0 for block i
     and 1 for block j. Groups come one after another, sorted; a task holds one
     group. Links (a, b): enough to connect what is linked ("joining"), or "every"
     one; "counted" adds rows of a set a and the number n of documents that it
@@ -349,8 +399,8 @@ def _links(rows: DataFrame, percent: int, kind: str = "joining") -> DataFrame:
                 if at != key:
                     yield from out()
                     key, blocks, copies = at, ([], []), {}
-                copies[batch.column("doc_id")[r].as_py()] = batch.column("copies")[r].as_py()
-                blocks[batch.column("side")[r].as_py()].append((batch.column("doc_id")[r].as_py(), np.frombuffer(batch.column("shingles")[r].as_py(), np.uint64)))
+                copies[batch.column("set_id")[r].as_py()] = batch.column("copies")[r].as_py()
+                blocks[batch.column("side")[r].as_py()].append((batch.column("set_id")[r].as_py(), np.frombuffer(batch.column("shingles")[r].as_py(), np.uint64)))
         yield from out()
 
     dealt = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
@@ -358,22 +408,25 @@ def _links(rows: DataFrame, percent: int, kind: str = "joining") -> DataFrame:
 
 
 def _met(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The documents' fingerprints; those with shingles; their classes; and the
-    classes' representatives as rows for _links()."""
+    """The documents' fingerprints; those with shingles; their classes of equal
+    sets (set_id, rep: the smallest doc_id, n, size); and the classes' sets as
+    rows for _links()."""
     spark = docs.sparkSession
     prints = stored(fingerprints(docs, words, percent))
     sound = prints.where("n_shingles > 0")
     classes = stored(sound.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("n_shingles").alias("size")))
     own = classes.join(families(prints), "set_id")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
-    own = stored(own.where("rep is not null").select("rep", "family", "size", F.col("n").alias("copies")))
+    own = stored(own.select("set_id", F.coalesce("rep", F.lit(NOBODY)).alias("rep"), "family", "size", F.col("n").alias("copies")))
     sizes = own.groupBy("family").agg(blocks.alias("g"), F.count("*").alias("members"))
     bitmap = spark.sparkContext.broadcast(_bitmap(own.select(F.xxhash64("rep").alias("h"))))
-    dealt = join_hot(own, sizes, "family", own.count(), "members").where("members > 1").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("g")).cast("int"))
-    sets = dealt.join(_sets_of(docs, bitmap, words).dropDuplicates(["doc_id"]), F.col("rep") == F.col("doc_id"))
+    dealt = join_hot(own, sizes, "family", own.count(), "members").where("members > 1").withColumn("own", F.pmod(F.xxhash64("set_id", F.lit(7)), F.col("g")).cast("int"))
+    named = docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NOBODY)))
+    found = _sets_of(named, bitmap, words).withColumnsRenamed({"doc_id": "rep"}).dropDuplicates(["rep", "set_id"])  # of repeated rows, one
+    sets = dealt.join(found, ["rep", "set_id"])
     other = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
-    placed = sets.select("family", "own", other.alias("other"), "doc_id", "copies", "shingles")
-    rows = placed.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "doc_id", "copies", "shingles")
+    placed = sets.select("family", "own", other.alias("other"), "set_id", "copies", "shingles")
+    rows = placed.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "set_id", "copies", "shingles")
     return prints, sound, classes, rows
 
 
@@ -383,9 +436,11 @@ def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90, counts: bool
     documents that it links with, copies included."""
     prints, sound, classes, rows = _met(docs, words, percent)
     found = stored(_links(rows, percent, "counted" if counts else "joining"))
-    labels = connected(found.where("b IS NOT NULL").select("a", "b")).withColumnsRenamed({"node": "rep", "component": "_label"})
-    others = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("_others"))
-    named = classes.join(labels, "rep", "left").join(others, "rep", "left").select("set_id", "n", F.coalesce("_label", "rep").alias("component_id"), (F.col("n") - 1 + F.coalesce("_others", F.lit(0))).alias("n_links"))
+    joined = connected(found.where("b IS NOT NULL").select("a", "b")).withColumnsRenamed({"node": "set_id"})
+    least = joined.join(classes, "set_id").groupBy("component").agg(F.min("rep").alias("_label"), F.count("*").alias("_sets"))
+    labels = join_hot(joined, stored(least), "component", joined.count(), "_sets").select("set_id", "_label")
+    others = found.where("b IS NULL").groupBy(F.col("a").alias("set_id")).agg(F.sum("n").alias("_others"))
+    named = classes.join(labels, "set_id", "left").join(others, "set_id", "left").select("set_id", "n", F.coalesce("_label", "rep").alias("component_id"), (F.col("n") - 1 + F.coalesce("_others", F.lit(0))).alias("n_links"))
     names = ["doc_id", "n_shingles", "component_id", *(["n_links"] if counts else [])]
     linked = join_hot(sound.select("doc_id", "n_shingles", "set_id"), named, "set_id", sound.count()).select(names)
     return linked.unionByName(prints.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")).select(names))
@@ -393,12 +448,16 @@ def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90, counts: bool
 
 def links(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """(a, b), a < b: every link between different texts, each of which its
-    smallest doc_id stands for."""
-    found = _links(_met(docs, words, percent)[3], percent, "every")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    smallest doc_id stands for (texts that have none are left out)."""
+    _, _, classes, rows = _met(docs, words, percent)
+    rep = lambda c: classes.select(F.col("set_id").alias(c), F.col("rep").alias(f"{c}_rep"))
+    found = _links(rows, percent, "every").select("a", "b").join(rep("a"), "a").join(rep("b"), "b").where("a_rep IS NOT NULL AND b_rep IS NOT NULL")
+    return found.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents that reach one with a smaller doc_id."""
-    gone = ngram_join(docs, words, percent, counts=False).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """docs, with all their columns, without the rows that reach a document with
+    a smaller doc_id. Rows without a doc_id stay."""
+    gone = ngram_join(docs, words, percent, counts=False).where("component_id <> doc_id").select("doc_id").distinct()
+    name = "_" * (1 + max(map(len, docs.columns))) + "doc_id"  # longer than any column's
+    return docs.join(gone.withColumnRenamed("doc_id", name), F.col("doc_id").cast("long") == F.col(name), "left_anti")

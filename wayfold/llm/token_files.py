@@ -41,8 +41,9 @@ MAX_BITS = 16
 BLOCK_IDS = 1 << 17
 RUN = 64
 END_ID = 0
-#: Documents in one range partition, about.
-PARTITION_IDS = 4_000_000
+#: Ids in one range partition, about, where there are more than the session's
+#: number of shuffle partitions holds: some 90 MB of codes.
+PARTITION_IDS = 64_000_000
 #: Words that the encoder remembers.
 MEMO_WORDS = 1_000_000
 
@@ -255,10 +256,11 @@ def read_files(spark: SparkSession, path: str, digests_only: bool = False) -> Da
     header = spark.read.parquet(f"{path}/header").first()
     lengths = np.frombuffer(bytes(header["lengths"]), np.uint8)
     table = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    # one row for each range partition; how it meets the blocks is left to its size
+    # One row for each range partition, 16 bytes: as many as the session's shuffle
+    # partitions, or one for PARTITION_IDS ids. So it may be broadcast.
     sums = table.groupBy("part").agg(F.sum("ids").alias("n"))
     base = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    placed = table.join(base, "part").select((F.col("base") + F.col("start")).alias("start"), "doc_ids", "sizes", "payload", "runs")
+    placed = table.join(F.broadcast(base), "part").select((F.col("base") + F.col("start")).alias("start"), "doc_ids", "sizes", "payload", "runs")
     shared = spark.sparkContext.broadcast(lengths)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
