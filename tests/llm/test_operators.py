@@ -210,13 +210,29 @@ def test_exact_dedup(docs, rows, odd, empty):
 
 def test_digest_index_appends(spark, odd):
     index = exact_dedup.DigestIndex(spark, "digest_index_test", 4)
-    first = exact_dedup.dedup(odd.where("doc_id < 10"), index)
+    first = exact_dedup.dedup(odd.where("doc_id < 10"), index, "one")
     assert first.where("kept").count() == len({plain(t) for i, t in ODD if i < 10})
-    second = {r["doc_id"]: r for r in exact_dedup.dedup(odd.where("doc_id >= 9"), index).collect()}
-    assert not second[9]["kept"] and not second[10]["kept"] and second[10]["keep_id"] == 9 and second[10]["group_size"] == 2
-    assert second[11]["kept"]
-    assert index.table().count() == len({plain(t) for _, t in ODD})
+    for _ in range(2):  # a batch that runs again finds its own rows
+        second = {r["doc_id"]: r for r in exact_dedup.dedup(odd.where("doc_id >= 9"), index, "two").collect()}
+        assert not second[9]["kept"] and not second[10]["kept"] and second[10]["keep_id"] == 9 and second[10]["group_size"] == 2
+        assert second[11]["kept"]
+        assert index.table().count() == len({plain(t) for _, t in ODD})
+    assert {r["doc_id"] for r in exact_dedup.kept_documents(odd.where("doc_id >= 9"), index, "two").collect()} == {i for i, r in second.items() if r["kept"]}
+    with pytest.raises(ValueError, match="id"):
+        exact_dedup.dedup(odd, index)
     index.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index")]
+
+
+def test_kept_documents_keeps_columns(spark):
+    """Clashing names, null and repeated ids, two texts under one id, white space."""
+    rows = [(1, "a b", 1, "x"), (1, "a b", 2, "y"), (1, "c", 3, "z"), (2, "a  b", 4, "w"), (None, "n", 5, "v"), (None, "n", 6, "u"), (3, None, 7, "t"), (4, "", 8, "s"), (5, "alone", 9, "r")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _rank int, _digest string").repartition(3)
+    got = exact_dedup.kept_documents(frame)
+    assert got.columns == frame.columns
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter([(1, "c"), (2, "a  b"), (None, "n"), (3, None), (5, "alone")])
+    wide = frame.withColumnsRenamed({"_rank": "_key", "_digest": "bits"})
+    assert exact_dedup.kept_documents(wide).columns == wide.columns and exact_dedup.kept_documents(wide).count() == 5
 
 
 def test_bpe(spark, odd, empty, docs, rows, library):
