@@ -475,14 +475,81 @@ def brute_quality(t):
 
 
 def test_quality(docs, rows, odd, empty):
-    for frame, texts in ((docs, rows), (odd, {i: t or "" for i, t in ODD if i not in (13, 14)})):
+    for frame, texts in ((docs, rows), (odd, {i: t or "" for i, t in ODD})):
         got = {r["doc_id"]: r for r in quality.quality(frame).collect()}
-        for i, t in texts.items():
-            want = brute_quality(t)
-            assert tuple(got[i])[1:6] == want
-            failed = want[0] < 50 or 100 * want[4] > 50 * want[0]
-            assert got[i]["base_failed"] == failed and not (failed and got[i]["kept"])
+        kind = {r["doc_id"]: (r["lang"], r["source"]) for r in frame.collect()}
+        stats = {i: brute_quality(t) for i, t in texts.items()}
+        far = brute_distances({i: (*kind[i], *vector(t, stats[i])) for i, t in texts.items() if not base_failed(stats[i])})
+        for i in texts:
+            assert tuple(got[i])[1:6] == stats[i] and got[i]["base_failed"] == base_failed(stats[i])
+            assert (got[i]["distance"] is None) == base_failed(stats[i])
+            if i in far:
+                assert got[i]["distance"] == pytest.approx(far[i], rel=1e-6) and got[i]["kept"] == (far[i] <= quality.CUT)
+            else:
+                assert not got[i]["kept"]
     assert quality.quality(empty).count() == 0
+    again = {r["doc_id"]: r["distance"] for r in quality.quality(docs.repartition(7)).collect()}
+    assert again == {r["doc_id"]: r["distance"] for r in quality.quality(docs).collect()}
+
+
+def base_failed(s):
+    return s[0] < 50 or 100 * s[4] > 50 * s[0]
+
+
+def vector(t, s):
+    n, chars = max(s[0], 1), max(s[1], 1)
+    return [int(np.floor(x * 4096 + 0.5)) for x in (np.log(chars / n), np.sqrt(s[2] / chars), np.sqrt(s[4] / n), np.sqrt(s[3] / (t.count("\n") + 1)))]
+
+
+def brute_distances(rows):
+    """rows: id -> (lang, source, four whole numbers). All groups one after another."""
+    chains = {i: [("all",), ("all", r[0]), ("all", r[0], r[1])] for i, r in rows.items()}
+    members = {}
+    for i, chain in chains.items():
+        for g in chain:
+            members.setdefault(g, []).append(i)
+    x = {i: np.array(r[2:], float) / 4096 for i, r in rows.items()}
+    least = lambda values, share: sorted(values)[int(np.ceil(share * len(values))) - 1]
+    floors = np.diag(np.square(quality.FLOORS))
+
+    def far(i, g):
+        d = x[i] - now[g][0]
+        return float(d @ now[g][1] @ d)
+
+    def level(d):
+        w = int(min(d, 2.0**40) * 65536)
+        free = max(w.bit_length() - 7, 0)
+        return w >> free << free
+
+    now = {}
+    for g, ids in members.items():
+        q = [[least([x[i][k] for i in ids], s) for k in range(4)] for s in (0.25, 0.5, 0.75)]
+        now[g] = np.array(q[1]), np.linalg.inv(np.diag(((np.array(q[2]) - q[0]) / 1.349) ** 2) + floors)
+    for _ in range(quality.STEPS):
+        raw = {}
+        for g, ids in members.items():
+            d = {i: level(far(i, g)) for i in ids}
+            edge = least(d.values(), quality.SHARE)
+            inner = np.array([x[i] for i in ids if d[i] <= edge])
+            raw[g] = len(inner), inner.mean(0), (inner.T @ inner) / len(inner) - np.outer(inner.mean(0), inner.mean(0))
+        before, now = now, {}
+        for g in members:
+            mean = scatter = None
+            for k in range(1, len(g) + 1):
+                n, m, c = raw[g[:k]]
+                mean, scatter = (m, c) if k == 1 else ((n * m + 50 * mean) / (n + 50), (n * c + 50 * scatter) / (n + 50))
+            now[g] = mean, np.linalg.inv(scatter + floors)
+        if all(np.allclose(now[g][0], before[g][0], 1e-13, 0) and np.allclose(now[g][1], before[g][1], 1e-13, 0) for g in now):
+            break
+    middle = {g: least([level(far(i, g)) for i in ids], 0.5) / 65536 for g, ids in members.items()}
+    out = {}
+    for i, chain in chains.items():
+        m = None
+        for g in chain:
+            n = len(members[g])
+            m = middle[g] if m is None else (n * middle[g] + 50 * m) / (n + 50)
+        out[i] = far(i, chain[-1]) * 3.357 / max(m, 3.357)
+    return out
 
 
 def test_quality_outliers(spark):

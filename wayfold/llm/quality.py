@@ -5,15 +5,26 @@ half of the words stand in repeated 3-word windows, fails. For the others a
 vector of transformed statistics is held against a minimum-covariance-determinant
 estimate of its language and source: the mean and scatter of those `SHARE` of
 the group's rows that lie closest together. The estimate is found by
-concentration steps over all rows, for all groups at once: from a robust start (medians and quartiles
-by component), each step computes distances, takes the rows under the group's
-quantile, and re-estimates from their sums, which tasks add up before they
-shuffle. A row whose squared Mahalanobis distance is beyond CUT is rejected.
-Groups of fewer than LEAST_ROWS rows are held against all rows of their
-language, and those of rare languages against all rows.
-
-Null texts count as empty (and fail the plain rules). A null language or source
-is a group of its own. Repeated rows count as often as they occur.
+concentration steps over all rows, for all groups at once: from a robust start
+(medians and quartiles by component), each step computes distances, takes the
+rows up to the group's quantile, and re-estimates from their sums, until nothing
+changes or STEPS steps are done. A row whose squared Mahalanobis distance is
+beyond CUT is rejected.
+
+Every language and source has an estimate of its own, whatever its size: its
+mean and scatter count as many rows as it has, those of its language PRIOR rows
+more, and a language's lean on those of all rows in the same way. So a group of
+one row is judged by its language and a large one by itself, without a step
+between. No row that passes the plain rules is left unjudged.
+
+Statistics are rounded to 1 / GRAIN and summed as whole numbers, and quantiles
+come from counts, so results don't depend on how rows are partitioned.
+
+Null texts count as empty (and fail the plain rules). Very long texts are read
+whole. A null language or source is a group of its own, as is a missing column.
+Repeated rows count as often as they occur; equal distances are ranked alike. An
+empty table gives no rows. Other columns are ignored, whatever their names. A
+null doc_id is a row like any other.
 """
 
 from __future__ import annotations
@@ -26,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import WORD, slices, stored, texts
@@ -34,8 +45,11 @@ from wayfold.operators.components import join_hot
 
 LEAST_WORDS = 50
 SHARE = 0.75
-STEPS = 4
-LEAST_ROWS = 200
+STEPS = 8
+#: Rows for which the estimate above a group counts in the group's own.
+PRIOR = 50
+#: Statistics are whole multiples of 1 / GRAIN.
+GRAIN = 4096
 #: Squared distance at which a row is rejected, after scaling so that the median
 #: is that of a chi-square variable; far beyond its tail, since texts of a source
 #: are no Gaussian sample and clean texts have to stay.
@@ -90,34 +104,55 @@ def statistics(docs: DataFrame) -> DataFrame:
 def vectors(stats: DataFrame) -> DataFrame:
     """Rates rather than counts, so that long texts are no outliers for being
     long: log word length, roots of symbols a character, repeated words a word
-    and repeated lines a line."""
+    and repeated lines a line. In units of 1 / GRAIN."""
     n, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
-    return stats.withColumns({"v0": F.log(chars / n), "v1": F.sqrt(F.col("n_symbols") / chars), "v2": F.sqrt(F.col("n_repeat_words") / n), "v3": F.sqrt(F.col("n_dup_lines") / F.col("n_lines"))})
+    rates = F.log(chars / n), F.sqrt(F.col("n_symbols") / chars), F.sqrt(F.col("n_repeat_words") / n), F.sqrt(F.col("n_dup_lines") / F.col("n_lines"))
+    return stats.withColumns({v: F.round(r * GRAIN).cast("long") for v, r in zip(VECTOR, rates, strict=True)})
 
 
 OVERALL = "all"
 _PAIRS = [(i, j) for i in range(4) for j in range(i, 4)]
+_SUMS = ["inside", *(f"s{i}" for i in range(4)), *(f"p{i}{j}" for i, j in _PAIRS)]
 PARAMETERS = [*(f"m{i}" for i in range(4)), *(f"i{i}{j}" for i, j in _PAIRS)]
 _ESTIMATE = "g string, n long, " + ", ".join(f"{c} double" for c in PARAMETERS)
 
 
 def _distance():
     """Squared distance from inverse scatter entries i00.. and means m0.."""
-    d = [F.col(v) - F.col(f"m{i}") for i, v in enumerate(VECTOR)]
+    d = [F.col(v) / GRAIN - F.col(f"m{i}") for i, v in enumerate(VECTOR)]
     terms = [d[i] * d[j] * F.col(f"i{i}{j}") * F.lit(1.0 if i == j else 2.0) for i, j in _PAIRS]
     return sum(terms[1:], terms[0])
 
 
-def _estimate(rows: pd.DataFrame) -> pd.DataFrame:
-    """Means and inverse scatter from sums, a row for each group."""
-    out = []
-    for r in rows.to_dict("records"):
-        n = r["inside"]
-        mean = np.array([r[f"s{i}"] / n for i in range(4)])
-        scatter = np.array([[r[f"p{min(i, j)}{max(i, j)}"] / n - mean[i] * mean[j] for j in range(4)] for i in range(4)])
-        inverse = np.linalg.inv(scatter + np.diag(np.square(FLOORS)))
-        out.append({"g": r["g"], "n": r["n"]} | {f"m{i}": mean[i] for i in range(4)} | {f"i{i}{j}": inverse[i, j] for i, j in _PAIRS})
-    return pd.DataFrame(out)
+def _level(distance):
+    """A distance in 1 / 65536, of which the first seven binary digits are kept."""
+    whole = F.floor(F.least(distance, F.lit(2.0**40)) * 65536)
+    free = F.greatest(F.length(F.bin(whole)) - 7, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", whole, free), free)
+
+
+def _quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys, n (rows), and for each share the smallest value that so many of the
+    rows don't exceed. A row for each value is what a task sees of a group."""
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    order = Window.partitionBy(*keys).orderBy(value)
+    summed = counts.withColumns({"_below": F.sum("_c").over(order), "_n": F.sum("_c").over(Window.partitionBy(*keys))})
+    return summed.groupBy(*keys).agg(F.first("_n").alias("n"), *(F.min(F.when(F.col("_below") >= share * F.col("_n"), F.col(value))).alias(name) for name, share in shares.items()))
+
+
+def estimate(chain: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and inverse scatter from the sums of a group's inner rows and those
+    of what stands above it, from all rows down."""
+    mean = scatter = None
+    for sums in chain:
+        n = float(sums["inside"])
+        own = np.array([float(sums[f"s{i}"]) / GRAIN / n for i in range(4)])
+        spread = np.array([[float(sums[f"p{min(i, j)}{max(i, j)}"]) / GRAIN**2 / n - own[i] * own[j] for j in range(4)] for i in range(4)])
+        if mean is None:
+            mean, scatter = own, spread
+        else:
+            mean, scatter = (n * own + PRIOR * mean) / (n + PRIOR), (n * spread + PRIOR * scatter) / (n + PRIOR)
+    return mean, np.linalg.inv(scatter + np.diag(np.square(FLOORS)))
 
 
 def keyed(rows: DataFrame) -> DataFrame:
@@ -128,40 +163,72 @@ def keyed(rows: DataFrame) -> DataFrame:
 
 def estimates(rows: DataFrame, total: int, share: float = SHARE, steps: int = STEPS) -> DataFrame:
     """rows: a stored table with k0, k1 and the vector. The estimate of every
-    group of LEAST_ROWS rows by language and source, by language, and of all:
-    g, n (rows), means, inverse scatter, and scale: the factor that brings the
-    median squared distance down to that of a chi-square variable."""
+    language and source: g (its k0), n (rows), means, inverse scatter, and scale:
+    the factor that brings the median squared distance, which leans on the
+    language's as means do, down to that of a chi-square variable."""
     own = rows.select(F.explode(F.array("k0", "k1", F.lit(OVERALL))).alias("g"), *VECTOR)
-    q = [F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i, v in enumerate(VECTOR)]
-    start = own.groupBy("g").agg(F.count("*").alias("n"), *q).where(F.col("n") >= LEAST_ROWS)
-    wide = {f"m{i}": F.col(f"q{i}")[1] for i in range(4)}
+    parts = own.select("g", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(v).alias("value")) for i, v in enumerate(VECTOR)))).alias("c")).select("g", "c.*")
+    quartiles = _quantiles(parts, ["g", "i"], "value", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    wide = quartiles.groupBy("g").agg(F.first("n").alias("n"), *(F.max(F.when(F.col("i") == i, F.col(q))).alias(f"{q}{i}") for i in range(4) for q in ("q1", "q2", "q3")))
+    start = {f"m{i}": F.col(f"q2{i}") / GRAIN for i in range(4)}
     for i in range(4):
-        spread = (F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349
-        wide |= {f"i{i}{j}": (1 / (spread * spread + F.lit(FLOORS[i] ** 2)) if i == j else F.lit(0.0)) for j in range(i, 4)}
-    now = stored(start.select("g", "n", *(wide[c].cast("double").alias(c) for c in PARAMETERS)))
-    at = lambda table, *more: join_hot(own, table, "g", 3 * total).withColumn("d", _distance()).select("g", "n", *VECTOR, "d", *more)
+        spread = (F.col(f"q3{i}") - F.col(f"q1{i}")) / GRAIN / 1.349
+        start |= {f"i{i}{j}": (1 / (spread * spread + F.lit(FLOORS[i] ** 2)) if i == j else F.lit(0.0)) for j in range(i, 4)}
+    now = stored(wide.select("g", "n", *(start[c].cast("double").alias(c) for c in PARAMETERS)))
+    above = stored(rows.groupBy("k0", "k1").agg(F.count("*").alias("c")).select(F.col("k0").alias("g"), F.col("k1").alias("up")))
+    at = lambda table, *more: join_hot(own, table, "g", 3 * total).withColumn("d", _level(_distance())).select("g", "n", *VECTOR, "d", *more)
+    whole = lambda c: F.sum(c.cast("decimal(20,0)"))
     for _ in range(steps):
-        edge = at(now).groupBy("g").agg(F.percentile_approx("d", share, 1000).alias("edge"))
+        edge = _quantiles(at(now), ["g"], "d", {"edge": share}).drop("n")
         inside = at(stored(now.join(edge, "g")), "edge").where("d <= edge")
-        sums = inside.groupBy("g").agg(F.first("n").alias("n"), F.count("*").alias("inside"), *(F.sum(v).alias(f"s{i}") for i, v in enumerate(VECTOR)), *(F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"p{i}{j}") for i, j in _PAIRS))
-        now = stored(sums.mapInPandas(lambda parts: (_estimate(p) for p in parts if len(p)), _ESTIMATE))
-    median = at(now).groupBy("g").agg(F.percentile_approx("d", 0.5, 1000).alias("median"))
-    return now.join(median, "g").select("g", "n", *PARAMETERS, (F.lit(CHI2_MEDIAN) / F.greatest("median", F.lit(CHI2_MEDIAN))).alias("scale"))
+        sums = stored(inside.groupBy("g").agg(F.first("n").alias("n"), F.count("*").alias("inside"), *(whole(F.col(v)).alias(f"s{i}") for i, v in enumerate(VECTOR)), *(whole(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"p{i}{j}") for i, j in _PAIRS)))
+        top = sums.where(F.col("g") == OVERALL).first()  # one row
+        if top is None:
+            break
+        new = stored(_above(sums, above).mapInPandas(_estimates(top.asDict()), _ESTIMATE))
+        same = now.join(new.withColumnsRenamed({c: f"new_{c}" for c in PARAMETERS}), "g").where(" OR ".join(f"abs({c} - new_{c}) > 1e-12 * abs({c})" for c in PARAMETERS)).isEmpty()
+        now = new
+        if same:
+            break
+    median = stored(_quantiles(at(now), ["g"], "d", {"median": 0.5}).select("g", (F.col("median") / 65536).alias("median"), F.col("n").alias("rows")))
+    top = median.where(F.col("g") == OVERALL).first()
+    lean = lambda own, up: (F.col("rows") * own + PRIOR * up) / (F.col("rows") + PRIOR)
+    language = median.select(F.col("g").alias("up"), lean(F.col("median"), F.lit(top["median"] if top else None).cast("double")).alias("up_median"))
+    scaled = median.join(above, "g").join(language, "up").select("g", F.greatest(lean(F.col("median"), F.col("up_median")), F.lit(CHI2_MEDIAN)).alias("median"))
+    return now.join(scaled, "g").select("g", "n", *PARAMETERS, (F.lit(CHI2_MEDIAN) / F.col("median")).alias("scale"))
+
+
+def _above(sums: DataFrame, above: DataFrame) -> DataFrame:
+    """sums with those of the language above, as up_..., null for a language
+    and for all rows."""
+    up = sums.select(F.col("g").alias("up"), *(F.col(c).alias(f"up_{c}") for c in _SUMS))
+    return sums.join(above, "g", "left").join(up, "up", "left")
+
+
+def _estimates(top: dict):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for r in part.to_dict("records"):
+                chain = [top] if r["g"] == OVERALL else [top, r]
+                if not pd.isna(r["up_inside"]):
+                    chain.insert(1, {c: r[f"up_{c}"] for c in _SUMS})
+                mean, inverse = estimate(chain)
+                out.append({"g": r["g"], "n": r["n"]} | {f"m{i}": mean[i] for i in range(4)} | {f"i{i}{j}": inverse[i, j] for i, j in _PAIRS})
+            if out:
+                yield pd.DataFrame(out)
+
+    return run
 
 
 def quality(docs: DataFrame, cut: float = CUT) -> DataFrame:
-    """doc_id, the statistics, base_failed, distance (from the finest group with
-    LEAST_ROWS rows; null where there is none or base_failed) and kept."""
+    """doc_id, the statistics, base_failed, distance (null where base_failed)
+    and kept."""
     base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = stored(keyed(vectors(statistics(docs))).withColumn("base_failed", base))
-    found = stored(estimates(rows.where("not base_failed"), rows.count()))
-    names = [*PARAMETERS, "scale"]
-    overall = found.where(F.col("g") == OVERALL).first()  # one row
-    of = lambda k: found.select(F.col("g").alias(k), F.struct(*names).alias(f"at_{k}"))
-    rest = F.struct(*(F.lit(overall[c] if overall else None).cast("double").alias(c) for c in names))
-    groups = rows.groupBy("k0", "k1").agg(F.count("*").alias("n"))
-    groups = groups.join(of("k0"), "k0", "left").join(of("k1"), "k1", "left").withColumn("e", F.coalesce("at_k0", "at_k1", rest)).select("k0", "n", "e.*")
-    out = join_hot(rows, stored(groups), "k0", rows.count())
-    out = out.withColumn("distance", F.when(~F.col("base_failed"), _distance() * F.col("scale")))
-    kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
+    sound = rows.where("not base_failed")
+    found = stored(estimates(sound, sound.count()).withColumnRenamed("g", "k0"))
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    judged = join_hot(sound, found, "k0", rows.count()).withColumn("distance", _distance() * F.col("scale"))
+    out = judged.select(*names, (F.col("distance") <= cut).alias("kept"), "distance")
+    return out.unionByName(rows.where("base_failed").select(*names, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance")))
