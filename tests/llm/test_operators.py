@@ -422,17 +422,56 @@ def test_toxicity_odd(spark, odd, empty):
     assert toxicity.toxicity(empty, labels).count() == 0
 
 
-def test_marginals_match_enumeration():
-    rng = np.random.default_rng(4)
-    e, move = rng.normal(size=(3, 5)), rng.normal(size=(2, 2))
-    real = np.arange(5)[None, :] < np.array([5, 3, 1])[:, None]
-    p, _ = toxicity.marginals(e, real, move)
-    for lane, n in enumerate((5, 3, 1)):
-        total, on = 0.0, np.zeros(n)
-        for tags in np.ndindex(*[2] * n):
-            w = np.exp(sum(e[lane, t] for t in range(n) if tags[t]) + sum(move[a, b] for a, b in zip(tags, tags[1:])))
+@pytest.mark.parametrize("size", [1, 2, 3, 64])
+def test_marginals_match_enumeration(size):
+    """Whole chains, however they are cut."""
+    rng = np.random.default_rng(size)
+    sizes, move = [5, 0, 3, 1, 7, 2], rng.normal(size=(2, 2))
+    e = rng.normal(size=sum(sizes)) * 3
+    p, moves = toxicity.Chains(sizes, size).marginals(e, move, True)
+    at, want = 0, np.zeros((2, 2))
+    for n in sizes:
+        total, on, pairs = 0.0, np.zeros(n), np.zeros((2, 2))
+        for tags in np.ndindex(*[2] * n) if n else ():
+            w = np.exp(sum(e[at + t] for t in range(n) if tags[t]) + sum(move[a, b] for a, b in zip(tags, tags[1:])))
             total, on = total + w, on + w * np.array(tags)
-        assert np.allclose(p[lane, :n], on / total) and (p[lane, n:] == 0).all()
+            for a, b in zip(tags, tags[1:]):
+                pairs[a, b] += w
+        if n:
+            assert np.allclose(p[at : at + n], on / total)
+            want += pairs / total
+        at += n
+    assert np.allclose(moves, want)
+
+
+def test_toxicity_scores_against_plain_chains(spark, docs, rows, sf_dir):
+    """Every score, from messages in logarithms, one word after another."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, model).collect()}
+    both = np.logaddexp
+    for i, t in rows.items():
+        e = [model.bias + sum(model.weights.get(f, 0.0) for f in toxicity.features(w.lower())) for w in toxicity.TOKEN.findall(t)]
+        ahead, behind = [], []
+        for k, x in enumerate(e):
+            a, b = (0.0, 0.0) if not k else (both(ahead[-1][0] + model.move[0, 0], ahead[-1][1] + model.move[1, 0]), both(ahead[-1][0] + model.move[0, 1], ahead[-1][1] + model.move[1, 1]))
+            ahead.append((a, b + x))
+        for x in reversed(e):
+            if not behind:
+                behind.append((0.0, 0.0))
+            else:
+                a, b = behind[-1]
+                behind.append((both(model.move[0, 0] + a, model.move[0, 1] + last + b), both(model.move[1, 0] + a, model.move[1, 1] + last + b)))
+            last = x
+        p = np.array([1 / (1 + np.exp(a[0] + b[0] - a[1] - b[1])) for a, b in zip(ahead, reversed(behind))])
+        x = np.array([p.max(), np.log1p((p * p).sum()), p.max() >= 0.5]) if len(p) else np.zeros(3)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-np.clip(x @ model.doc[1:] + model.doc[0], -30, 30))), abs=1e-9)
+
+
+def test_sample_without_near_copies():
+    a = [f"w{i}" for i in range(40)]
+    texts = [a, [*a, "tail"], [*a, "tail"], a[:20], [], [], a]
+    assert toxicity.without_near_copies(texts, [0, 0, 1, 0, 0, 0, 1]) == [0, 2, 3, 4]
 
 
 def test_toxic_spans():

@@ -4,19 +4,29 @@ Words are tagged toxic or not. Labelled tokens come from labelled documents:
 words, or word beginnings, that stand out in toxic documents by their log-odds
 mark the tokens that have them there; all other tokens are labelled clean. The
 field has one weight for each word and each beginning of 3 to 6 letters that several toxic
-documents have, and
-weights between neighbouring tags; it is trained by gradient steps on the
-likelihood, whose gradient needs the marginals of forward-backward. Chains are
-segments of SEGMENT words, so all segments of a slice of texts run side by side.
+documents have, and weights between neighbouring tags; it is trained by gradient
+steps on the likelihood, whose gradient needs the marginals of forward-backward.
 
-A document's score comes from its tokens' marginals (the highest, and their
-sum) by logistic regression on the labelled documents. Offending offsets are
-runs of tokens whose marginal is at least SPAN_LEAST.
+A document is one chain, however long. Its messages are ratios of the two tags'
+scores. Chains are cut into segments of SEGMENT words that run side by side: the
+product of a segment's transfer matrices takes the messages across it, so one
+pass over the segments of a document gives each the messages that enter it from
+both sides, and the marginals are those of the whole chain.
+
+A document's score comes from its tokens' marginals (the highest, and the sum of
+their squares) by logistic regression on the labelled documents. Offending
+offsets are runs of tokens whose marginal is at least SPAN_LEAST.
+
+The model is fitted on a sample of labelled documents of bounded size (SAMPLE),
+of any length; of near copies with one label, one is learnt from.
 
 Null texts count as empty; a text without letters has the score of a text
-without evidence. Null labels are not learnt from. Only text is ever an input.
-With no labelled document, or with one class only, every score is the share of
-toxic documents among those learnt from (0 without any). Repeated rows repeat.
+without evidence. Very long texts are read whole. Null labels are not learnt
+from. Only text is ever an input. With no labelled document, or with one class
+only, every score is the share of toxic documents among those learnt from (0
+without any). Repeated rows repeat, with equal scores; a null doc_id is a row
+like any other. An empty table gives no rows. Other columns are ignored by
+scoring and kept as they are by clean_documents(), whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +34,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,18 +43,23 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.common import slices, sole_memo, texts
 
-#: Labelled documents of each class that the field is fitted on at most, and
-#: characters of each at most: longer ones are not in the sample.
-SAMPLE, SAMPLE_CHARS = 1200, 8_000
+#: Labelled documents of each class that the field is fitted on, about: 1.5 times
+#: as many are expected, and twice as many are taken at most.
+SAMPLE = 1200
+#: Share of common words from which two documents of the sample are near copies.
+NEAR = 0.8
 SEGMENT = 64
-FEATURES = 50_000
+#: Scores of a word lie within this of 0, so that ratios stay finite.
+MOST_SCORE = 30.0
 #: Log-odds of a feature that marks tokens, and the toxic documents it is in: so
 #: many, and this share of them.
 LEAST_ODDS, LEAST_TOXIC, LEAST_SHARE = 2.5, 4, 0.01
-STEPS, RATE, DECAY = 60, 0.5, 1e-4
+STEPS, RATE, DECAY = 40, 0.5, 1e-4
 THRESHOLD = 0.7
 SPAN_LEAST = 0.5
 MEMO_WORDS = 200_000
+#: Words whose messages are held at once while the field is fitted, about.
+FIT_WORDS = 1 << 18
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -53,62 +67,91 @@ def features(word: str) -> list[str]:
     return ["=" + word, *(word[:k] for k in range(3, 7) if len(word) > k)]
 
 
-def _norm2(a, b):
-    m = np.maximum(a, b)
-    return m + np.log(np.exp(a - m) + np.exp(b - m))
-
-
-def marginals(emission: np.ndarray, real: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """emission: [segment, word] score of the toxic tag over the clean one.
-    real: which places hold a word. move: [tag, tag] scores. Returns the
-    probability that a place is toxic, and [2, 2] expected numbers of moves."""
-    lanes, size = emission.shape
-    ahead, behind = np.zeros((size, 2, lanes)), np.zeros((size, 2, lanes))
-    e = np.where(real, emission, 0.0).T
-    live = real.T
-    ahead[0, 1] = e[0]
-    for t in range(1, size):
-        for k in (0, 1):
-            new = _norm2(ahead[t - 1, 0] + move[0, k], ahead[t - 1, 1] + move[1, k]) + (e[t] if k else 0.0)
-            ahead[t, k] = np.where(live[t], new, ahead[t - 1, k])
-    for t in range(size - 2, -1, -1):
-        for k in (0, 1):
-            new = _norm2(move[k, 0] + behind[t + 1, 0], move[k, 1] + e[t + 1] + behind[t + 1, 1])
-            behind[t, k] = np.where(live[t + 1], new, behind[t + 1, k])
-    odds = (ahead[:, 1] + behind[:, 1]) - (ahead[:, 0] + behind[:, 0])
-    p = np.where(live, 1 / (1 + np.exp(-np.clip(odds, -60, 60))), 0.0).T
-    moves = np.zeros((2, 2))
-    total = _norm2(ahead[-1, 0], ahead[-1, 1])
-    both = live[1:] & live[:-1]
-    for a in (0, 1):
-        for b in (0, 1):
-            x = ahead[:-1, a] + move[a, b] + (e[1:] if b else 0.0) + behind[1:, b] - total
-            moves[a, b] = np.exp(np.minimum(x[both], 0.0)).sum()
-    return p, moves
-
-
-def segments(sizes: list[int], size: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For texts of so many words: the flat place of each cell of the segments,
-    which cells are real, and the text of each segment."""
-    starts, ends, owner, at = [], [], [], 0
-    for i, n in enumerate(sizes):
-        for k in range(0, n, size):
-            starts.append(at + k)
-            ends.append(at + min(k + size, n))
-            owner.append(i)
-        at += n
-    starts, ends = np.array(starts, np.int64), np.array(ends, np.int64)
-    place = starts[:, None] + np.arange(size)[None, :] if len(starts) else np.zeros((0, size), np.int64)
-    real = place < ends[:, None] if len(starts) else np.zeros((0, size), bool)
-    return np.where(real, place, 0), real, np.array(owner, np.int64)
-
-
-def document_evidence(p: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """Per text: highest marginal, log(1 + sum), and whether any reaches 0.5."""
-    best, total = np.zeros(n), np.zeros(n)
-    np.maximum.at(best, owner, p.max(1))
-    np.add.at(total, owner, np.where(p > 0.05, p, 0.0).sum(1))
-    return np.stack([best, np.log1p(total), best >= SPAN_LEAST], 1)
+class Chains:
+    """Texts of so many words as chains, cut into segments of `size` words. Words
+    of all texts stand one after another."""
+
+    def __init__(self, sizes: list[int], size: int = SEGMENT):
+        self.sizes = np.asarray(sizes, np.int64)
+        self.parts = -(-self.sizes // size)  # segments of each text
+        first = np.cumsum(self.parts) - self.parts
+        self.owner = np.repeat(np.arange(len(self.sizes)), self.parts)
+        k = np.arange(int(self.parts.sum())) - first[self.owner]
+        ends = np.cumsum(self.sizes)
+        place = (ends - self.sizes)[self.owner, None] + k[:, None] * size + np.arange(size)[None, :]
+        self.real = place < ends[self.owner, None]  # [segment, word]
+        self.place = np.where(self.real, place, 0)
+        self.opens = k == 0  # segments that begin a text
+        # for the pass over segments: those that are the k-th of their text, from either side
+        order = np.argsort(-self.parts, kind="stable")
+        deep = np.arange(1, 1 + int(self.parts.max(initial=0)))
+        live = np.searchsorted(-self.parts[order], -deep, "right")
+        self.ahead = [first[order[:n]] + k for k, n in enumerate(live)]
+        self.behind = [first[order[:n]] + self.parts[order[:n]] - 1 - k for k, n in enumerate(live)]
+
+    def marginals(self, score: np.ndarray, move: np.ndarray, moves: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """score: of the toxic tag over the clean one, by word. move: [tag, tag]
+        scores. Returns the probability that a word is toxic, and the expected
+        numbers of moves, [2, 2], if asked for."""
+        lanes, size = self.real.shape
+        out, seen = np.zeros(len(score)), np.zeros((2, 2))
+        if not lanes:
+            return out, seen
+        m = np.exp(move)
+        e = np.exp(np.clip(score, -MOST_SCORE, MOST_SCORE))[self.place].T.copy()  # [word, segment]
+        real = self.real.T
+        whole = real.all(1)
+        # transfer matrix of each segment; the first word of a text is not moved to
+        t = [np.ones(lanes), np.zeros(lanes), np.zeros(lanes), np.ones(lanes)]
+        for i in range(size):
+            a, b, c, d = t
+            new = [a * m[0, 0] + b * m[1, 0], (a * m[0, 1] + b * m[1, 1]) * e[i], c * m[0, 0] + d * m[1, 0], (c * m[0, 1] + d * m[1, 1]) * e[i]]
+            if i == 0:
+                new = [np.where(self.opens, y, x) for x, y in zip(new, (1.0, 0.0, 0.0, e[0]), strict=True)]
+            if not whole[i]:
+                new = [np.where(real[i], x, y) for x, y in zip(new, t, strict=True)]
+            total = new[0] + new[1] + new[2] + new[3]
+            t = [x / total for x in new]
+        # ratios of the messages that enter a segment from before it and from behind it
+        enter, leave = np.ones(lanes), np.ones(lanes)
+        for after in self.ahead[1:]:
+            here = after - 1
+            enter[after] = (t[1][here] + enter[here] * t[3][here]) / (t[0][here] + enter[here] * t[2][here])
+        for before in self.behind[1:]:
+            here = before + 1
+            leave[before] = (t[2][here] + t[3][here] * leave[here]) / (t[0][here] + t[1][here] * leave[here])
+        ahead, behind = np.empty((size, lanes)), np.empty((size, lanes))
+        now = enter
+        for i in range(size):
+            new = e[i] * (m[0, 1] + m[1, 1] * now) / (m[0, 0] + m[1, 0] * now)
+            if i == 0:
+                new = np.where(self.opens, e[0], new)
+            now = ahead[i] = new if whole[i] else np.where(real[i], new, now)
+        now = leave
+        for i in range(size - 1, -1, -1):
+            behind[i] = now
+            new = (m[1, 0] + m[1, 1] * e[i] * now) / (m[0, 0] + m[0, 1] * e[i] * now)
+            now = new if whole[i] else np.where(real[i], new, now)
+        odds = ahead * behind
+        out[self.place[self.real]] = (odds / (1 + odds)).T[self.real]
+        if moves:
+            before = np.concatenate([enter[None, :], ahead[:-1]])
+            moved = real.copy()
+            moved[0] &= ~self.opens
+            w = {(a, b): (before if a else 1.0) * m[a, b] * (e * behind if b else 1.0) for a in (0, 1) for b in (0, 1)}
+            total = w[0, 0] + w[0, 1] + w[1, 0] + w[1, 1]
+            for a, b in w:
+                seen[a, b] = (w[a, b] / total)[moved].sum()
+        return out, seen
+
+
+def document_evidence(p: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """Per text: highest marginal, log(1 + sum of squares), and whether any
+    reaches SPAN_LEAST."""
+    owner, n = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
+    best = np.zeros(n)
+    np.maximum.at(best, owner, p)
+    return np.stack([best, np.log1p(np.bincount(owner, p * p, n)), best >= SPAN_LEAST], 1)
 
 
 class Model:
@@ -128,18 +171,8 @@ class Model:
         """Words of each text, marginal of each word, and evidence of each text."""
         split = [TOKEN.findall(t) for t in found]
         sizes = [len(w) for w in split]
-        place, real, owner = segments(sizes)
-        flat = np.zeros(sum(sizes))
-        if not len(owner):
-            return sizes, flat, np.zeros((len(found), 3))
-        e = self.emission([w for ws in split for w in ws])[place]
-        p = np.zeros(e.shape)
-        # a segment all of whose words are far on the clean side needs no messages
-        live = np.flatnonzero((np.where(real, e, -99.0)).max(1) > self.bias + 0.5)
-        if len(live):
-            p[live], _ = marginals(e[live], real[live], self.move)
-        flat[place[real]] = p[real]
-        return sizes, flat, document_evidence(p, owner, len(found))
+        p, _ = Chains(sizes).marginals(self.emission([w for ws in split for w in ws]), self.move)
+        return sizes, p, document_evidence(p, sizes)
 
     def score(self, found: list[str]) -> np.ndarray:
         _, _, x = self.tag(found)
@@ -159,6 +192,37 @@ class Model:
         return out
 
 
+def without_near_copies(split: list[list[str]], labels: list[int]) -> list[int]:
+    """Places of the texts, all but those whose 3-word shingles are alike, by
+    NEAR, with those of an earlier one of the same label. Texts that share one
+    of the eight smallest hashes of their shingles are compared."""
+    kept: list[int] = []
+    at: dict[tuple[int, int], list[int]] = {}
+    own: dict[int, set[int]] = {}
+    for i, words in enumerate(split):
+        held = {zlib.crc32(" ".join(words[k : k + 3]).encode()) for k in range(max(1, len(words) - 2))}
+        keys = [(labels[i], h) for h in sorted(held)[:8]]
+        others = {j for k in keys for j in at.get(k, ())}
+        if any(len(held & own[j]) >= NEAR * len(held | own[j]) for j in others):
+            continue
+        kept.append(i)
+        own[i] = held
+        for k in keys:
+            at.setdefault(k, []).append(i)
+    return kept
+
+
+def _document_counts(word: list[np.ndarray], labels: list[int], first: np.ndarray, feature: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """In how many clean and toxic documents each feature is. word: the distinct
+    words of each document; feature: those of all words, from first[w] on."""
+    seen = np.zeros((2, n), np.int64)
+    for ws, label in zip(word, labels, strict=True):
+        size = first[ws + 1] - first[ws]
+        place = np.repeat(first[ws] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        seen[label, np.unique(feature[place])] += 1
+    return seen[0], seen[1]
+
+
 def fit(found: list[str], labels: list[int]) -> Model:
     y = np.array(labels, np.float64)
     share = float(y.mean()) if len(y) else 0.0
@@ -166,60 +230,51 @@ def fit(found: list[str], labels: list[int]) -> Model:
         logit = math.log((share or 1e-9) / (1 - share)) if share < 1 else 30.0
         return Model({}, -6.0, np.zeros((2, 2)), np.array([max(logit, -30.0), 0, 0, 0]))
     split = [[w.lower() for w in TOKEN.findall(t)] for t in found]
-    # of near copies, which would make any of their words stand out, one is learnt from
-    first = {tuple(sorted({zlib.crc32(w.encode()) for w in ws})[:3]): i for i, ws in reversed(list(enumerate(split)))}
-    chosen = sorted(first.values())
-    found, split, labels = [found[i] for i in chosen], [split[i] for i in chosen], [labels[i] for i in chosen]
+    # near copies would make any of their words stand out
+    chosen = without_near_copies(split, labels)
+    split, labels = [split[i] for i in chosen], [labels[i] for i in chosen]
     y = np.array(labels, np.float64)
     nt, nc = sum(labels), len(labels) - sum(labels)
-    toxic = Counter()
-    for ws, label in zip(split, labels, strict=True):
-        if label:
-            toxic.update({f for w in set(ws) for f in features(w)})
-    # what the field may weigh; all other features are let go before clean texts are counted
-    toxic = Counter({f: k for f, k in toxic.most_common(FEATURES) if k >= LEAST_TOXIC})
-    clean = Counter()
-    for ws, label in zip(split, labels, strict=True):
-        if not label:
-            clean.update({f for w in set(ws) for f in features(w) if f in toxic})
-    odds = {f: math.log((k + 0.25) / (nt + 0.5)) - math.log((clean[f] + 0.25) / (nc + 0.5)) for f, k in toxic.items() if k >= LEAST_SHARE * nt}
-    seeds = {f for f, o in odds.items() if o >= LEAST_ODDS}
-    kept = sorted(toxic)
-    number = {f: i for i, f in enumerate(kept)}
     words = sorted({w for ws in split for w in ws})
     index = {w: i for i, w in enumerate(words)}
-    own, feature = [], []
-    for i, w in enumerate(words):
-        for f in features(w):
-            if f in number:
-                own.append(i)
-                feature.append(number[f])
-    own, feature = np.array(own, np.int64), np.array(feature, np.int64)
-    marked = np.array([any(f in seeds for f in features(w)) for w in words], bool)
-    flat = np.array([index[w] for ws in split for w in ws], np.int64)
     sizes = [len(ws) for ws in split]
-    in_toxic = np.repeat(y > 0, sizes)
-    place, real, owner = segments(sizes)
-    target = np.where(real, (marked[flat] & in_toxic)[place], False)
-    cells = flat[place]
-    weights, bias, move = np.zeros(len(kept)), -4.0, np.zeros((2, 2))
-    seen = np.zeros((2, 2))
-    for a in (0, 1):
-        for b in (0, 1):
-            seen[a, b] = ((target[:, :-1] == a) & (target[:, 1:] == b) & real[:, 1:]).sum()
+    flat = np.fromiter((index[w] for ws in split for w in ws), np.int64, sum(sizes))
+    del split, index
+    number: dict[str, int] = {}
+    feature = np.array([number.setdefault(f, len(number)) for w in words for f in features(w)], np.int64)
+    count = np.array([len(features(w)) for w in words], np.int64)
+    first, own = np.concatenate([[0], np.cumsum(count)]), np.repeat(np.arange(len(words)), count)
+    clean, toxic = _document_counts([np.unique(x) for x in np.split(flat, np.cumsum(sizes)[:-1])], labels, first, feature, len(number))
+    odds = np.log((toxic + 0.25) / (nt + 0.5)) - np.log((clean + 0.25) / (nc + 0.5))
+    seeds = (toxic >= max(LEAST_TOXIC, LEAST_SHARE * nt)) & (odds >= LEAST_ODDS)
+    # the field weighs features of several toxic documents
+    weighed = toxic >= LEAST_TOXIC
+    marked = np.bincount(own, seeds[feature], len(words)) > 0
+    names = [f for f, ok in zip(number, weighed, strict=True) if ok]
+    own, feature = own[weighed[feature]], (np.cumsum(weighed) - 1)[feature[weighed[feature]]]
+    del number, words
+    target = marked[flat] & np.repeat(y > 0, sizes)
+    follows = np.ones(len(flat), bool)  # words with one before them in their text
+    follows[(np.cumsum(sizes) - sizes)[np.array(sizes) > 0]] = False
+    weights, bias, move = np.zeros(len(names)), -4.0, np.zeros((2, 2))
+    pairs = 2 * np.roll(target, 1)[follows] + target[follows]
+    seen = np.bincount(pairs, minlength=4).reshape(2, 2).astype(np.float64)
+    # in groups of texts, for the messages take several times the room
+    starts = np.flatnonzero(np.diff(np.cumsum(sizes) // FIT_WORDS, prepend=-1)).tolist()
+    parts = [(int(np.sum(sizes[:a])), Chains(sizes[a:b])) for a, b in zip(starts, [*starts[1:], len(sizes)], strict=True)]
     n = max(1.0, float(target.sum()))
-    square = np.full(len(kept), 1e-6)
+    square = np.full(len(names), 1e-6)
     square_move, square_bias = np.full((2, 2), 1e-6), 1e-6
     for _ in range(STEPS):
-        by_word = np.bincount(own, weights[feature], len(words)) + bias
-        p, moves = np.empty(real.shape), np.zeros((2, 2))
-        for k in range(0, len(real), 2048):  # in parts, for the messages take four times the room
-            part = slice(k, k + 2048)
-            p[part], some = marginals(by_word[cells[part]], real[part], move)
+        by_word = np.bincount(own, weights[feature], len(marked)) + bias
+        off, moves = target.astype(np.float64), np.zeros((2, 2))
+        for at, chains in parts:
+            part = slice(at, at + int(chains.sizes.sum()))
+            p, some = chains.marginals(by_word[flat[part]], move, True)
+            off[part] -= p
             moves += some
-        off = np.where(real, target - p, 0.0)
-        grad_word = np.bincount(cells[real], off[real], len(words))
-        grad = np.bincount(feature, grad_word[own], len(kept)) / n - DECAY * weights
+        grad_word = np.bincount(flat, off, len(marked))
+        grad = np.bincount(feature, grad_word[own], len(names)) / n - DECAY * weights
         square += grad**2
         weights += RATE * grad / np.sqrt(square)
         grad_move = (seen - moves) / n - DECAY * move
@@ -228,11 +283,10 @@ def fit(found: list[str], labels: list[int]) -> Model:
         grad_bias = off.sum() / n
         square_bias += grad_bias**2
         bias += RATE * 0.2 * grad_bias / math.sqrt(square_bias)
-    model = Model({f: float(weights[i]) for f, i in number.items() if abs(weights[i]) > 1e-3}, float(bias), move, np.zeros(4))
-    _, _, x = model.tag(found)
-    model.doc = _logistic(x, y)
-    model.memo = {}
-    return model
+    weights[np.abs(weights) <= 1e-3] = 0.0
+    by_word = np.bincount(own, weights[feature], len(marked)) + bias
+    p = np.concatenate([chains.marginals(by_word[flat[at : at + int(chains.sizes.sum())]], move)[0] for at, chains in parts])
+    return Model({f: w for f, w in zip(names, weights.tolist(), strict=True) if w}, float(bias), move, _logistic(document_evidence(p, sizes), y))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-3) -> np.ndarray:
@@ -259,18 +313,22 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.where("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") != 0).cast("int").alias("toxic")).where(~held_out())
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    found: list[tuple[int, str, int]] = []
+    chosen = None
     for label, n in sorted(counts.items()):
-        chosen = known.where((F.col("toxic") == label) & (place < 1.5 * SAMPLE / n)).limit(2 * SAMPLE).dropDuplicates(["doc_id"])
-        own = texts(docs).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(chosen), "doc_id")  # twice SAMPLE rows at most
-        found += [(r["doc_id"], r["text"], label) for r in own.select("doc_id", "text").collect()]
-    found.sort()
+        some = known.where((F.col("toxic") == label) & (place < 1.5 * SAMPLE / n)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * SAMPLE)
+        chosen = some if chosen is None else chosen.unionByName(some)
+    if chosen is None:
+        return fit([], [])
+    # four times SAMPLE rows at most; a document with both labels is toxic
+    chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    own = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
+    found = sorted((r["doc_id"], r["text"], r["toxic"]) for r in own)
     return fit([t for _, t, _ in found], [label for *_, label in found])
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD, offsets: bool = False) -> DataFrame:
     """doc_id, score, predicted and, if asked for, spans: offending offsets."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # weights of features that the sample holds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
