@@ -396,7 +396,43 @@ def test_entropy():
     assert [k for _, _, k in secret_scan.scan(f"see {key} there")] == ["entropy"]
     for calm in ("internationalisation/of/components", "z" * 40, "2024-01-01-2024-02-02-2024", "123e4567-e89b-12d3-a456-426614174000", f"example{key}", "chapter12-section3-paragraph4-line5"):
         assert secret_scan.scan(calm) == []
+    for text in (f"SAMPLE_DB_KEY={key}", f"docs/samples/{key}", f"{key[:9]}xxxx{key[9:]}"):  # a word beside or within a key allows nothing
+        assert [text[a:b].endswith(key[9:]) for a, b, _ in secret_scan.scan(text)] == [True]
+    spans = [(a, b) for a, b, _ in secret_scan.scan(f"see abc-{key}zz there")]
+    assert spans == [(8, 8 + len(key) + 2)] or spans == [(4, 8 + len(key) + 2)]  # whole runs
     assert secret_scan.mask(f"password: {key}!") == "[SECRET]!"
+
+
+def brute_entropy(text):
+    """Windows counted anew at every step."""
+    h = lambda x: -sum(n / len(x) * np.log2(n / len(x)) for n in Counter(x).values())
+    hits = np.zeros(len(text), bool)
+    for m in secret_scan.CANDIDATE.finditer(text):
+        if not any(c.isdigit() for c in m[0]) or any(p.match(m[0]) for p in secret_scan.ALLOWED):
+            continue
+        for i in range(m.start(), m.end() - 19):
+            w = text[i : i + 20]
+            by = [[c for c in w if c.isdigit()], [c for c in w if "a" <= c <= "z"], [c for c in w if "A" <= c <= "Z"]]
+            most = max(by, key=len)
+            if h(w) >= 3.5 - 1e-9 and len(by[0]) >= 2 and len(by[1]) + len(by[2]) >= 2 and h(most) >= 1.5 - 1e-9:
+                hits[i : i + 20] = True
+    return hits
+
+
+def test_entropy_against_plain_windows(rows):
+    """What the incremental counts join into spans, character by character."""
+    rng = np.random.default_rng(6)
+    made = ["".join(rng.choice(list("abAB01+/_-xyz9 "), 300)) for _ in range(20)] + [" ".join("".join(rng.choice(list("abcdefghijkLMNOP0123456789"), int(rng.integers(15, 60)))) for _ in range(8)) for _ in range(40)]
+    for t in [*made, *list(rows.values())[:100]]:
+        got = np.zeros(len(t), bool)
+        for m in secret_scan.CANDIDATE.finditer(t):
+            if any(c.isdigit() for c in m[0]) and not any(p.match(m[0]) for p in secret_scan.ALLOWED):
+                for a, b in secret_scan.entropy_spans(t, m.start(), m.end()):
+                    got[a:b] = True
+        assert (got == brute_entropy(t)).all()
+
+
+def test_masking_nothing():
     assert secret_scan.mask("") == ""
 
 

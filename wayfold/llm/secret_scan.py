@@ -5,12 +5,17 @@ characters of the base64 and token alphabet is a candidate; a window of 20
 characters slides over it, and its Shannon entropy, over all characters and for
 each character class (upper case, lower case, digits), follows from counts of
 which two change at each step. Windows whose entropy reaches that of random keys
-and that mix classes are joined into spans. Candidates on the allow-list (words,
-paths and hosts, dates, uuids, repeated characters, examples) are suppressed.
-An added span that a base span covers is not added.
-
-Nulls count as empty texts. Empty texts have no spans. Repeated rows give
-repeated results. Other columns are ignored.
+and that mix classes are joined into spans, which are widened to the whole runs
+of letters and digits that they touch. Candidates on the allow-list (words,
+paths and hosts, dates, uuids, repeated characters) are suppressed; so are spans
+of which a run with a digit begins or ends with a word for examples. An added span whose
+windows a base span covers is not added.
+
+Null texts count as empty. Empty texts have no spans. Very long texts are
+scanned whole. Spans that begin together stand in the order of the kinds.
+Repeated rows give repeated results, a null doc_id is a row like any other, an
+empty table gives no rows. Other columns are ignored by scanning and kept as
+they are by masking, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,10 +48,13 @@ ALLOWED = (
     re.compile(r"[A-Za-z]+(?:[-_/][A-Za-z]+)*[-_/=]*\Z"),  # words, joined or not
     re.compile(r"[0-9_=+/-]+\Z"),  # numbers, dates, rules
     re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z"),  # uuids
-    re.compile(r"(?i).*(?:example|sample|placeholder|changeme|dummy|xxxx)"),
     re.compile(r"(?:[A-Za-z]+[0-9]{0,4}[-_/+=]+)+[A-Za-z]*[0-9]{0,4}\Z"),  # words with numbers, joined
 )
 
+#: Runs of letters and digits that are meant as examples.
+EXAMPLE = re.compile(r"(?i)(?:example|sample|placeholder|changeme|dummy|xxxx)|.*(?:example|sample|placeholder|changeme|dummy|xxxx)\Z")
+RUN = re.compile(r"[A-Za-z0-9]+")
+
 _N_LOG = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 
 
@@ -83,14 +91,22 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     base = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     base += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text)]
     base += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
-    covered, added = sorted(base), []
+    added, covers, reach, k = [], sorted(base), -1, 0
     for m in CANDIDATE.finditer(text):
         s = m[0]
         if not any(c.isdigit() for c in s) or any(p.match(s) for p in ALLOWED):
             continue
         for a, b in entropy_spans(text, m.start(), m.end()):
-            if not any(x <= a and b <= y for x, y, _ in covered):
-                added.append((a, b, "entropy"))
+            while k < len(covers) and covers[k][0] <= a:
+                reach, k = max(reach, covers[k][1]), k + 1
+            if b > reach:  # else a base span that begins no later ends no sooner
+                runs = [r for r in RUN.finditer(text, m.start(), m.end()) if r.start() < b and a < r.end()]
+                if not any(EXAMPLE.match(r[0]) for r in runs if any(c.isdigit() for c in r[0])):
+                    a, b = min(a, runs[0].start()), max(b, runs[-1].end())
+                    if added and a <= added[-1][1]:
+                        added[-1] = (added[-1][0], max(b, added[-1][1]), "entropy")
+                    else:
+                        added.append((a, b, "entropy"))
     return sorted(base + added, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
