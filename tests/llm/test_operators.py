@@ -505,8 +505,8 @@ def test_toxicity_scores_against_plain_chains(spark, docs, rows, sf_dir):
 
 
 def test_sample_without_near_copies():
-    a = [f"w{i}" for i in range(40)]
-    texts = [a, [*a, "tail"], [*a, "tail"], a[:20], [], [], a]
+    a = list(range(40))
+    texts = [np.array(x, np.int32) for x in (a, [*a, 77], [*a, 77], a[:20], [], [], a)]
     assert toxicity.without_near_copies(texts, [0, 0, 1, 0, 0, 0, 1]) == [0, 2, 3, 4]
 
 

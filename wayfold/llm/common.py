@@ -78,11 +78,11 @@ def sole_memo(owner: str, clear) -> None:
         for name, other in _memos.items():
             if name != owner:
                 other()
-        _release()
+        release()
         _owner[0] = owner
 
 
-def _release() -> None:
+def release() -> None:
     """Give what was let go back to the system, where the C library can."""
     gc.collect()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import slices, sole_memo, texts
+from wayfold.llm.common import release, slices, sole_memo, texts
 
 #: Labelled documents of each class that the field is fitted on, about: 1.5 times
 #: as many are expected, and twice as many are taken at most.
@@ -59,7 +59,7 @@ THRESHOLD = 0.7
 SPAN_LEAST = 0.5
 MEMO_WORDS = 200_000
 #: Words whose messages are held at once while the field is fitted, about.
-FIT_WORDS = 1 << 18
+FIT_WORDS = 1 << 17
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -192,18 +192,22 @@ class Model:
         return out
 
 
-def without_near_copies(split: list[list[str]], labels: list[int]) -> list[int]:
-    """Places of the texts, all but those whose 3-word shingles are alike, by
-    NEAR, with those of an earlier one of the same label. Texts that share one
-    of the eight smallest hashes of their shingles are compared."""
+def without_near_copies(texts: list[np.ndarray], labels: list[int]) -> list[int]:
+    """texts: the numbers of their words. Places of all but those whose 3-word
+    shingles are alike, by NEAR, with those of an earlier text of the same label.
+    Texts that share one of the eight smallest hashes of their shingles are compared."""
     kept: list[int] = []
     at: dict[tuple[int, int], list[int]] = {}
-    own: dict[int, set[int]] = {}
-    for i, words in enumerate(split):
-        held = {zlib.crc32(" ".join(words[k : k + 3]).encode()) for k in range(max(1, len(words) - 2))}
-        keys = [(labels[i], h) for h in sorted(held)[:8]]
+    own: dict[int, np.ndarray] = {}
+    for i, words in enumerate(texts):
+        held = np.zeros(max(1, len(words) - 2), np.uint64)
+        for k in range(min(3, len(words))):
+            held = (held ^ (words[k : k + len(held)].astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+            held ^= held >> np.uint64(29)
+        held = np.unique((held >> np.uint64(32)).astype(np.uint32))
+        keys = [(labels[i], h) for h in held[:8].tolist()]
         others = {j for k in keys for j in at.get(k, ())}
-        if any(len(held & own[j]) >= NEAR * len(held | own[j]) for j in others):
+        if any((same := len(np.intersect1d(held, own[j], True))) >= NEAR * (len(held) + len(own[j]) - same) for j in others):
             continue
         kept.append(i)
         own[i] = held
@@ -224,35 +228,39 @@ def _document_counts(word: list[np.ndarray], labels: list[int], first: np.ndarra
 
 
 def fit(found: list[str], labels: list[int]) -> Model:
+    """found is emptied, so that texts and what is made of them aren't held at once."""
     y = np.array(labels, np.float64)
     share = float(y.mean()) if len(y) else 0.0
     if not 0 < share < 1:
         logit = math.log((share or 1e-9) / (1 - share)) if share < 1 else 30.0
         return Model({}, -6.0, np.zeros((2, 2)), np.array([max(logit, -30.0), 0, 0, 0]))
-    split = [[w.lower() for w in TOKEN.findall(t)] for t in found]
+    index: dict[str, int] = {}
+    numbers = []
+    while found:  # texts go as they are read
+        ws = TOKEN.findall(found.pop())
+        numbers.append(np.fromiter((index.setdefault(w.lower(), len(index)) for w in ws), np.int32, len(ws)))
+    numbers.reverse()
     # near copies would make any of their words stand out
-    chosen = without_near_copies(split, labels)
-    split, labels = [split[i] for i in chosen], [labels[i] for i in chosen]
+    chosen = without_near_copies(numbers, labels)
+    numbers, labels = [numbers[i] for i in chosen], [labels[i] for i in chosen]
     y = np.array(labels, np.float64)
     nt, nc = sum(labels), len(labels) - sum(labels)
-    words = sorted({w for ws in split for w in ws})
-    index = {w: i for i, w in enumerate(words)}
-    sizes = [len(ws) for ws in split]
-    flat = np.fromiter((index[w] for ws in split for w in ws), np.int64, sum(sizes))
-    del split, index
-    number: dict[str, int] = {}
-    feature = np.array([number.setdefault(f, len(number)) for w in words for f in features(w)], np.int64)
-    count = np.array([len(features(w)) for w in words], np.int64)
-    first, own = np.concatenate([[0], np.cumsum(count)]), np.repeat(np.arange(len(words)), count)
-    clean, toxic = _document_counts([np.unique(x) for x in np.split(flat, np.cumsum(sizes)[:-1])], labels, first, feature, len(number))
+    sizes = [len(x) for x in numbers]
+    flat = np.concatenate(numbers)
+    named: dict[str, int] = {}
+    count = np.fromiter((len(features(w)) for w in index), np.int64, len(index))
+    feature = np.fromiter((named.setdefault(f, len(named)) for w in index for f in features(w)), np.int32, int(count.sum()))
+    first, own = np.concatenate([[0], np.cumsum(count)]), np.repeat(np.arange(len(index), dtype=np.int32), count)
+    del index
+    clean, toxic = _document_counts([np.unique(x) for x in numbers], labels, first, feature, len(named))
     odds = np.log((toxic + 0.25) / (nt + 0.5)) - np.log((clean + 0.25) / (nc + 0.5))
     seeds = (toxic >= max(LEAST_TOXIC, LEAST_SHARE * nt)) & (odds >= LEAST_ODDS)
     # the field weighs features of several toxic documents
     weighed = toxic >= LEAST_TOXIC
-    marked = np.bincount(own, seeds[feature], len(words)) > 0
-    names = [f for f, ok in zip(number, weighed, strict=True) if ok]
+    marked = np.bincount(own, seeds[feature], len(count)) > 0
+    names = [f for f, ok in zip(named, weighed, strict=True) if ok]
     own, feature = own[weighed[feature]], (np.cumsum(weighed) - 1)[feature[weighed[feature]]]
-    del number, words
+    del named, numbers
     target = marked[flat] & np.repeat(y > 0, sizes)
     follows = np.ones(len(flat), bool)  # words with one before them in their text
     follows[(np.cumsum(sizes) - sizes)[np.array(sizes) > 0]] = False
@@ -321,9 +329,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return fit([], [])
     # four times SAMPLE rows at most; a document with both labels is toxic
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    own = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
-    found = sorted((r["doc_id"], r["text"], r["toxic"]) for r in own)
-    return fit([t for _, t, _ in found], [label for *_, label in found])
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
+    rows.sort()
+    labels_ = [r["toxic"] for r in rows]
+    found = [r["text"] for r in rows]
+    del rows
+    model = fit(found, labels_)
+    release()
+    return model
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD, offsets: bool = False) -> DataFrame:
