@@ -515,7 +515,7 @@ def test_toxic_spans():
     plain_words = [f"{a}{b}" for a in ("sky", "rain", "tree", "leaf", "stone") for b in ("abc", "def", "ghi", "jkl", "mno", "pqr")]
     some = lambda: " ".join(rng.choice(plain_words, 12))
     texts = [f"{some()} moron {some()}" if k % 2 else some() for k in range(120)]
-    model = toxicity.fit(texts, [k % 2 for k in range(120)])
+    model = toxicity.fit(list(texts), [k % 2 for k in range(120)])
     assert [[texts[1][a:b] for a, b in model.spans(texts[1])], model.spans(texts[0])] == [["moron"], []]
     same = toxicity.fit(["you moron", "a sky"] * 9, [1, 0] * 9)
     assert 0 <= same.score([""])[0] <= 1
