@@ -292,3 +292,44 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+def test_searches_agree(spark):
+    """Guided, from both ends, in buckets and by joins: the same costs, and by joins the same paths."""
+    rng, n = np.random.default_rng(5), 70
+    edges = [(int(a), int(b), int(w)) for a, b, w in zip(rng.integers(0, n, 180), rng.integers(0, n, 180), rng.integers(100_000, 900_000, 180), strict=True) if a != b]
+    rings, globals_ = {4: 50_000, 31: 0, 55: 70_000}, {8: 2_000_000, 60: 1_500_000}
+    g = small(n, edges, rings.items(), globals_.items())
+    free = small(n, edges, rings.items())
+    table = landmarks.distance_tables(free, spark.createDataFrame([(0, 3), (1, 40), (2, 66)], "li int, node long"))
+    marks = search.Landmarks.of(table, n)
+    fewer = more = 0
+    for start in range(0, n, 3):
+        for goal in range(0, n, 4):
+            for seed in (0, 77):
+                _, done, status, pops = g.search({start: 0}, {goal}, seed)
+                guide = marks.guide(goal, marks.best([start], goal))
+                _, near, state, some, _ = g.guided({start: 0}, goal, guide, seed)
+                assert (status, done.get(goal)) == (state, near.get(goal))
+                cost, path, both, _ = g.both_ways({start: 0}, goal, seed)
+                assert (both, cost) == (status, done.get(goal))
+                if cost is not None:
+                    assert g.path(near, {start: 0}, goal, seed) == g.path(done, {start: 0}, goal, seed)
+                    assert path[0] == start and path[-1] == goal
+                    _, rough, _, _, _ = g.guided({start: 0}, goal, guide, seed, bucket=200_000)
+                    assert cost <= rough[goal] < cost + 200_000
+                    for k in (1, 2):  # fewer landmarks change nothing
+                        assert g.guided({start: 0}, goal, marks.guide(goal, marks.best([start], goal, k)), seed)[1][goal] == cost
+                    assert guide[start] <= cost or any(cost < guide[start] for _ in globals_)
+                fewer, more = fewer + some, more + pops
+    assert fewer < more
+    assert g.guided({0: 0}, 1, np.zeros(n, np.int64), budget=1)[2] == "budget_exceeded" and g.guided({0: 0}, 1, np.zeros(n, np.int64), cancel=lambda: True)[2] == "cancelled"
+    assert marks.best([5], 9, 2).tolist() == sorted(np.lexsort((np.arange(3), -marks.scores([5], 9)))[:2].tolist())
+    assert (marks.scores([5, 7], 9) == np.minimum(marks.scores([5], 9), marks.scores([7], 9))).all() and search.first_budget(4_000_000) == 2_000_000
+    frame = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    asked = frame([(i, 0, (0, 77)[i % 2], None if i % 3 == 0 else (7 * i) % n, (11 * i) % n) for i in range(24)], "query_id long, profile_id int, seed long, start long, goal long")
+    want = {r["query_id"]: (r["status"], r["cost"], r["path"]) for r in search.route(asked, {0: g}).collect()}
+    walk, hops = frame(edges[:120], "src long, dst long, w long"), frame([(0, *e) for e in edges[120:]], "profile_id int, src long, dst long, cost long")
+    got = search.relaxed(asked, walk, hops, frame([(0, *r) for r in rings.items()], "profile_id int, node long, cost long"), frame([(0, *r) for r in globals_.items()], "profile_id int, dst long, cost long"))
+    assert {r["query_id"]: (r["status"], r["cost"], r["path"]) for r in got.collect()} == want
+    led = {r["query_id"]: (r["status"], r["cost"], r["path"]) for r in search.route(asked, {0: g}, marks=marks).collect()}
+    assert led == want

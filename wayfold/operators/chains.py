@@ -28,11 +28,12 @@ def heads(steps: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return (own.where("src IS NOT NULL") if set(kinds) <= set(LOCAL) else own).join(targets, ["kind", "id"], "left_anti")
 
 
-def chains(steps: DataFrame, kinds: tuple[str, ...], longest: int = 100) -> DataFrame:
+def chains(steps: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """Chains from their heads to their ends: kind, id, src, dst (the last that a
     row names), cost, reqs (sorted, each once), n_steps, path. A chain that comes
     back to itself or points to a missing row is left out; an unknown kind, or a
-    kind without an id, ends it. Each round follows one pointer of every chain."""
+    kind without an id, ends it. Each round follows one pointer of every chain, and
+    there are as many rounds as the longest has steps: none meets a row twice."""
     known = [*LOCAL, *GLOBAL]
     one = F.array(F.concat_ws(":", "kind", "id"))
     now = heads(steps, kinds).select("kind", "id", "src", "dst", "cost", "reqs", F.lit(1).alias("n_steps"), one.alias("path"), "next_kind", "next_id")
@@ -40,7 +41,7 @@ def chains(steps: DataFrame, kinds: tuple[str, ...], longest: int = 100) -> Data
     follows = F.col("next_kind").isin(*known) & F.col("next_id").isNotNull()
     nxt = steps.select(F.col("kind").alias("next_kind"), F.col("id").alias("next_id"), F.col("dst").alias("d"), F.col("cost").alias("c"), F.col("reqs").alias("r"), F.col("next_kind").alias("nk"), F.col("next_id").alias("ni"))
     done = []
-    for _ in range(longest):
+    while True:
         done.append(now.where(~F.coalesce(follows, F.lit(False))).select(names))
         going = now.where(follows)
         if going.isEmpty():

@@ -44,6 +44,14 @@ def quick_profiles(profiles: DataFrame) -> DataFrame:
     return profiles.where((normalised("key") == "hasquicktele") & normalised("value").isin("1", "true")).select("profile_id").distinct()
 
 
+def identity(met: DataFrame) -> DataFrame:
+    """profile_id, words: the requirements that a profile meets, a bit for each
+    id in words of 64, as hexadecimal text. Profiles with equal words get equal
+    answers, and no two others have the same."""
+    bits = met.groupBy("profile_id", F.expr("req_id DIV 64").alias("word")).agg(F.expr("bit_or(CASE WHEN ok THEN shiftleft(1L, CAST(req_id % 64 AS INT)) ELSE 0L END)").alias("bits"))
+    return bits.where("bits <> 0").groupBy("profile_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda w: F.concat(w["word"].cast("string"), F.lit(":"), F.lower(F.hex(w["bits"])))), ",").alias("words"))
+
+
 def allowed(edges: DataFrame, met: DataFrame, ids: list[int], key: list[str]) -> DataFrame:
     """edges by profile whose requirements are all met; ids that no requirement
     defines are not met, negative ids don't count. key names an edge."""

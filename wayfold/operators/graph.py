@@ -67,10 +67,6 @@ def direction_masks(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.expr("bit_or(shiftleft(1, dir))").alias("mask"))
 
 
-def reversed_edges(edges: DataFrame) -> DataFrame:
-    return edges.withColumnsRenamed({"src": "dst", "dst": "src"})
-
-
 def dominated_steps(edges: DataFrame) -> DataFrame:
     """(prev, node, next): walking prev -> node -> next costs more than another
     way from prev to next of one or two steps, so no best path does it."""
@@ -80,3 +76,17 @@ def dominated_steps(edges: DataFrame) -> DataFrame:
     one = edges.select(F.col("src").alias("prev"), F.col("dst").alias("next"), F.col("w").alias("cost"))
     best = two.select("prev", "next", "cost").unionByName(one).groupBy("prev", "next").agg(F.min("cost").alias("best"))
     return two.join(best, ["prev", "next"]).where("cost > best").select("prev", "node", "next")
+
+
+def cheap_adjacent_macros(macros: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Teleports between neighbouring tiles that cost less than a diagonal step:
+    where there are any, dominated steps can't be told from directions alone."""
+    at = lambda end: nodes.select(F.col("id").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ("x", "y", "plane")))
+    both = macros.join(at("src"), "src").join(at("dst"), "dst")
+    near = (F.col("src_plane") == F.col("dst_plane")) & (F.abs(F.col("src_x") - F.col("dst_x")) <= 1) & (F.abs(F.col("src_y") - F.col("dst_y")) <= 1)
+    return both.where(near & (F.col("cost") < DIAGONAL)).select(macros.columns)
+
+
+def nodes_with_macros(nodes: DataFrame, macros: DataFrame) -> DataFrame:
+    """ids of the nodes that a teleport leaves."""
+    return nodes.select("id").join(macros.select(F.col("src").alias("id")).distinct(), "id", "left_semi")

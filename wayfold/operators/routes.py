@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.functions.fields import QUICK_TELEPORT_MS, TICKS, milliseconds, pack
+from wayfold.functions.fields import milliseconds, pack
 from wayfold.operators.tables import stored
 
 
@@ -32,10 +32,11 @@ def component_edges(labels: DataFrame, edges: DataFrame) -> DataFrame:
 HUB = -1  # all rings of a profile lead into it and out of it
 
 
-def reachable(queries: DataFrame, labels: DataFrame, macros: DataFrame, rings: DataFrame, globals_: DataFrame, rounds: int = 1000) -> DataFrame:
+def reachable(queries: DataFrame, labels: DataFrame, macros: DataFrame, rings: DataFrame, globals_: DataFrame) -> DataFrame:
     """query_id, reachable: whether the goal's component is reached from the
     start's, by the teleports the profile may use. Walking asks for nothing, so
-    components decide. queries: query_id, profile_id, start, goal (node ids)."""
+    components decide; every round adds some that were not seen, until none is left.
+    queries: query_id, profile_id, start, goal (node ids)."""
     comp = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"{name}_comp"))
     own = queries.join(comp("start"), "start", "left").join(comp("goal"), "goal", "left").select("query_id", "profile_id", "start_comp", "goal_comp")
     ring = rings.join(comp("node"), "node").select("profile_id", F.col("node_comp").alias("c")).distinct()
@@ -46,7 +47,7 @@ def reachable(queries: DataFrame, labels: DataFrame, macros: DataFrame, rings: D
     seen = starts.where("start_comp IS NOT NULL").select("profile_id", "start_comp", F.col("start_comp").alias("c")).unionByName(starts.join(entry, "profile_id").select("profile_id", "start_comp", "c"))
     seen = stored(seen.withColumn("start_comp", F.coalesce("start_comp", F.lit(-2))).distinct())
     front = seen
-    for _ in range(rounds):
+    while True:
         new = front.join(steps.withColumnRenamed("a", "c"), ["profile_id", "c"]).select("profile_id", "start_comp", F.col("b").alias("c")).distinct()
         front = stored(new.join(seen, ["profile_id", "start_comp", "c"], "left_anti"))
         if front.isEmpty():
@@ -118,5 +119,3 @@ def response(routes: DataFrame) -> DataFrame:
     body = F.struct((F.col("status") == "found").alias("found"), milliseconds("cost").alias("cost"), F.size("path").alias("length_tiles"), "path", F.when(F.col("status") == "budget_exceeded", F.col("status")).alias("reason"))
     return routes.select("query_id", F.to_json(body).alias("body"))
 
-
-QUICK = QUICK_TELEPORT_MS * TICKS

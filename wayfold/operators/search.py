@@ -2,27 +2,38 @@
 
 `route` answers a table of queries with one search for each start, profile and
 seed; its edges are shipped to the tasks as arrays, which is done up to
-BROADCAST_EDGES edges. `distances` gives costs by rounds of joins and has no such
-bound, but neither paths nor rings and global teleports: beyond the bound route
-queries stop with an error.
+BROADCAST_EDGES edges. `relaxed` gives the same answers by rounds of joins,
+without a bound on edges: each round moves every search one hop on, so it takes
+as many rounds as the longest path has hops. `distances` gives costs over given
+edges only.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.functions.fields import TICKS, jitter
+from wayfold.functions.fields import jitter
 from wayfold.operators.tables import stored
 
 #: Edges of which every task may hold the arrays (16 bytes each, twice).
 BROADCAST_EDGES = 10_000_000
-FOUND, NOT_FOUND, OVER_BUDGET = "found", "not_found", "budget_exceeded"
+FOUND, NOT_FOUND, OVER_BUDGET, CANCELLED = "found", "not_found", "budget_exceeded", "cancelled"
+#: A search asks so often, in settled nodes, whether it is to stop.
+ASK_EVERY = 1024
+#: Cost of what can't be reached.
+NO_WAY = 1 << 62
+
+
+def first_budget(n: int) -> int:
+    """Nodes that a first attempt may settle in a graph of n nodes; a second
+    attempt gets four times as many."""
+    return max(1_500_000, n // 2)
 
 
 def tick_jitter(seed: int, u: int, v: int) -> int:
@@ -83,6 +94,100 @@ class Graph:
                         heapq.heappush(heap, (c, v))
         return best, done, FOUND if not left else NOT_FOUND, pops
 
+    def _next(self, u: int, d: int, seed: int, back: bool = False) -> Iterator[tuple[int, int]]:
+        """Neighbours of u and their costs by way of u, which costs d. back: the
+        nodes that lead to u."""
+        first, other, weight = self.into if back else self.out
+        a, b = int(first[u]), int(first[u + 1])
+        jit = (lambda v: tick_jitter(seed, v, u)) if back else (lambda v: tick_jitter(seed, u, v))
+        for v, w in zip(other[a:b].tolist(), weight[a:b].tolist(), strict=True):
+            yield v, d + w + jit(v)
+        if u in self.rings:
+            for v, w in self.rings.items():
+                if v != u:
+                    yield v, d + (self.rings[u] if back else w) + jit(v)
+
+    def _entries(self, sources: dict[int, int], seed: int, origin: bool) -> dict[int, int]:
+        """sources and, from an origin, the ends of global teleports, with costs."""
+        best = dict(sources)
+        for s, c in sources.items() if origin else ():
+            for v, g in self.globals.items():
+                d = c + g + tick_jitter(seed, s, v)
+                if v != s and d < best.get(v, d + 1):
+                    best[v] = d
+        return best
+
+    def guided(self, sources: dict[int, int], goal: int, guide: np.ndarray, seed: int = 0, origin: bool = True, budget: int | None = None, bucket: int = 0, cancel: Callable[[], bool] | None = None):
+        """A*: as search(), for one goal. guide: what is left from each node at
+        least, NO_WAY where there is no way, and never less than a step brings it
+        down. All nodes that may lie on a best path are settled. With a bucket,
+        nodes whose estimates fall into the same bucket count as equal, nearer
+        ones to the goal first, and the cost is less than a bucket above the best."""
+        best, done, came = self._entries(sources, seed, origin), {}, {}
+        left = lambda v: int(guide[v])
+        rank = (lambda v, d: ((d + left(v)) // bucket, -d, v, d)) if bucket else (lambda v, d: (d + left(v), d, v, d))
+        heap = [rank(v, d) for v, d in best.items() if left(v) < NO_WAY]
+        heapq.heapify(heap)
+        pops, least = 0, None
+        while heap and (least is None or heap[0][0] <= least):
+            if budget is not None and pops >= budget:
+                return best, done, OVER_BUDGET, pops, came
+            if cancel is not None and pops % ASK_EVERY == 0 and cancel():
+                return best, done, CANCELLED, pops, came
+            *_, u, d = heapq.heappop(heap)
+            if d > best[u] or u in done and done[u] <= d:
+                continue
+            pops += 1
+            done[u] = d
+            if u == goal:
+                if bucket:
+                    break
+                least = d
+            for v, c in self._next(u, d, seed):
+                if c < best.get(v, c + 1) and left(v) < NO_WAY:
+                    best[v], came[v] = c, u
+                    heapq.heappush(heap, rank(v, c))
+        for s in sources:  # from where a global teleport may lead, though no other way does
+            done.setdefault(s, best[s])
+        return best, done, FOUND if goal in done else NOT_FOUND, pops, came
+
+    def both_ways(self, sources: dict[int, int], goal: int, seed: int = 0, origin: bool = True, budget: int | None = None) -> tuple[int | None, list[int] | None, str, int]:
+        """Cost, path, status and settled nodes of a search from both ends, which
+        stops as soon as no path through an open node can be cheaper. One of
+        several best paths."""
+        best = (self._entries(sources, seed, origin), {goal: 0})
+        came, done, heaps = ({}, {}), (set(), set()), ([(c, v) for v, c in best[0].items()], [(0, goal)])
+        heapq.heapify(heaps[0])
+        least, meet, pops = NO_WAY, None, 0
+        if goal in best[0]:
+            least, meet = best[0][goal], goal
+        while heaps[0] and heaps[1] and heaps[0][0][0] + heaps[1][0][0] < least:
+            if budget is not None and pops >= budget:
+                return None, None, OVER_BUDGET, pops
+            side = 0 if heaps[0][0][0] <= heaps[1][0][0] else 1
+            d, u = heapq.heappop(heaps[side])
+            if u in done[side]:
+                continue
+            done[side].add(u)
+            pops += 1
+            for v, c in self._next(u, d, seed, side == 1):
+                if c < best[side].get(v, c + 1):
+                    best[side][v], came[side][v] = c, u
+                    heapq.heappush(heaps[side], (c, v))
+                    if v in best[1 - side] and c + best[1 - side][v] < least:
+                        least, meet = c + best[1 - side][v], v
+        if meet is None:
+            return None, None, NOT_FOUND, pops
+        path = [meet]
+        while path[-1] in came[0]:
+            path.append(came[0][path[-1]])
+        if origin and path[-1] not in sources:  # entered by a global teleport
+            path.append(min(s for s in sources if best[0][path[-1]] == sources[s] + self.globals[path[-1]] + tick_jitter(seed, s, path[-1])))
+        path.reverse()
+        while path[-1] in came[1]:
+            path.append(came[1][path[-1]])
+        return least, path, FOUND, pops
+
     def _before(self, done: dict[int, int], sources: dict[int, int], v: int, seed: int, origin: bool) -> tuple[list[int], list[int]]:
         """Nodes from which an edge leads to v at v's cost: those that cost less,
         and those that cost as much, over an edge that costs nothing."""
@@ -114,6 +219,52 @@ class Graph:
         return out[::-1]
 
 
+class Landmarks:
+    """Distances from (fw) and to (bw) landmarks, [landmark, node], -1 where there
+    is no way, and the lower bounds that follow."""
+
+    def __init__(self, fw: np.ndarray, bw: np.ndarray):
+        self.fw, self.bw = fw, bw
+
+    @classmethod
+    def of(cls, table: DataFrame, n: int) -> Landmarks:
+        """table: li, node, fw, bw. Two numbers for each landmark and node."""
+        rows = table.select("li", "node", "fw", "bw").toPandas()
+        names, place = np.unique(rows.li.to_numpy(np.int64), return_inverse=True)
+        out = []
+        for c in ("fw", "bw"):
+            held = np.full((len(names), n), -1, np.int64)
+            held[place, rows.node.to_numpy(np.int64)] = rows[c].astype("Int64").fillna(-1).to_numpy(np.int64)
+            out.append(held)
+        return cls(*out)
+
+    def scores(self, starts: list[int], goal: int) -> np.ndarray:
+        """The bound that each landmark gives from the nearest of the starts to
+        the goal; -1 for landmarks without a way from or to the goal."""
+        out = np.full(len(self.fw), NO_WAY)
+        for s in starts:
+            ahead = np.where(self.fw[:, s] < 0, 0, self.fw[:, goal] - self.fw[:, s])
+            back = np.where(self.bw[:, s] < 0, NO_WAY, self.bw[:, s] - self.bw[:, goal])
+            out = np.minimum(out, np.maximum(0, np.maximum(ahead, back)))
+        return np.where((self.fw[:, goal] < 0) | (self.bw[:, goal] < 0), -1, out)
+
+    def best(self, starts: list[int], goal: int, k: int | None = None) -> np.ndarray:
+        """The k landmarks with the highest scores (all, if not said), the first
+        of equal ones, in ascending order."""
+        score = self.scores(starts, goal)
+        usable = np.flatnonzero(score >= 0)
+        order = usable[np.lexsort((usable, -score[usable]))]
+        return np.sort(order[:k])
+
+    def guide(self, goal: int, chosen: np.ndarray) -> np.ndarray:
+        """What is left from each node to the goal at least."""
+        out = np.zeros(self.fw.shape[1], np.int64)
+        for i in chosen:
+            np.maximum(out, np.where(self.fw[i] < 0, 0, self.fw[i, goal] - self.fw[i]), out)
+            np.maximum(out, np.where(self.bw[i] < 0, NO_WAY, self.bw[i] - self.bw[i, goal]), out)
+        return out
+
+
 def graphs(n: int, walk: DataFrame, macros: DataFrame, rings: DataFrame, globals_: DataFrame, ids: list[int]) -> dict[int, Graph]:
     """A graph for each profile. Callers check the number of edges before."""
     w = walk.select("src", "dst", "w").toPandas()
@@ -132,18 +283,24 @@ def graphs(n: int, walk: DataFrame, macros: DataFrame, rings: DataFrame, globals
 ROUTES = "query_id long, profile_id int, seed long, start long, goal long, status string, cost long, pops long, path array<long>"
 
 
-def route(queries: DataFrame, by_profile: dict[int, Graph], budget: int | None = None) -> DataFrame:
-    """queries: query_id, profile_id, seed, start and goal (node ids; a null
+def route(queries: DataFrame, by_profile: dict[int, Graph], budget: int | None = None, marks: Landmarks | None = None, active: int | None = None) -> DataFrame:
+    """With marks, searches for one goal are guided by the best `active` of them
+    (all, if not said), which changes nothing but the nodes that are settled. queries: query_id, profile_id, seed, start and goal (node ids; a null
     start lies beside the graph and enters through any global teleport). Queries
     with the same start, profile and seed share a search, 200 goals at most."""
     shared = queries.sparkSession.sparkContext.broadcast(by_profile)
+    held = queries.sparkSession.sparkContext.broadcast(marks)  # two numbers for each landmark and node
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         one = group.iloc[0]
         graph, seed, virtual = shared.value[int(one.profile_id)], int(one.seed), pd.isna(one.start)
         sources = dict(graph.globals) if virtual else {int(one.start): 0}
         goals = {int(g) for g in group.goal if not pd.isna(g)}
-        best, done, status, pops = graph.search(sources, goals, seed, not virtual, budget)
+        if held.value is not None and len(goals) == 1:
+            (goal,), m = goals, held.value
+            _, done, status, pops, _ = graph.guided(sources, goal, m.guide(goal, m.best(list(sources), goal, active)), seed, not virtual, budget)
+        else:
+            _, done, status, pops = graph.search(sources, goals, seed, not virtual, budget)
         out = []
         for r in group.itertuples():
             goal = None if pd.isna(r.goal) else int(r.goal)
@@ -191,6 +348,59 @@ def distances(edges: DataFrame, sources: DataFrame, within: int | None = None, r
     raise RuntimeError(f"costs still change after {rounds} rounds")
 
 
+def relaxed(queries: DataFrame, walk: DataFrame, macros: DataFrame, rings: DataFrame, globals_: DataFrame) -> DataFrame:
+    """The answers that route() gives (pops are the rounds), by joins alone:
+    costs by relaxation from every start, profile and seed, then each path from
+    its goal backwards. Rings meet only where a search has reached one."""
+    key = ["profile_id", "seed", "a"]
+    own = stored(queries.select("query_id", "profile_id", "seed", "start", "goal", F.coalesce("start", F.lit(-1)).alias("a")))
+    walks = walk.select(F.col("src").alias("u"), F.col("dst").alias("v"), "w")
+    hops = macros.groupBy("profile_id", F.col("src").alias("u"), F.col("dst").alias("v")).agg(F.min("cost").alias("w"))
+    ring = rings.groupBy("profile_id", "node").agg(F.min("cost").alias("w"))
+    clique = ring.select("profile_id", F.col("node").alias("u")).join(ring.withColumnRenamed("node", "v"), "profile_id").where("u <> v")
+    paid = (F.col("cost") + F.col("w") + jitter(F.col("seed"), F.col("u"), F.col("v"))).alias("cost")
+    starts = own.select(*key).distinct()
+    far = starts.join(globals_.select("profile_id", F.col("dst").alias("v"), F.col("cost").alias("w")), "profile_id")
+    entered = far.where("a = -1 OR a <> v").select(*key, F.col("v").alias("node"), F.when(F.col("a") < 0, F.col("w")).otherwise(F.col("w") + jitter(F.col("seed"), F.col("a"), F.col("v"))).alias("cost"))
+    sources = stored(starts.where("a >= 0").select(*key, F.col("a").alias("node"), F.lit(0).cast("long").alias("cost")).unionByName(entered.where("a = -1")))
+    best = stored(sources.unionByName(entered.where("a >= 0")).groupBy(*key, "node").agg(F.min("cost").alias("cost")))
+    front, rounds = best, 0
+    while not front.isEmpty():
+        at = front.withColumnRenamed("node", "u")
+        tried = at.join(walks, "u").select(*key, "v", paid).unionByName(at.join(hops, ["profile_id", "u"]).select(*key, "v", paid)).unionByName(at.join(clique, ["profile_id", "u"]).select(*key, "v", paid))
+        new = tried.groupBy(*key, F.col("v").alias("node")).agg(F.min("cost").alias("cost"))
+        front = stored(new.join(best.withColumnRenamed("cost", "old"), [*key, "node"], "left").where("old IS NULL OR cost < old").select(*key, "node", "cost"))
+        best = stored(best.unionByName(front).groupBy(*key, "node").agg(F.min("cost").alias("cost")))
+        rounds += 1
+    found = stored(own.join(best.withColumnRenamed("node", "goal"), [*key, "goal"], "left"))
+    first = sources.select(*key, "node", F.col("cost").alias("begin"))
+    edges = lambda at: at.join(walks, "v").select(*at.columns, "u", "w").unionByName(at.join(hops, ["profile_id", "v"]).select(*at.columns, "u", "w")).unionByName(at.join(clique, ["profile_id", "v"]).select(*at.columns, "u", "w")).unionByName(at.where("a >= 0 AND a <> v").join(globals_.select("profile_id", F.col("dst").alias("v"), F.col("cost").alias("w")), ["profile_id", "v"]).select(*at.columns, F.col("a").alias("u"), "w"))
+
+    def before(at: DataFrame) -> DataFrame:
+        """at: key, v, cost, more. With u: the nodes before v on best paths, and their cost."""
+        u = best.select(*key, F.col("node").alias("u"), F.col("cost").alias("u_cost"))
+        return edges(at).join(u, [*key, "u"]).where(F.col("u_cost") + F.col("w") + jitter(F.col("seed"), F.col("u"), F.col("v")) == F.col("cost"))
+
+    now = found.where("cost IS NOT NULL").select("query_id", *key, F.col("goal").alias("v"), "cost", F.array("goal").alias("path"))
+    done = None
+    while True:
+        marked = stored(now.join(first.withColumnRenamed("node", "v"), [*key, "v"], "left"))
+        ended = marked.where("begin = cost").select("query_id", "path")
+        done = ended if done is None else done.unionByName(ended)
+        going = marked.where("begin IS NULL OR begin <> cost").drop("begin")
+        if going.isEmpty():
+            break
+        step = stored(before(going))
+        # over an edge that costs nothing: only from a source, or from a node that a cheaper one leads to
+        free = step.where("u_cost = cost")
+        led = before(free.select(*key, F.col("u").alias("v"), F.col("u_cost").alias("cost")).distinct()).where("u_cost < cost").select(*key, F.col("v").alias("u")).distinct()
+        led = led.unionByName(first.select(*key, F.col("node").alias("u"))).distinct()
+        sound = step.where("u_cost < cost").withColumn("o", F.lit(0)).unionByName(free.join(led, [*key, "u"], "left_semi").select(step.columns).withColumn("o", F.lit(1)))
+        chosen = sound.where(~F.array_contains("path", F.col("u"))).groupBy("query_id").agg(F.min(F.struct("o", "u", "u_cost")).alias("m"))
+        now = stored(going.join(chosen, "query_id").select("query_id", *key, F.col("m.u").alias("v"), F.col("m.u_cost").alias("cost"), F.array_prepend("path", F.col("m.u")).alias("path")))
+    return found.join(done, "query_id", "left").select("query_id", "profile_id", "seed", "start", "goal", F.when(F.col("cost").isNull(), NOT_FOUND).otherwise(FOUND).alias("status"), "cost", F.lit(rounds).cast("long").alias("pops"), "path")
+
+
 def tables_of_distances(edges_by_profile: dict[int, Graph], sources: DataFrame) -> DataFrame:
     """sources: key, profile_id, node, backward. All nodes that a source reaches
     (or that reach it, if backward) with their cost: key, node, backward, cost."""
@@ -224,11 +434,3 @@ def _backward(graph: Graph) -> Graph:
         out.out, out.into = made.out, made.into
     return out
 
-
-def jittered(edges: DataFrame, seed: int) -> DataFrame:
-    """edges with the seed's jitter in their weight."""
-    return edges.withColumn("w", F.col("w") + jitter(F.lit(seed), "src", "dst"))
-
-
-def milliseconds(ticks: int) -> float:
-    return ticks / TICKS

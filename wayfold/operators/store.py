@@ -48,9 +48,12 @@ def write_snapshot(spark: SparkSession, root: str, tables: dict[str, DataFrame])
     out = fs.create(temp, True)
     out.write(bytearray(manifest.encode()))
     out.close()
-    fs.delete(path, False)
-    if not fs.rename(temp, path):
-        raise OSError(f"could not move the pointer of {root}")
+    # replaces the pointer in one step, so a reader finds the version before or this one
+    jvm = spark._jvm.org.apache.hadoop.fs
+    options = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+    options[0] = jvm.Options.Rename.OVERWRITE
+    files = jvm.FileContext.getFileContext(fs.makeQualified(path).toUri(), spark._jsc.hadoopConfiguration())
+    files.rename(fs.makeQualified(temp), fs.makeQualified(path), options)
     return version
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,9 @@ def shared_folder(spark: SparkSession) -> str:
         got = sc._jsc.sc().getCheckpointDir()
         top = got.get() if got.isDefined() else None
     if not top:
-        top = "/tmp/checkpoints/wayfold"  # only where no folder is named, as in tests
+        if not sc.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        top = f"{tempfile.gettempdir()}/wayfold-checkpoints"  # driver and tasks are one process
     return f"{top.rstrip('/')}/wayfold-{uuid.uuid4().hex}"
 
 

@@ -88,21 +88,28 @@ class World:
     def queries(self) -> DataFrame:
         return stored(routes.resolve(source.route_queries(self.spark, self.sf_dir), self.nodes))
 
+    @cached_property
+    def small(self) -> bool:
+        """Whether tasks may hold all edges."""
+        return self.walk.count() + self.macros_ok.count() <= search.BROADCAST_EDGES
+
+    def answers(self, asked: DataFrame) -> DataFrame:
+        if self.small:
+            return search.route(asked, self.by_profile)
+        return search.relaxed(asked, self.walk, self.macros_ok, self.rings_ok, self.globals_ok)
+
     @cached_property
     def by_profile(self) -> dict[int, search.Graph]:
-        edges = self.walk.count() + self.macros_ok.count()
-        if edges > search.BROADCAST_EDGES:
-            raise ValueError(f"{edges} edges: use search.distances")
         return search.graphs(self.n, self.walk, self.macros_ok, self.rings_ok, self.globals_ok, PROFILES)
 
     @cached_property
     def routes(self) -> DataFrame:
         """Answers to the resolvable queries; they all stay, found or not."""
-        return stored(search.route(self.queries.where("problem IS NULL").withColumn("seed", F.lit(0).cast("long")), self.by_profile))
+        return stored(self.answers(self.queries.where("problem IS NULL").withColumn("seed", F.lit(0).cast("long"))))
 
     @cached_property
     def seeded_routes(self) -> DataFrame:
-        return stored(search.route(self.queries.where("problem IS NULL"), self.by_profile))
+        return stored(self.answers(self.queries.where("problem IS NULL")))
 
     @cached_property
     def hops(self) -> DataFrame:
