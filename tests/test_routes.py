@@ -333,3 +333,28 @@ def test_searches_agree(spark):
     assert {r["query_id"]: (r["status"], r["cost"], r["path"]) for r in got.collect()} == want
     led = {r["query_id"]: (r["status"], r["cost"], r["path"]) for r in search.route(asked, {0: g}, marks=marks).collect()}
     assert led == want
+
+
+def test_requests_and_paths(spark, tmp_path):
+    from wayfold.operators import replay, requests
+    from wayfold.sources import paths
+
+    with pytest.raises(ValueError, match="table name"):
+        paths.path_table(spark, "a; drop table b")
+    tiles = spark.createDataFrame([(3200, 64, 0, 255), (3201, 64, 0, 7)], "x int, y int, plane int, walk_mask int")
+    tiles.createOrReplaceTempView("tiles_one")
+    regions.pack_regions(tiles).createOrReplaceTempView("tiles_packed")
+    for name in ("tiles_packed", "no_such_table"):
+        assert sorted(map(tuple, paths.tiles_of(spark, name, "tiles_one").collect())) == sorted(map(tuple, tiles.collect()))
+    assert paths.with_column(tiles, "lodestone").columns == [*tiles.columns, "lodestone"] and paths.with_column(tiles, "x").columns == tiles.columns
+    entry = '{"name": "a", "start": [1, 2, 0], "goal": [3, 4, 0], "profile": "all", "quick_tele": true, "expect": {"found": true, "cost_unseeded": 5.5, "pops_max": 9}}'
+    (tmp_path / "golden.json").write_text(f"[{entry}]")
+    corpus = replay.read_corpus(spark, str(tmp_path / "golden.json"))
+    assert corpus.first()["cost_unseeded"] == 5.5 and corpus.first()["entry"] is None
+    replay.bless(spark.createDataFrame([("a", True, 7.5, None, 12)], "name string, found boolean, cost double, entry long, pops long"), corpus, str(tmp_path / "blessed"))
+    assert replay.read_corpus(spark, str(tmp_path / "blessed")).first()["pops_max"] == 12
+    given = spark.createDataFrame([(1, '{"goal_id": 4, "profile": {"requirements": [{"key": "coins", "value": 5}]}}')], "id long, body string")
+    assert [tuple(r) for r in requests.profile_rows(requests.decoded(given), "id").collect()] == [(1, "coins", "5")]
+    bodies = spark.createDataFrame([(1, "{}")], "query_id long, body string")
+    requests.dumped(bodies, str(tmp_path / "dump"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "dump")).collect()] == ["{}"]

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from wayfold.functions.fields import QUICK_TELEPORT_MS, TICKS
 from wayfold.operators.components import connected
-from wayfold.operators.search import Graph, tables_of_distances
+from wayfold.operators.search import BROADCAST_EDGES, Graph, tables_of_distances
 
 
 def bound_graph(n: int, walk: DataFrame, macros: DataFrame, rings: DataFrame) -> Graph:
     """The graph that bounds hold for: every teleport at its lowest price,
-    whatever it requires."""
+    whatever it requires. BROADCAST_EDGES edges at most."""
+    edges = walk.count() + macros.count()
+    if edges > BROADCAST_EDGES:
+        raise ValueError(f"{edges} edges are more than a task may hold: use search.distances from each landmark")
     w, m = walk.select("src", "dst", "w").toPandas(), macros.withColumn("w", F.when(F.col("kind") == "lodestone", F.least("cost", F.lit(QUICK_TELEPORT_MS * TICKS))).otherwise(F.col("cost"))).groupBy("src", "dst").agg(F.min("w").alias("w")).toPandas()
     r = rings.groupBy("node").agg(F.min("cost").alias("w")).toPandas()
     cat = lambda c: np.concatenate([w[c].to_numpy(np.int64), m[c].to_numpy(np.int64)])

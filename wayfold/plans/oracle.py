@@ -96,7 +96,7 @@ def _search(seeded: bool, virtual: bool = False) -> str:
     step = f"e.w + {_jit('q.seed', 'd.node', 'e.dst')}" if seeded else "e.w"
     enter = f"g.cost + {_jit('q.seed', 'q.start', 'g.dst')}" if seeded else "g.cost"
     begin = "SELECT query_id, g.dst AS node, g.cost FROM queries q JOIN globals_ok g USING (profile_id) WHERE problem IS NULL" if virtual else (
-        f"SELECT query_id, node, min(cost) FROM (SELECT query_id, start AS node, 0 AS cost FROM queries WHERE problem IS NULL AND start IS NOT NULL UNION ALL SELECT query_id, g.dst, {enter} FROM queries q JOIN globals_ok g USING (profile_id) WHERE problem IS NULL AND start IS NOT NULL) GROUP BY ALL")
+        f"SELECT query_id, node, min(cost) FROM (SELECT query_id, start AS node, 0 AS cost FROM queries WHERE problem IS NULL AND start IS NOT NULL UNION ALL SELECT query_id, g.dst, {enter} FROM queries q JOIN globals_ok g USING (profile_id) WHERE problem IS NULL AND start IS NOT NULL UNION ALL SELECT query_id, g.dst, g.cost FROM queries q JOIN globals_ok g USING (profile_id) WHERE problem IS NULL AND start IS NULL) GROUP BY ALL")
     return f"""found(query_id, node, cost) USING KEY (query_id, node) AS ({begin}
       UNION SELECT d.query_id, e.dst, min(d.cost + {step}) FROM found d JOIN queries q ON q.query_id = d.query_id JOIN edges e ON e.profile_id = q.profile_id AND e.src = d.node
       LEFT JOIN recurring.found r ON r.query_id = d.query_id AND r.node = e.dst WHERE r.cost IS NULL OR d.cost + {step} < r.cost GROUP BY d.query_id, e.dst)"""
@@ -131,15 +131,16 @@ def _listed(c: str) -> str:
 
 
 _COSTS = f"SELECT q.query_id, q.profile_id, CASE WHEN f.cost IS NULL THEN 'not_found' ELSE 'found' END AS status, f.cost, round(f.cost / {_TICKS}.0::DOUBLE, 3) AS cost_ms FROM queries q LEFT JOIN found f ON f.query_id = q.query_id AND f.node = q.goal WHERE q.problem IS NULL"
-_BACK = """step AS MATERIALIZED (SELECT q.query_id, v.node, u.node AS before, u.cost < v.cost AS less, u.node = q.start AS first
+_BACK = """begun AS MATERIALIZED (SELECT query_id, start AS node, 0::BIGINT AS cost FROM queries WHERE start IS NOT NULL UNION ALL SELECT query_id, g.dst, g.cost FROM queries q JOIN globals_ok g USING (profile_id) WHERE start IS NULL),
+  step AS MATERIALIZED (SELECT q.query_id, v.node, u.node AS before, u.cost < v.cost AS less, EXISTS (SELECT 1 FROM begun s WHERE s.query_id = q.query_id AND s.node = u.node) AS first
     FROM queries q JOIN found v ON v.query_id = q.query_id JOIN (SELECT profile_id, src, dst, w, false AS far FROM edges
       UNION ALL SELECT q2.profile_id, q2.start, g.dst, g.cost, true FROM (SELECT DISTINCT profile_id, start FROM queries WHERE start IS NOT NULL) q2 JOIN globals_ok g USING (profile_id)) e
       ON e.profile_id = q.profile_id AND e.dst = v.node AND (NOT e.far OR e.src = q.start)
-    JOIN found u ON u.query_id = q.query_id AND u.node = e.src AND u.cost <= v.cost AND u.cost + e.w = v.cost WHERE q.start IS NOT NULL AND v.node <> q.start),
+    JOIN found u ON u.query_id = q.query_id AND u.node = e.src AND u.cost <= v.cost AND u.cost + e.w = v.cost WHERE NOT EXISTS (SELECT 1 FROM begun s WHERE s.query_id = q.query_id AND s.node = v.node AND s.cost = v.cost)),
   pred AS MATERIALIZED (SELECT query_id, node, min(before) AS before FROM step WHERE less GROUP BY ALL),
   pred0 AS MATERIALIZED (SELECT * FROM pred UNION ALL SELECT s.query_id, s.node, min(s.before) FROM step s LEFT JOIN pred p ON p.query_id = s.query_id AND p.node = s.before
     WHERE NOT s.less AND (s.first OR p.node IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM pred o WHERE o.query_id = s.query_id AND o.node = s.node) GROUP BY s.query_id, s.node),
-  back(query_id, pos, node) AS (SELECT q.query_id, 0, q.goal FROM queries q JOIN found f ON f.query_id = q.query_id AND f.node = q.goal WHERE q.start IS NOT NULL
+  back(query_id, pos, node) AS (SELECT q.query_id, 0, q.goal FROM queries q JOIN found f ON f.query_id = q.query_id AND f.node = q.goal
     UNION ALL SELECT b.query_id, b.pos + 1, p.before FROM back b JOIN pred0 p ON p.query_id = b.query_id AND p.node = b.node)"""
 _WAY = "way AS MATERIALIZED (SELECT query_id, max(pos) OVER (PARTITION BY query_id) - pos AS pos, node FROM back)"
 _REACH = {"reach": """hubs AS MATERIALIZED (SELECT DISTINCT r.profile_id, l.component AS c FROM rings_ok r JOIN labels l ON l.node = r.node),
@@ -198,13 +199,13 @@ ORACLE: dict[str, str] = {
     "resolved_queries": sql("SELECT query_id, profile_id, seed, start, goal, problem FROM queries"),
     "tile_exists": sql(f"SELECT CAST(n_nationkey AS BIGINT) AS query_id, g.x, g.y, g.plane, o.id AS node, o.id IS NOT NULL AS exists FROM (SELECT n_nationkey, {_PLACE.format(k='((n_nationkey * 577 + 11) % n.n)', p='')} FROM nation, n) g LEFT JOIN nodes o ON o.x = g.x AND o.y = g.y AND o.plane = g.plane"),
     "near_distances": sql("SELECT source, node, cost FROM near", extra={"near": f"near(source, node, cost) USING KEY (source, node) AS (SELECT id, node, 0::BIGINT FROM rings UNION SELECT d.source, e.dst, min(d.cost + e.w) FROM near d JOIN walk e ON e.src = d.node LEFT JOIN recurring.near r ON r.source = d.source AND r.node = e.dst WHERE d.cost + e.w <= 6000::BIGINT * {_TICKS} AND (r.cost IS NULL OR d.cost + e.w < r.cost) GROUP BY d.source, e.dst)"}),
-    "route_costs": sql(_COSTS + " AND q.start IS NOT NULL", extra=_FOUND),
-    "route_costs_seeded": sql("SELECT q.query_id, q.seed, CASE WHEN f.cost IS NULL THEN 'not_found' ELSE 'found' END AS status, f.cost FROM queries q LEFT JOIN found f ON f.query_id = q.query_id AND f.node = q.goal WHERE q.problem IS NULL AND q.start IS NOT NULL", extra={"found": _search(True)}),
+    "route_costs": sql(_COSTS, extra=_FOUND),
+    "route_costs_seeded": sql("SELECT q.query_id, q.seed, CASE WHEN f.cost IS NULL THEN 'not_found' ELSE 'found' END AS status, f.cost FROM queries q LEFT JOIN found f ON f.query_id = q.query_id AND f.node = q.goal WHERE q.problem IS NULL", extra={"found": _search(True)}),
     "route_virtual_start": sql(_COSTS, extra={"found": _search(False, True)}),
     "route_paths": sql("SELECT query_id, count(*) AS length_tiles, string_agg(node::VARCHAR, ',' ORDER BY pos) AS path FROM way GROUP BY query_id", extra=_FOUND, last=[_BACK, _WAY]),
     "route_geometry": sql("SELECT w.query_id, w.pos, o.x, o.y, o.plane FROM way w JOIN nodes o ON o.id = w.node", extra=_FOUND, last=[_BACK, _WAY]),
-    "minimum_slice": sql("SELECT c.query_id, c.status, c.cost_ms, n.length_tiles FROM (" + _COSTS + " AND q.start IS NOT NULL) c LEFT JOIN (SELECT query_id, count(*) AS length_tiles FROM way GROUP BY 1) n ON n.query_id = c.query_id", extra=_FOUND, last=[_BACK, _WAY]),
-    "response_bodies": sql("SELECT c.query_id, c.status = 'found' AS found, n.length_tiles FROM (" + _COSTS + " AND q.start IS NOT NULL) c LEFT JOIN (SELECT query_id, count(*) AS length_tiles FROM way GROUP BY 1) n ON n.query_id = c.query_id", extra=_FOUND, last=[_BACK, _WAY]),
+    "minimum_slice": sql("SELECT c.query_id, c.status, c.cost_ms, n.length_tiles FROM (" + _COSTS + ") c LEFT JOIN (SELECT query_id, count(*) AS length_tiles FROM way GROUP BY 1) n ON n.query_id = c.query_id", extra=_FOUND, last=[_BACK, _WAY]),
+    "response_bodies": sql("SELECT c.query_id, c.status = 'found' AS found, n.length_tiles FROM (" + _COSTS + ") c LEFT JOIN (SELECT query_id, count(*) AS length_tiles FROM way GROUP BY 1) n ON n.query_id = c.query_id", extra=_FOUND, last=[_BACK, _WAY]),
     "route_actions": sql(f"""SELECT h.query_id, h.pos, h.u, h.v, CASE WHEN m.m IS NOT NULL THEN 'macro' WHEN w.w IS NOT NULL THEN 'move' WHEN g.g IS NOT NULL THEN 'global' WHEN ra.node IS NOT NULL AND rb.r IS NOT NULL THEN 'fairy' ELSE 'teleport' END AS type,
         CASE WHEN m.m IS NOT NULL THEN CASE m.m.kind WHEN 'poa_item' THEN 'teleport' ELSE m.m.kind END WHEN w.w IS NOT NULL THEN 'move' WHEN g.g IS NOT NULL THEN g.g.kind WHEN ra.node IS NOT NULL AND rb.r IS NOT NULL THEN 'fairy_ring' ELSE 'teleport' END AS kind,
         CASE WHEN m.m IS NOT NULL THEN m.m.id WHEN w.w IS NOT NULL THEN NULL WHEN g.g IS NOT NULL THEN g.g.id WHEN ra.node IS NOT NULL THEN rb.r.id END AS id,
@@ -222,7 +223,7 @@ ORACLE: dict[str, str] = {
     "landmark_distances": sql("SELECT li, node, fw, bw FROM far", extra=_TRIE_MARKS),
     "landmark_bounds": sql(_BOUND, extra=_TRIE_MARKS),
     "bound_quanta": sql("SELECT li, node, CASE WHEN fw IS NOT NULL THEN least(fw // 41943040, 65534) END AS fw_q, CASE WHEN bw IS NOT NULL THEN least(bw // 41943040, 65534) END AS bw_q FROM far", extra=_TRIE_MARKS),
-    "bound_violations": "SELECT 0 AS n",
+    "bound_violations": sql(f"SELECT coalesce(sum(CASE WHEN f.cost < least(b.bound, least(g.least, 2400 * {_TICKS})) THEN 1 ELSE 0 END), 0)::BIGINT AS n FROM ({_BOUND}) b JOIN found f ON f.query_id = b.query_id AND f.node = b.goal CROSS JOIN (SELECT min(cost) AS least FROM globals) g", extra=_TRIE_MARKS | _FOUND),
     "door_directions": sql("SELECT m.id AS query_id, 1 AS pos, m.id, CASE WHEN u.key = s.src THEN 'IN' WHEN u.key = s.dst THEN 'OUT' WHEN v.key = s.dst THEN 'IN' WHEN v.key = s.src THEN 'OUT' END AS direction, m.backward FROM macros m JOIN steps s ON s.kind = 'door' AND s.id = m.id JOIN nodes u ON u.id = m.src JOIN nodes v ON v.id = m.dst WHERE m.kind = 'door'"),
     "action_runs": "SELECT user_id AS query_id, run, event_type AS type, min(event_id) AS first_pos, count(*) AS n, sum(event_id % 7)::BIGINT AS cost_ms FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) = event_type THEN 0 ELSE 1 END AS new FROM events)) GROUP BY ALL",
     "snapshot_counts": sql("SELECT 'nodes' AS name, count(*) AS n FROM nodes UNION ALL SELECT 'walk', count(*) FROM walk UNION ALL SELECT 'macros', count(*) FROM macros UNION ALL SELECT 'globals', count(*) FROM globals UNION ALL SELECT 'rings', count(*) FROM rings UNION ALL SELECT 'tags', count(*) FROM tags"),
@@ -234,3 +235,36 @@ ORACLE: dict[str, str] = {
     "profile_values": sql("SELECT profile_id, key, number, word FROM client"),
 }
 ORACLE["precheck_agrees"] = sql("SELECT query_id, true AS agrees FROM queries WHERE problem IS NULL")
+ORACLE["seeded_envelope"] = sql("SELECT DISTINCT q.query_id, true AS inside FROM queries q JOIN labels l ON l.node = q.goal JOIN reach r ON r.query_id = q.query_id AND r.c = l.component WHERE problem IS NULL", extra=_REACH)
+ORACLE["route_costs_guided"] = ORACLE["route_costs_both_ways"] = ORACLE["route_costs"]
+ORACLE["answer_statistics"] = sql("SELECT status, count(*) AS n, min(cost) AS least, max(cost) AS greatest FROM (" + _COSTS + ") GROUP BY status", extra=_FOUND)
+ORACLE["landmark_choice"] = sql("""SELECT query_id, li, score FROM (SELECT q.query_id, g.li, CASE WHEN s.bw IS NULL THEN 4611686018427387904 ELSE greatest(0, coalesce(g.fw - s.fw, 0), s.bw - g.bw) END AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY score DESC, g.li) AS k
+  FROM queries q JOIN far g ON g.node = q.goal AND g.fw IS NOT NULL AND g.bw IS NOT NULL LEFT JOIN far s ON s.li = g.li AND s.node = q.start WHERE q.start IS NOT NULL) WHERE k <= 2""", extra=_TRIE_MARKS)
+ORACLE["bound_quality"] = sql(f"SELECT b.query_id, b.bound, f.cost, round(b.bound / f.cost::DOUBLE, 6) AS share FROM ({_BOUND}) b JOIN found f ON f.query_id = b.query_id AND f.node = b.goal WHERE f.cost > 0", extra=_TRIE_MARKS | _FOUND)
+ORACLE["request_decode"] = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN user_id WHEN 3 THEN 1 END AS start_id, CASE WHEN event_id % 5 IN (0, 2) THEN event_id END AS goal_id,
+  CASE WHEN event_id % 5 = 1 THEN user_id END AS start_x, CASE WHEN event_id % 5 = 1 THEN 2 END AS start_y, CASE WHEN event_id % 5 = 1 THEN 1 END AS start_plane, CASE WHEN event_id % 5 = 1 THEN 3 END AS goal_x, CASE WHEN event_id % 5 = 1 THEN event_id END AS goal_y, CASE WHEN event_id % 5 = 1 THEN 0 END AS goal_plane,
+  CASE WHEN event_id % 5 = 0 THEN event_id % 3 ELSE 0 END AS seed, CASE WHEN event_id % 5 = 1 THEN 'coins=' || event_id % 9 ELSE '' END AS requirements, event_id % 5 = 1 AS return_geometry, event_id % 5 = 2 AS surge, CASE WHEN event_id % 5 = 2 THEN 1 ELSE 2 END AS surge_charges, event_id % 5 = 2 AND event_id % 2 = 0 AS dive,
+  CASE event_id % 5 WHEN 3 THEN 'no_goal' WHEN 4 THEN 'no_request' END AS problem FROM events"""
+ORACLE["full_answers"] = sql("""SELECT c.query_id, c.status = 'found' AS found, coalesce(c.cost_ms, 0) AS cost, CASE WHEN c.query_id % 3 <> 0 THEN n.n END AS n_path, coalesce(n.n, 0) AS length_tiles, NULL AS reason, n.n - 1 AS n_actions, CASE WHEN c.query_id % 2 = 0 THEN n.n END AS n_geometry, CASE WHEN c.query_id % 2 = 0 THEN n.x END AS last_x
+  FROM (""" + _COSTS + """) c LEFT JOIN (SELECT w.query_id, count(*) AS n, max_by(o.x, w.pos) AS x FROM way w JOIN nodes o ON o.id = w.node GROUP BY 1) n ON n.query_id = c.query_id""", extra=_FOUND, last=[_BACK, _WAY])
+_ROW = """'{"kind":"' || {t}.kind || '","id":' || {t}.id || ',"cost":' || {t}.cost || CASE WHEN {t}.next_kind IS NULL THEN '' ELSE ',"next_kind":"' || {t}.next_kind || '"' END || CASE WHEN {t}.next_id IS NULL THEN '' ELSE ',"next_id":' || {t}.next_id END || '}'"""
+ORACLE["step_metadata"] = sql(f"SELECT s.kind, s.id, {_ROW.replace('{t}', 's')} AS row, CASE WHEN o.id IS NOT NULL THEN {_ROW.replace('{t}', 'o')} END AS next_row FROM steps s LEFT JOIN steps o ON o.kind = s.next_kind AND o.id = s.next_id")
+ORACLE["profile_words"] = sql("SELECT profile_id, string_agg(word || ':' || lower(hex(bits)), ',' ORDER BY word) AS words FROM (SELECT profile_id, req_id // 64 AS word, bit_or(1::UBIGINT << (req_id % 64)::INT) AS bits FROM met WHERE ok GROUP BY ALL) GROUP BY profile_id")
+ORACLE["cheap_adjacent_macros"] = sql("SELECT m.kind, m.id, m.src, m.dst, m.cost, m.backward FROM macros m JOIN nodes a ON a.id = m.src JOIN nodes b ON b.id = m.dst WHERE a.plane = b.plane AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND m.cost < 278045700")
+ORACLE["nodes_with_macros"] = sql("SELECT DISTINCT src AS id FROM macros")
+_POINTS = "SELECT c_custkey % 7 AS f, c_custkey AS t, k, CASE k WHEN 0 THEN 256 + c_custkey % 256 ELSE -1 END AS x, CASE k WHEN 0 THEN 2 ELSE 256 END AS y, CASE k WHEN 0 THEN 1 ELSE 0 END AS p, c_custkey % 5 <> 0 AS held FROM customer, (VALUES (0), (1)) v(k) WHERE k = 0 OR c_custkey % 5 <> 0"
+ORACLE["path_csv"] = f"SELECT f AS entrance_from, t AS entrance_to, CASE WHEN held THEN k END AS pos, CASE WHEN held THEN concat_ws(',', f, t, x, y, p) ELSE f || ',' || t || ',,,' END AS line FROM ({_POINTS})"
+ORACLE["path_json"] = f"""SELECT f AS entrance_from, t AS entrance_to, '{{"entrance_from":' || f || ',"entrance_to":' || t || ',"points":[' || coalesce(string_agg('{{"x":' || x || ',"y":' || y || ',"plane":' || p || '}}', ',' ORDER BY k) FILTER (held), '') || ']}}' AS text FROM ({_POINTS}) GROUP BY f, t"""
+ORACLE["path_coordinates"] = f"SELECT f AS entrance_from, t AS entrance_to, 'Coordinate[] path_from_' || f || '_to_' || t || ' = {{' || chr(10) || coalesce(string_agg('    new Coordinate(' || x || ', ' || y || ', ' || p || ')', ',' || chr(10) ORDER BY k) FILTER (held) || chr(10), '') || '}};' AS text FROM ({_POINTS}) GROUP BY f, t"
+_REPLAY = """golden AS (SELECT o_orderkey AS k, o_orderkey % 10 <> 0 AS found, o_totalprice AS cost FROM orders),
+  runs AS (SELECT o_orderkey AS k, run, o_orderkey % 3 AS seed, o_orderkey % 11 <> 0 AS found, o_totalprice + CASE WHEN run = 'two' AND o_orderkey % 13 = 0 THEN 1.5::DOUBLE ELSE 0::DOUBLE END + CASE WHEN o_orderkey % 3 > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END AS cost, o_orderkey % 520 AS pops FROM orders, (VALUES ('one'), ('two')) v(run)),
+  wrong AS (SELECT r.k, r.run, unnest([CASE WHEN r.found <> g.found THEN 'found' END, CASE WHEN r.pops > 500 THEN 'pops' END, CASE WHEN r.found AND g.found AND (r.cost < g.cost - CASE WHEN seed > 0 THEN 0.001 ELSE 1e-4 * greatest(g.cost, 1) END OR r.cost > g.cost + CASE WHEN seed > 0 THEN 2.001 ELSE 1e-4 * greatest(g.cost, 1) END) THEN 'cost' END]) AS problem FROM runs r JOIN golden g ON g.k = r.k)"""
+ORACLE["replay_failures"] = f"WITH {_REPLAY} SELECT k::VARCHAR AS name, run, problem FROM wrong WHERE problem IS NOT NULL"
+ORACLE["replay_summary"] = f"WITH {_REPLAY} SELECT r.run, count(*) AS n, count(w.k) AS failures, max(r.pops)::INT AS most_pops FROM runs r LEFT JOIN (SELECT DISTINCT k, run FROM wrong WHERE problem IS NOT NULL) w ON w.k = r.k AND w.run = r.run GROUP BY r.run"
+ORACLE["replay_disagreements"] = f"WITH {_REPLAY} SELECT k::VARCHAR AS name, seed FROM runs WHERE found GROUP BY k, seed HAVING count(*) > 1 AND max(cost) - min(cost) > 1e-3 * greatest(min(cost), 1)"
+ORACLE["payload_differences"] = "SELECT c_custkey AS name, CASE c_custkey % 10 WHEN 3 THEN NULL WHEN 4 THEN 'reason' ELSE 'cost' END AS field, CASE c_custkey % 10 WHEN 1 THEN 'missing' WHEN 2 THEN 'differs' WHEN 3 THEN 'no_answer' ELSE 'added' END AS problem FROM customer WHERE c_custkey % 10 BETWEEN 1 AND 4"
+_LCG = """lcg(k, state) AS (SELECT 0, (11400714819323198485::UHUGEINT * 6364136223846793005 + 1442695040888963407) % 18446744073709551616 UNION ALL SELECT k + 1, (state * 6364136223846793005 + 1442695040888963407) % 18446744073709551616 FROM lcg WHERE k < 4095)"""
+ORACLE["sample_ids"] = sql("SELECT ((state // 8589934592) % n.n)::BIGINT AS id, min(k)::INT AS draw FROM lcg, (SELECT count(*) AS n FROM nodes) n GROUP BY 1", extra={"lcg": _LCG})
+ORACLE["sampled_every"] = sql("SELECT id, key FROM nodes WHERE id % 64 = 0 ORDER BY id LIMIT 100")
+ORACLE["reachable_pairs"] = sql("""SELECT bucket, a, b FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY a, b) AS k FROM (
+  SELECT a.id AS a, b.id AS b, CASE WHEN d BETWEEN 5 AND 40 THEN 'near' WHEN d BETWEEN 50 AND 200 THEN 'short' WHEN d BETWEEN 500 AND 1500 THEN 'medium' WHEN d >= 2500 THEN 'long' END AS bucket FROM (SELECT a.id, b.id AS other, greatest(abs(a.x - b.x), abs(a.y - b.y)) AS d FROM picked a JOIN picked b ON b.id > a.id AND a.component = b.component) p JOIN picked a ON a.id = p.id JOIN picked b ON b.id = p.other) WHERE bucket IS NOT NULL) WHERE k <= 4""", extra={"lcg": _LCG}, last=["picked AS MATERIALIZED (SELECT o.id, o.x, o.y, l.component FROM nodes o JOIN labels l ON l.node = o.id WHERE o.plane = 0 AND o.id IN (SELECT ((state // 8589934592) % n.n)::BIGINT FROM lcg, (SELECT count(*) AS n FROM nodes) n WHERE k < 300))"])

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import fields
-from wayfold.operators import abilities, chains, eligibility, graph, landmarks, routes, search, store, validate
+from wayfold.operators import abilities, chains, eligibility, graph, landmarks, replay, requests, routes, search, store, validate
 from wayfold.operators.tables import shared_folder
 from wayfold.plans.world import World, world
-from wayfold.sources import regions, text
+from wayfold.sources import paths, regions, text
 from wayfold.sources.world import route_queries, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -282,12 +283,12 @@ def _costs(rows):
 
 @query
 def route_costs(w):
-    return _costs(w.routes.where("start IS NOT NULL"))
+    return _costs(w.routes)
 
 
 @query
 def route_costs_seeded(w):
-    return w.seeded_routes.where("start IS NOT NULL").select("query_id", "seed", "status", "cost")
+    return w.seeded_routes.select("query_id", "seed", "status", "cost")
 
 
 @query
@@ -297,14 +298,14 @@ def route_virtual_start(w):
 
 @query
 def route_paths(w):
-    found = w.routes.where("path IS NOT NULL AND start IS NOT NULL")
+    found = w.routes.where("path IS NOT NULL")
     return found.select("query_id", F.size("path").cast("long").alias("length_tiles"), listed("path").alias("path"))
 
 
 @query
 def virtual_routes(w):
-    """The answers whose start lies beside the graph, which the route queries
-    above leave to this one: with and without the query's seed."""
+    """The answers whose start lies beside the graph, with and without the query's
+    seed: also the seeded paths."""
     own = w.routes.where("start IS NULL")
     seeded = w.seeded_routes.where("start IS NULL").select("query_id", "seed", F.col("cost").alias("seeded_cost"), listed("path").alias("seeded_path"))
     costs = own.select("query_id", "profile_id", "status", "cost", F.size("path").cast("long").alias("length_tiles"), listed("path").alias("path"))
@@ -324,7 +325,7 @@ def virtual_actions(w):
 
 @query
 def route_geometry(w):
-    return routes.geometry(w.routes.where("start IS NOT NULL"), w.nodes)
+    return routes.geometry(w.routes, w.nodes)
 
 
 @query
@@ -355,37 +356,83 @@ def retry_ladder(w):
     return search.retried(w.queries.where("problem IS NULL"), w.by_profile, max(100, w.n // 20)).select("query_id", "status", "seed_dropped", "cost", "pops")
 
 
-# Landmarks
+@query
+def route_costs_guided(w):
+    """Searches led by the landmarks' bounds."""
+    asked = w.queries.where("problem IS NULL").withColumn("seed", F.lit(0).cast("long"))
+    return _costs(search.route(asked, w.by_profile, marks=w.marks))
+
+
+@query
+def route_costs_both_ways(w):
+    """Searches from both ends, one for each query."""
+    shared = w.spark.sparkContext.broadcast(w.by_profile)
 
+    def run(parts):
+        for part in parts:
+            out = []
+            for r in part.itertuples():
+                graph, virtual = shared.value[int(r.profile_id)], r.start < 0
+                cost, path, status, _ = graph.both_ways(dict(graph.globals) if virtual else {int(r.start): 0}, int(r.goal), 0, not virtual)
+                out.append((r.query_id, r.profile_id, status, cost, None if path is None else len(path)))
+            yield pd.DataFrame(out, columns=["query_id", "profile_id", "status", "cost", "n"]).astype({"cost": "Int64", "n": "Int64"})
 
-def _bound_table(w):
-    return landmarks.distance_tables(landmarks.bound_graph(w.n, w.walk, w.macros, w.rings), w.globals.where("kind = 'poa_item'").select(F.col("id").alias("li"), F.col("dst").alias("node")))
+    asked = w.queries.where("problem IS NULL").select("query_id", "profile_id", F.coalesce("start", F.lit(-1)).alias("start"), "goal")
+    return _costs(asked.mapInPandas(run, "query_id long, profile_id int, status string, cost long, n long"))
+
+
+@query
+def answer_statistics(w):
+    return requests.statistics(w.routes)
+
+
+# Landmarks
 
 
 @query
 def landmark_distances(w):
-    return _bound_table(w)
+    return w.bound_table
 
 
 @query
 def landmark_bounds(w):
-    return landmarks.bounds(w.queries.where("start IS NOT NULL AND goal IS NOT NULL").select("query_id", "start", "goal"), _bound_table(w))
+    return landmarks.bounds(w.queries.where("start IS NOT NULL AND goal IS NOT NULL").select("query_id", "start", "goal"), w.bound_table)
 
 
 @query
 def bound_quanta(w):
-    return _bound_table(w).select("li", "node", fields.quantised("fw").alias("fw_q"), fields.quantised("bw").alias("bw_q"))
+    return w.bound_table.select("li", "node", fields.quantised("fw").alias("fw_q"), fields.quantised("bw").alias("bw_q"))
 
 
 @query
 def bound_violations(w):
     """Routes that cost less than their bound, or than the cheapest way in."""
-    b = landmarks.bounds(w.queries.where("start IS NOT NULL AND goal IS NOT NULL").select("query_id", "start", "goal"), _bound_table(w))
+    b = landmarks.bounds(w.queries.where("start IS NOT NULL AND goal IS NOT NULL").select("query_id", "start", "goal"), w.bound_table)
     g = w.globals.groupBy().agg(F.min("cost").alias("least"))
     both = w.routes.where("cost IS NOT NULL").join(b.select("query_id", "bound"), "query_id").crossJoin(F.broadcast(g))  # one row
     return both.agg(F.coalesce(F.sum(F.expr(f"CAST(cost < least(bound, least(least, {fields.QUICK_TELEPORT_MS * fields.TICKS})) AS BIGINT)")), F.lit(0)).alias("n"))
 
 
+@query
+def landmark_choice(w):
+    """The two landmarks with the best bounds for each query, the first of equal
+    ones; without a way from or to the goal, a landmark can't be chosen."""
+    t = w.bound_table
+    s = t.select("li", F.col("node").alias("start"), F.col("fw").alias("sf"), F.col("bw").alias("sb"))
+    g = t.where("fw IS NOT NULL AND bw IS NOT NULL").select("li", F.col("node").alias("goal"), F.col("fw").alias("gf"), F.col("bw").alias("gb"))
+    both = w.queries.where("start IS NOT NULL").select("query_id", "start", "goal").join(g, "goal").join(s, ["li", "start"], "left")
+    score = F.expr(f"CASE WHEN sb IS NULL THEN {search.NO_WAY} ELSE greatest(0L, coalesce(gf - sf, 0L), sb - gb) END")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "li")
+    return both.withColumn("score", score).withColumn("k", F.row_number().over(order)).where("k <= 2").select("query_id", "li", "score")
+
+
+@query
+def bound_quality(w):
+    """How much of a route's cost its bound is."""
+    b = landmarks.bounds(w.queries.where("start IS NOT NULL AND goal IS NOT NULL").select("query_id", "start", "goal"), w.bound_table)
+    return w.routes.where("cost > 0").join(b.select("query_id", "bound"), "query_id").select("query_id", "bound", "cost", F.round(F.col("bound") / F.col("cost"), 6).alias("share"))
+
+
 @query
 def landmarks_farthest(w):
     chosen = landmarks.farthest(landmarks.bound_graph(w.n, w.walk, w.macros, w.rings), w.walk, w.macros, w.nodes, 4)
@@ -397,8 +444,7 @@ def landmarks_farthest(w):
 
 @query
 def route_actions(w):
-    real = w.routes.where("start IS NOT NULL").select("query_id")
-    return w.actions.join(real, "query_id").select("query_id", "pos", "u", "v", "type", "kind", "id", F.round("cost_ms", 3).alias("cost_ms"))
+    return w.actions.select("query_id", "pos", "u", "v", "type", "kind", "id", F.round("cost_ms", 3).alias("cost_ms"))
 
 
 @query
@@ -429,7 +475,7 @@ def action_runs(w):
 
 @query
 def response_bodies(w):
-    return routes.response(w.routes.where("start IS NOT NULL")).select("query_id", F.get_json_object("body", "$.found").cast("boolean").alias("found"), F.get_json_object("body", "$.length_tiles").cast("int").alias("length_tiles"))
+    return routes.response(w.routes).select("query_id", F.get_json_object("body", "$.found").cast("boolean").alias("found"), F.get_json_object("body", "$.length_tiles").cast("int").alias("length_tiles"))
 
 
 # Store and checks
@@ -487,4 +533,123 @@ def profile_values(w):
 @query
 def minimum_slice(w):
     """From source tables to routes: cost and length of each query's answer."""
-    return w.routes.where("start IS NOT NULL").select("query_id", "status", F.round(fields.milliseconds("cost"), 3).alias("cost_ms"), F.size("path").alias("length_tiles"))
+    return w.routes.select("query_id", "status", F.round(fields.milliseconds("cost"), 3).alias("cost_ms"), F.size("path").alias("length_tiles"))
+
+
+# Requests, golden answers, further checks
+
+
+@query
+def request_decode(w):
+    """Bodies with ids, with coordinates, without a goal, and no JSON at all."""
+    bodies = """CASE event_id % 5
+      WHEN 0 THEN concat('{"start_id":', user_id, ',"goal_id":', event_id, ',"seed":', event_id % 3, '}')
+      WHEN 1 THEN concat('{"start":{"wx":', user_id, ',"wy":2,"plane":1},"goal":{"wx":3,"wy":', event_id, ',"plane":0},"profile":{"requirements":[{"key":"coins","value":', event_id % 9, '}]},"options":{"return_geometry":true}}')
+      WHEN 2 THEN concat('{"goal_id":', event_id, ',"surge":{"enabled":true,"charges":1},"dive":{"enabled":', event_id % 2 = 0, '}}')
+      WHEN 3 THEN '{"start_id":1}' ELSE concat('no json ', event_id) END"""
+    own = table(w.spark, w.sf_dir, "events").select("event_id", F.expr(bodies).alias("body"))
+    got = requests.decoded(own)
+    pairs = F.array_join(F.transform("requirements", lambda r: F.concat_ws("=", r["key"], r["value"])), ";")
+    return got.select("event_id", "start_id", "goal_id", "start_x", "start_y", "start_plane", "goal_x", "goal_y", "goal_plane", "seed", pairs.alias("requirements"), "return_geometry", "surge", "surge_charges", "dive", "problem")
+
+
+@query
+def full_answers(w):
+    """Answers with actions and geometry, read back from their JSON."""
+    asked = w.queries.select("query_id", (F.col("query_id") % 2 == 0).alias("return_geometry"), (F.col("query_id") % 3 == 0).alias("only_actions"))
+    made = requests.answered(w.routes, w.actions, routes.geometry(w.routes, w.nodes), asked)
+    got = F.from_json("body", "found boolean, cost double, path array<long>, length_tiles int, reason string, actions array<struct<type:string,cost_ms:double>>, geometry array<array<int>>")
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).alias(f"n_{c.split('.')[-1]}")
+    return made.withColumn("g", got).select("query_id", "g.found", F.round("g.cost", 3).alias("cost"), size("g.path"), "g.length_tiles", "g.reason", size("g.actions"), size("g.geometry"), F.element_at("g.geometry", -1)[0].alias("last_x"))
+
+
+@query
+def step_metadata(w):
+    own = w.steps.select("kind", "id", F.col("cost"), "next_kind", "next_id")
+    return requests.step_metadata(own)
+
+
+@query
+def profile_words(w):
+    return eligibility.identity(w.met)
+
+
+@query
+def cheap_adjacent_macros(w):
+    return graph.cheap_adjacent_macros(w.macros, w.nodes).select("kind", "id", "src", "dst", "cost", "backward")
+
+
+@query
+def nodes_with_macros(w):
+    return graph.nodes_with_macros(w.nodes, w.macros)
+
+
+def _paths(w):
+    """Two points for a customer, none for every fifth, in hex."""
+    blob = "CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE concat('0x', lpad(hex(c_custkey % 256), 2, '0'), '010000', '02000000', '01000000', 'FFFFFFFF', '00010000', '00000000') END"
+    return paths.path_points(table(w.spark, w.sf_dir, "customer").select((F.col("c_custkey") % 7).alias("entrance_from"), F.col("c_custkey").alias("entrance_to"), F.expr(blob).alias("path_blob")))
+
+
+@query
+def path_csv(w):
+    return paths.as_csv(_paths(w))
+
+
+@query
+def path_json(w):
+    return paths.as_json(_paths(w))
+
+
+@query
+def path_coordinates(w):
+    return paths.as_coordinates(_paths(w))
+
+
+def _golden(w):
+    return table(w.spark, w.sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("name"), (F.col("o_orderkey") % 10 != 0).alias("found"), F.col("o_totalprice").alias("cost"), F.lit(20).alias("edges"), F.lit(500).alias("pops_max"))
+
+
+def _runs(w):
+    rows = table(w.spark, w.sf_dir, "orders").select("o_orderkey", "o_totalprice", F.explode(F.array(F.lit("one"), F.lit("two"))).alias("run"))
+    off = "CASE WHEN run = 'two' AND o_orderkey % 13 = 0 THEN 1.5D ELSE 0D END"
+    return rows.select(F.col("o_orderkey").cast("string").alias("name"), "run", F.expr("CAST(o_orderkey % 3 AS BIGINT)").alias("seed"), F.expr("o_orderkey % 11 <> 0").alias("found"), F.expr(f"o_totalprice + {off} + CASE WHEN o_orderkey % 3 > 0 THEN 1D ELSE 0D END").alias("cost"), F.expr("CAST(o_orderkey % 520 AS INT)").alias("pops"))
+
+
+@query
+def replay_failures(w):
+    return replay.failures(_golden(w), _runs(w))
+
+
+@query
+def replay_summary(w):
+    return replay.summary(_golden(w), _runs(w))
+
+
+@query
+def replay_disagreements(w):
+    return replay.disagreements(_runs(w)).select("name", "seed")
+
+
+@query
+def payload_differences(w):
+    own = table(w.spark, w.sf_dir, "customer").select(F.col("c_custkey").alias("name"), F.expr("concat('{\"found\":true,\"cost\":', c_custkey, ',\"duration_ms\":1}')").alias("body"))
+    other = table(w.spark, w.sf_dir, "customer").where("c_custkey % 10 <> 3").select(F.col("c_custkey").alias("name"), F.expr("concat('{\"found\":true', CASE c_custkey % 10 WHEN 1 THEN '' WHEN 2 THEN ',\"cost\":0.5' ELSE concat(',\"cost\":', c_custkey) END, CASE WHEN c_custkey % 10 = 4 THEN ',\"reason\":\"cancelled\"' ELSE '' END, ',\"duration_ms\":2}')").alias("body"))
+    return replay.payload_differences(own, other)
+
+
+@query
+def sample_ids(w):
+    return replay.sample_ids(w.spark, w.n)
+
+
+@query
+def sampled_every(w):
+    return replay.every(w.nodes.select("id", "key"), "id", 64, 100)
+
+
+@query
+def reachable_pairs(w):
+    """Pairs of sample nodes of one plane that walking connects, by distance."""
+    first = replay.sample_ids(w.spark, w.n).where("draw < 300")
+    own = w.nodes.where("plane = 0").join(F.broadcast(first), "id").join(w.labels.withColumnRenamed("node", "id"), "id").select("id", "x", "y", "component")  # 300 rows at most
+    return replay.far_pairs(own, F.expr("a.component = b.component"), [("near", 5, 40), ("short", 50, 200), ("medium", 500, 1500), ("long", 2500, 1 << 30)])

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.operators import chains, components, eligibility, graph, routes, search
+from wayfold.operators import chains, components, eligibility, graph, landmarks, routes, search
 from wayfold.operators.tables import stored
 from wayfold.sources import world as source
 
@@ -102,6 +102,15 @@ class World:
     def by_profile(self) -> dict[int, search.Graph]:
         return search.graphs(self.n, self.walk, self.macros_ok, self.rings_ok, self.globals_ok, PROFILES)
 
+    @cached_property
+    def bound_table(self) -> DataFrame:
+        marks = self.globals.where("kind = 'poa_item'").select(F.col("id").alias("li"), F.col("dst").alias("node"))
+        return stored(landmarks.distance_tables(landmarks.bound_graph(self.n, self.walk, self.macros, self.rings), marks))
+
+    @cached_property
+    def marks(self) -> search.Landmarks:
+        return search.Landmarks.of(self.bound_table, self.n)
+
     @cached_property
     def routes(self) -> DataFrame:
         """Answers to the resolvable queries; they all stay, found or not."""
