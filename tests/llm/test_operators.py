@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -279,6 +280,37 @@ def test_chunk_maps_compose(chunk):
     assert (got == want).all()
 
 
+def test_counter_of_a_large_alphabet():
+    """17,000 words over 3,000 characters: every count, in a table of a few MB."""
+    rng, v = np.random.default_rng(9), bpe.vocabulary(PATH)
+    words = sorted({"".join(chr(0x4E00 + int(c)) for c in rng.integers(0, 3000, int(rng.integers(1, 5)))) for _ in range(17_000)})
+    made = token_counts.Counter.compile(words, v)
+    assert sum(a.nbytes for a in (made.key, made.to, made.adds, made.final)) < 8 << 20
+    asked = words + ["中" * 5, "ab", "漢"]
+    codes = np.frombuffer("".join(asked).encode("utf-32-le"), "<u4")
+    size = np.array([len(w) for w in asked])
+    got = made.counts(codes, np.cumsum(size) - size, size)
+    assert got[: len(words)].tolist() == [len(v.merge(w.encode())) for w in words]
+    assert all(n == -1 or w in words for n, w in zip(got.tolist(), asked))
+
+
+def test_sum_index():
+    """Every pair and triple that there is, and none that there is not."""
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        have = rng.integers(0, 3, 31) * (rng.random(31) < 0.4)
+        have[0] = 0
+        index, left = packing.SumIndex(have), [s for s in range(1, 31) for _ in range(have[s])]
+        for size in sorted(set(left), reverse=True):
+            others = list(left)
+            others.remove(size)
+            sums = {sum(c) for k in (0, 1, 2, 3) for c in combinations(others, k)}
+            got = index.complement(size, 30)
+            assert (got is not None) == (30 - size in sums)
+            if got:
+                assert sum(got) == 30 and not Counter(got) - Counter(left)
+
+
 def check_packing(packed, texts, library, capacity=2048):
     whole = {}
     for i, t in texts.items():

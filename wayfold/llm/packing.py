@@ -2,16 +2,19 @@
 
 Only the histogram of piece lengths (at most `capacity` numbers) reaches the
 driver. There the sums of one, two and three lengths that are available are
-indexed, the longest piece's gap is looked up, and every combination that fills
-it exactly is used as often as the counts allow; what is left is packed by best
+indexed (an entry goes when its lengths have run out, and none comes back), the
+longest piece's gap is looked up, and every combination that fills it exactly is
+used as often as the counts allow; what is left is packed by best
 fit, longest first. The plan is a short list of patterns with multiplicities,
 so its size does not depend on the number of documents. Pieces are then numbered
 among those of equal length, salted so that a very common length does not meet
 in one task, and each number is looked up in the plan.
 
-Null texts count as empty: such a document is its end id alone. Repeated rows
-(the same doc_id twice) are packed as they come, each for itself. Other columns
-are ignored.
+Null texts count as empty: such a document is its end id alone. Very long texts
+are cut as above. Repeated rows, also those with a null doc_id, are packed each
+for itself; which of several pieces with equal doc_id, number and length takes
+which of their places is open, and changes no length. An empty table gives no
+rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -59,6 +62,60 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     return texts(docs).mapInArrow(run, PIECES)
 
 
+class SumIndex:
+    """Sums of one, two and three available lengths. For each sum, the shorter
+    lengths of its pairs, and the shortest ones of its triples, that have not run
+    out, in ascending order. have: how many pieces of each length there are; it
+    only goes down."""
+
+    def __init__(self, have: np.ndarray):
+        self.have = have
+        single, top = have > 0, len(have) - 1
+        lengths = np.flatnonzero(single)
+        self.pairs: list[list[int]] = [[], []]
+        for s in range(2, top + 1):
+            low = lengths[: np.searchsorted(lengths, s // 2, "right")]
+            self.pairs.append(low[single[s - low]][::-1].tolist())  # the next one is last
+        self.triples: list[list[int] | None] = [None] * (top + 1)
+        self.lengths = lengths.tolist()
+
+    def _free(self, taken: tuple[int, ...], length: int, n: int = 1) -> bool:
+        return self.have[length] - taken.count(length) >= n
+
+    def pair(self, s: int, taken: tuple[int, ...], least: int = 1) -> tuple[int, int] | None:
+        """The longer and the shorter of two lengths that sum to s, beside those
+        taken; the shorter as short as can be, `least` or more."""
+        low = self.pairs[s] if s > 1 else []
+        while low and not (self.have[low[-1]] and self.have[s - low[-1]] and (2 * low[-1] != s or self.have[low[-1]] > 1)):
+            low.pop()
+        for c in reversed(low):
+            if c >= least and self._free(taken, c, 2 if 2 * c == s else 1) and self._free(taken, s - c):
+                return s - c, c
+        return None
+
+    def triple(self, s: int, taken: tuple[int, ...]) -> tuple[int, int, int] | None:
+        """Three lengths that sum to s, the longest first."""
+        if self.triples[s] is None:
+            self.triples[s] = [c for c in reversed(self.lengths) if 3 * c <= s and self.pairs[s - c]]
+        low = self.triples[s]
+        while low and not (self.have[low[-1]] and self.pairs[s - low[-1]]):
+            low.pop()
+        for c in reversed(low):
+            if self._free(taken, c) and (found := self.pair(s - c, (*taken, c), c)):
+                return *found, c
+        return None
+
+    def complement(self, size: int, capacity: int) -> tuple[int, ...] | None:
+        """A pattern of size and up to three more lengths that fills capacity."""
+        gap = capacity - size
+        if gap == 0:
+            return (size,)
+        if self._free((size,), gap):
+            return size, gap
+        found = self.pair(gap, (size,)) or self.triple(gap, (size,))
+        return (size, *found) if found else None
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths and how many sequences follow each; all of `counts`
     is used up."""
@@ -70,42 +127,15 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
     out: list[tuple[tuple[int, ...], int]] = []
 
     def use(pattern: tuple[int, ...]) -> None:
-        need = np.bincount(pattern, minlength=capacity + 1)
-        times = int(min(have[s] // need[s] for s in set(pattern)))
-        have[list(set(pattern))] -= times * need[list(set(pattern))]
+        need = {s: pattern.count(s) for s in pattern}
+        times = int(min(have[s] // n for s, n in need.items()))
+        for s, n in need.items():
+            have[s] -= times * n
         out.append((pattern, times))
 
-    def pair(gap: int, left: np.ndarray) -> tuple[int, int] | None:
-        """Two available lengths with this sum, the longer as long as can be."""
-        if gap < 2:
-            return None
-        low = np.arange(1, gap // 2 + 1)
-        ok = (left[low] > 0) & (left[gap - low] > 0) & ((2 * low != gap) | (left[low] > 1))
-        i = int(ok.argmax())
-        return (int(gap - low[i]), int(low[i])) if ok[i] else None
-
-    def complement(size: int) -> tuple[int, ...] | None:
-        gap, left = capacity - size, have.copy()
-        left[size] -= 1
-        if left[size] < 0:
-            return None
-        if gap == 0:
-            return (size,)
-        if left[gap] > 0:
-            return size, gap
-        if found := pair(gap, left):
-            return size, *found
-        for c in range(1, gap // 3 + 1):  # the shortest of three
-            if left[c] > 0:
-                left[c] -= 1
-                if (found := pair(gap - c, left)) and found[1] >= c:
-                    return size, *found, c
-                left[c] += 1
-        return None
-
-    rest = []
+    index = SumIndex(have)
     for size in range(capacity, 0, -1):
-        while have[size] and (found := complement(size)):
+        while have[size] and (found := index.complement(size, capacity)):
             use(found)
     rest = [(s, int(have[s])) for s in range(capacity, 0, -1) if have[s]]
     open_: dict[int, list[list]] = defaultdict(list)  # gap -> [pattern, times]

@@ -12,8 +12,10 @@ Two deterministic transducers follow each other.
   along a word sum to its count. It holds the frequent words of the corpus;
   the count of any other word comes from exact merging.
 
-Nulls count as empty texts (0 bytes, 0 tokens). Special strings in a text count
-as one token each, as the tokenizers library does by default.
+Nulls count as empty texts (0 bytes, 0 tokens). Very long texts are read whole.
+Special strings in a text count as one token each, as the tokenizers library
+does by default. Repeated rows repeat, a null doc_id is a row like any other, an
+empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ COUNTER_WORDS = 32768
 CHUNK = 128
 #: Longest word that the counting transducer is asked for.
 WORD_CHARS = 40
+#: Bits of a symbol's number: code points have 21.
+SYMBOL_BITS = 21
 
 LETTER, NUMBER, OTHER, GLUE, LAST, SPACE, SHORT, LONG = range(8)  # symbols
 START, IN_LETTER, IN_NUMBER, IN_OTHER, GLUED, IN_SPACE, ONE_MORE, TWO_MORE = range(8)  # states
@@ -133,10 +137,48 @@ def word_starts(symbol: np.ndarray, firsts: np.ndarray, chunk: int = CHUNK) -> n
 
 class Counter:
     """The counting transducer: a trie of words, its equivalent states merged,
-    each transition with the tokens it adds."""
+    each transition with the tokens it adds. Transitions stand in one hash table
+    by state and symbol, a quarter full, so its size goes with their number and
+    not with that of the alphabet's symbols."""
 
-    def __init__(self, next_state: np.ndarray, adds: np.ndarray, final: np.ndarray, symbol: np.ndarray):
-        self.next, self.adds, self.final, self.symbol = next_state, adds, final, symbol
+    def __init__(self, key: np.ndarray, to: np.ndarray, adds: np.ndarray, final: np.ndarray, symbol: np.ndarray):
+        self.key, self.to, self.adds, self.final, self.symbol = key, to, adds, final, symbol
+
+    @staticmethod
+    def _slot(key: np.ndarray, size: int) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+    @classmethod
+    def _table(cls, key: np.ndarray, to: np.ndarray, adds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = 1 << max(3, (4 * len(key)).bit_length())
+        held, left, at = np.full(size, -1, np.int64), np.arange(len(key)), cls._slot(key, size)
+        place = np.empty(len(key), np.int64)
+        while len(left):  # those that find a free slot, the first of each slot, take it; the others go on
+            own = at[left]
+            first = np.unique(own, return_index=True)[1]
+            first = first[held[own[first]] < 0]
+            took = left[first]
+            held[at[took]], place[took] = key[took], at[took]
+            left = np.delete(left, first)
+            at[left] = (at[left] + 1) % size
+        out_to, out_adds = np.zeros(size, np.int32), np.zeros(size, np.int8)
+        out_to[place], out_adds[place] = to, adds
+        return held, out_to, out_adds
+
+    def _cells(self, key: np.ndarray) -> np.ndarray:
+        """Slots of transitions, -1 for those that there are not."""
+        size = len(self.key)
+        at = self._slot(key, size)
+        seen = self.key[at]
+        out = np.where(seen == key, at, -1)
+        left = np.flatnonzero((seen != key) & (seen >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & (size - 1)
+            seen = self.key[at[left]]
+            hit = seen == key[left]
+            out[left[hit]] = at[left[hit]]
+            left = left[~hit & (seen >= 0)]
+        return out
 
     @classmethod
     def compile(cls, words: list[str], v: Vocabulary) -> Counter:
@@ -165,32 +207,33 @@ class Counter:
                 registry[key] = len(rows)
                 rows.append(key)
             merged[at] = registry[key] if at else len(rows) - 1
-        size = len(rows)
-        next_state = np.zeros((size + 1, len(alphabet) + 1), np.int32)  # state 0: dead; the root is the last
-        adds, final = np.zeros(next_state.shape, np.int8), np.zeros(size + 1, bool)
+        final = np.zeros(len(rows) + 1, bool)  # state 0: dead; the root is the last
+        key, to, adds = [], [], []
         for i, (ends, moves) in enumerate(rows):
             final[i + 1] = ends
-            for c, to, n in moves:
-                next_state[i + 1, c], adds[i + 1, c] = to + 1, n
-        symbol = np.zeros(0x110000, np.uint16)
+            for c, state, n in moves:
+                key.append(((i + 1) << SYMBOL_BITS) | c)
+                to.append(state + 1)
+                adds.append(n)
+        symbol = np.zeros(0x110000, np.int32)
         symbol[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
-        return cls(next_state, adds, final, symbol)
+        return cls(*cls._table(np.array(key, np.int64), np.array(to, np.int32), np.array(adds, np.int8)), final, symbol)
 
     def counts(self, codes: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Tokens of the words at these places, -1 where the word is unknown."""
-        root, width = len(self.final) - 1, self.next.shape[1]
+        root = len(self.final) - 1
         out = np.full(len(at), -1, np.int64)
         lanes = np.flatnonzero(length <= WORD_CHARS)
         order = lanes[np.argsort(length[lanes], kind="stable")]
         place, size = at[order], length[order]
         state, total = np.full(len(order), root, np.int64), np.zeros(len(order), np.int64)
-        to, adds, seen = self.next.ravel(), self.adds.ravel(), self.symbol[codes].astype(np.int64)
+        seen = self.symbol[codes].astype(np.int64)
         done = 0
         for step in range(int(size[-1]) if len(size) else 0):
             done = int(np.searchsorted(size, step, "right"))
-            cell = state[done:] * width + seen[place[done:] + step]
-            total[done:] += adds[cell]
-            state[done:] = to[cell]
+            cell = self._cells((state[done:] << SYMBOL_BITS) | seen[place[done:] + step])
+            total[done:] += np.where(cell < 0, 0, self.adds[cell])
+            state[done:] = np.where(cell < 0, 0, self.to[cell])
         known = self.final[state]
         out[order[known]] = total[known]
         return out
@@ -253,7 +296,7 @@ def compile_counter(docs: DataFrame, tokenizer: str, words: int = COUNTER_WORDS)
     v = vocabulary(tokenizer)
     chosen = [w.decode() for w in frequent_words(docs, tokenizer, words)]
     made = Counter.compile([w for w in chosen if w not in v.special], v)
-    data = pickle.dumps((made.next, made.adds, made.final, made.symbol))
+    data = pickle.dumps((made.key, made.to, made.adds, made.final, made.symbol))
     return ship(docs.sparkSession, "counter.bin", data)
 
 
