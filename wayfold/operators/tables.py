@@ -9,7 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared checkpoint folder."""
+    """A new folder in the application's part of the cluster's shared checkpoint
+    folder."""
+    return f"{_top(spark)}/{uuid.uuid4().hex}"
+
+
+def remove_intermediates(spark: SparkSession) -> None:
+    """Delete all that this application stored; nothing that reads it can run after."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_top(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _top(spark: SparkSession) -> str:
     sc = spark.sparkContext
     top = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not top:
@@ -19,7 +30,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         top = f"{tempfile.gettempdir()}/wayfold-checkpoints"  # driver and tasks are one process
-    return f"{top.rstrip('/')}/wayfold-{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/wayfold-{sc.applicationId}"
 
 
 def stored(df: DataFrame, codec: str = "snappy") -> DataFrame:

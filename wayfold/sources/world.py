@@ -1,7 +1,8 @@
 """A world of tiles, teleports, rings and requirements from the star-schema
 tables: tiles from orders; doors, npcs, objects, slots and rings from supplier;
 lodestones from nation; items and charges from region; requirements from part;
-route queries from nation. Every table is used whole.
+route queries from nation: 25 at every scale factor, since the SQL that they are
+held against relaxes from each of them. Every table is used whole.
 """
 
 from __future__ import annotations
