@@ -9,8 +9,11 @@ that it does not hold is merged exactly, so the result never depends on which
 words were compiled.
 
 Nulls count as empty texts and give no ids. The special string of the vocabulary
-inside a text becomes its id, as the tokenizers library does by default. Other
-columns of the input are ignored. Repeated rows give repeated results.
+inside a text becomes its id, as the tokenizers library does by default. Very
+long texts, and very long words, are encoded whole. Of words that occur equally
+often, the lexicon takes all or none. Repeated rows give repeated results, a
+null doc_id is a row like any other, an empty table gives no rows. Other columns
+are ignored by encoding and kept by decoding, which replaces a column `decoded`.
 """
 
 from __future__ import annotations
@@ -313,6 +316,7 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str | None = None) -> DataF
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """The input's columns and decoded, the text that the ids stand for; bytes
     that are no UTF-8 become the replacement character."""
+    encoded = encoded.drop("decoded")
     fields = encoded.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
