@@ -13,6 +13,7 @@ from wayfold.operators import abilities, chains, components, eligibility, graph,
 from wayfold.plans import queries
 from wayfold.plans.oracle import ORACLE
 from wayfold.plans.queries import QUERIES
+from wayfold.plans.world import World
 from wayfold.sources import regions, text
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -212,7 +213,42 @@ def test_landmarks(spark):
     walk = spark.createDataFrame(both, "src long, dst long, w long")
     none = spark.createDataFrame([], "src long, dst long, cost long, kind string")
     nodes = spark.range(6)
-    assert sorted(landmarks.farthest(small(6, both), walk, none, nodes, 2)) == [0, 3]
+    rings = spark.createDataFrame([], "node long, cost long")
+    for reach in (landmarks.searched(spark, small(6, both)), landmarks.joined(spark, landmarks.bound_edges(walk, none, rings))):
+        assert sorted(landmarks.farthest(reach, walk, none, nodes, 2)) == [0, 3]
+
+
+def test_landmarks_beyond_the_bound(spark):
+    """Tables by joins hold the same distances, rings and unreached nodes included."""
+    rng, n = np.random.default_rng(9), 40
+    edges = [(int(a), int(b), int(w)) for a, b, w in zip(rng.integers(0, n, 55), rng.integers(0, n, 55), rng.integers(1, 900, 55), strict=True) if a != b]
+    walk = spark.createDataFrame(edges[:35], "src long, dst long, w long")
+    macros = spark.createDataFrame([(*e, "door") for e in edges[35:]] + [(1, 2, 1 << 40, "lodestone")], "src long, dst long, cost long, kind string")
+    rings = spark.createDataFrame([(4, 50), (31, 0), (20, 700), (20, 90)], "node long, cost long")
+    marks = spark.createDataFrame([(0, 3), (1, 31), (2, 20)], "li int, node long")
+    want = landmarks.distance_tables(landmarks.bound_graph(n, walk, macros, rings), marks)
+    got = landmarks.joined_tables(landmarks.bound_edges(walk, macros, rings), marks)
+    rows = lambda t: {(r["li"], r["node"]): (r["fw"], r["bw"]) for r in t.collect()}
+    assert rows(got) == rows(want) and any(None in v for v in rows(want).values())
+
+
+def test_queries_beyond_the_bound(spark, monkeypatch):
+    """Nothing is shipped to tasks when edges are more than the bound."""
+    frame = spark.createDataFrame
+    own = World(spark, "")
+    edges = [(0, 1, 10), (1, 2, 10), (2, 3, 500)]
+    own.__dict__.update(n=6, walk=frame(edges, "src long, dst long, w long"), macros=frame([(1, 3, 20, "npc")], "src long, dst long, cost long, kind string"), macros_ok=frame([(0, 1, 3, 20)], "profile_id int, src long, dst long, cost long"), rings=frame([(2, 5), (4, 5)], "node long, cost long"), rings_ok=frame([(0, 2, 5), (0, 4, 5)], "profile_id int, node long, cost long"), globals_ok=frame([(0, 2, 7)], "profile_id int, dst long, cost long"))
+    own.globals = frame([("poa_item", 0, 3)], "kind string, id int, dst long")
+    asked = frame([(0, 0, 0, 0, 3), (1, 0, 0, None, 4), (2, 0, 0, 0, 5)], "query_id long, profile_id int, seed long, start long, goal long")
+    rows = lambda: ({(r["query_id"], r["status"], r["cost"]) for r in own.answers(asked, guided=True).collect()}, {tuple(r) for r in own.bound_table.collect()})
+    shipped = rows()
+    assert shipped[0] == {(0, "found", 30), (1, "found", 12), (2, "not_found", None)}
+    monkeypatch.setattr(search, "BROADCAST_EDGES", 0)
+    for name in ("small", "by_profile", "bound_table", "marks"):
+        own.__dict__.pop(name, None)
+    assert rows() == shipped
+    with pytest.raises(ValueError):
+        own.by_profile
 
 
 def test_components(spark):

@@ -2,13 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions.fields import QUICK_TELEPORT_MS, TICKS
 from wayfold.operators.components import connected
-from wayfold.operators.search import BROADCAST_EDGES, Graph, tables_of_distances
+from wayfold.operators.search import BROADCAST_EDGES, Graph, distances, tables_of_distances
+
+#: No node: where all rings meet in bound_edges().
+HUB = -1
+
+
+def _cheapest(macros: DataFrame) -> DataFrame:
+    low = F.when(F.col("kind") == "lodestone", F.least("cost", F.lit(QUICK_TELEPORT_MS * TICKS))).otherwise(F.col("cost"))
+    return macros.groupBy("src", "dst").agg(F.min(low).alias("w"))
+
+
+def bound_edges(walk: DataFrame, macros: DataFrame, rings: DataFrame) -> DataFrame:
+    """src, dst, w of the graph of bound_graph(), for joins. Every ring leads to
+    HUB for nothing, and HUB to every ring at that ring's cost: as far as from
+    ring to ring, without their pairs."""
+    ring = rings.groupBy("node").agg(F.min("cost").alias("w"))
+    to = ring.select(F.col("node").alias("src"), F.lit(HUB).cast("long").alias("dst"), F.lit(0).cast("long").alias("w"))
+    back = ring.select(F.lit(HUB).cast("long").alias("src"), F.col("node").alias("dst"), "w")
+    return walk.select("src", "dst", "w").unionByName(_cheapest(macros)).unionByName(to).unionByName(back)
 
 
 def bound_graph(n: int, walk: DataFrame, macros: DataFrame, rings: DataFrame) -> Graph:
@@ -16,8 +36,8 @@ def bound_graph(n: int, walk: DataFrame, macros: DataFrame, rings: DataFrame) ->
     whatever it requires. BROADCAST_EDGES edges at most."""
     edges = walk.count() + macros.count()
     if edges > BROADCAST_EDGES:
-        raise ValueError(f"{edges} edges are more than a task may hold: use search.distances from each landmark")
-    w, m = walk.select("src", "dst", "w").toPandas(), macros.withColumn("w", F.when(F.col("kind") == "lodestone", F.least("cost", F.lit(QUICK_TELEPORT_MS * TICKS))).otherwise(F.col("cost"))).groupBy("src", "dst").agg(F.min("w").alias("w")).toPandas()
+        raise ValueError(f"{edges} edges are more than a task may hold: use bound_edges()")
+    w, m = walk.select("src", "dst", "w").toPandas(), _cheapest(macros).toPandas()
     r = rings.groupBy("node").agg(F.min("cost").alias("w")).toPandas()
     cat = lambda c: np.concatenate([w[c].to_numpy(np.int64), m[c].to_numpy(np.int64)])
     return Graph(n, cat("src"), cat("dst"), cat("w"), zip(r.node.tolist(), r.w.tolist(), strict=True))
@@ -31,11 +51,31 @@ def distance_tables(graph: Graph, landmarks: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("key").alias("li"), "node").agg(F.max(F.when(~F.col("backward"), F.col("cost"))).alias("fw"), F.max(F.when(F.col("backward"), F.col("cost"))).alias("bw"))
 
 
-def farthest(graph: Graph, walk: DataFrame, macros: DataFrame, nodes: DataFrame, k: int, largest: int = 4096) -> list[int]:
+def joined_tables(edges: DataFrame, landmarks: DataFrame) -> DataFrame:
+    """distance_tables() by rounds of joins, whatever the number of edges."""
+    at = landmarks.select(F.col("li").cast("long").alias("source"), "node", F.lit(0).cast("long").alias("cost"))
+    ahead = distances(edges, at).withColumnRenamed("cost", "fw")
+    back = distances(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"), at).withColumnRenamed("cost", "bw")
+    return ahead.join(back, ["source", "node"], "full").where(F.col("node") != HUB).select(F.col("source").alias("li"), "node", "fw", "bw")
+
+
+Reach = Callable[[int], DataFrame]
+
+
+def searched(spark: SparkSession, graph: Graph) -> Reach:
+    """From a node to what it reaches: node, d."""
+    return lambda at: tables_of_distances({0: graph}, spark.createDataFrame([(0, 0, at, False)], "key long, profile_id int, node long, backward boolean")).select("node", F.col("cost").alias("d"))
+
+
+def joined(spark: SparkSession, edges: DataFrame) -> Reach:
+    """searched() by rounds of joins."""
+    return lambda at: distances(edges, spark.createDataFrame([(0, at, 0)], "source long, node long, cost long")).where(F.col("node") != HUB).select("node", F.col("cost").alias("d"))
+
+
+def farthest(reach: Reach, walk: DataFrame, macros: DataFrame, nodes: DataFrame, k: int, largest: int = 4096) -> list[int]:
     """k landmarks: from the lowest node of the largest component on, each is
     the node farthest from those before (unreached ones first, then the lowest
     id), in components that are large enough. Each needs the ones before it."""
-    spark = nodes.sparkSession
     edges = walk.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(macros.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     label = nodes.select("id").join(connected(edges).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     sizes = label.groupBy("component").agg(F.count("*").alias("n"))
@@ -46,8 +86,7 @@ def farthest(graph: Graph, walk: DataFrame, macros: DataFrame, nodes: DataFrame,
     chosen: list[int] = []
     near, at = None, top["component"]
     for _ in range(k):
-        got = tables_of_distances({0: graph}, spark.createDataFrame([(0, 0, at, False)], "key long, profile_id int, node long, backward boolean")).select("node", F.col("cost").alias("d"))
-        now = eligible.join(got, "node", "left")
+        now = eligible.join(reach(at), "node", "left")
         if near is not None and chosen:
             now = now.join(near.withColumnRenamed("d", "e"), "node").select("node", F.expr("CASE WHEN d IS NULL THEN e WHEN e IS NULL THEN d ELSE least(d, e) END").alias("d"))
         near = now.cache()

@@ -284,10 +284,11 @@ ROUTES = "query_id long, profile_id int, seed long, start long, goal long, statu
 
 
 def route(queries: DataFrame, by_profile: dict[int, Graph], budget: int | None = None, marks: Landmarks | None = None, active: int | None = None) -> DataFrame:
-    """With marks, searches for one goal are guided by the best `active` of them
-    (all, if not said), which changes nothing but the nodes that are settled. queries: query_id, profile_id, seed, start and goal (node ids; a null
-    start lies beside the graph and enters through any global teleport). Queries
-    with the same start, profile and seed share a search, 200 goals at most."""
+    """queries: query_id, profile_id, seed, start and goal (node ids; a null start
+    lies beside the graph and enters through any global teleport). Queries with
+    the same start, profile and seed share a search, 200 goals at most. With
+    marks, searches for one goal are guided by the best `active` of them (all, if
+    not said), which changes nothing but the nodes that are settled."""
     shared = queries.sparkSession.sparkContext.broadcast(by_profile)
     held = queries.sparkSession.sparkContext.broadcast(marks)  # two numbers for each landmark and node
 
@@ -328,24 +329,23 @@ def retried(queries: DataFrame, by_profile: dict[int, Graph], budget: int) -> Da
     return keep(first).withColumn("seed_dropped", F.lit(False)).unionByName(keep(second).withColumn("seed_dropped", F.lit(False))).unionByName(third.withColumn("seed_dropped", F.lit(True)))
 
 
-def distances(edges: DataFrame, sources: DataFrame, within: int | None = None, rounds: int = 10_000) -> DataFrame:
+def distances(edges: DataFrame, sources: DataFrame, within: int | None = None) -> DataFrame:
     """(source, node, cost) by relaxation: each round joins the nodes that got
     cheaper with their out-edges and keeps what improves. edges: src, dst, w;
-    sources: source, node, cost, and seed if jitter is wanted. Costs over `within`
-    ticks are left out. Every round is written to the shared folder."""
+    sources: source, node, cost. Costs over `within` ticks are left out. Every
+    round is written to the shared folder; there are as many as hops on the
+    longest path."""
     best = stored(sources.groupBy("source", "node").agg(F.min("cost").alias("cost")))
     front = best
     out = edges.select(F.col("src").alias("node"), "dst", "w")
-    for _ in range(rounds):
+    while not front.isEmpty():
         tried = front.join(out, "node").select("source", F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"))
         if within is not None:
             tried = tried.where(F.col("cost") <= within)
         new = tried.groupBy("source", "node").agg(F.min("cost").alias("cost"))
         front = stored(new.join(best.withColumnRenamed("cost", "old"), ["source", "node"], "left").where("old IS NULL OR cost < old").select("source", "node", "cost"))
-        if front.isEmpty():
-            return best
         best = stored(best.unionByName(front).groupBy("source", "node").agg(F.min("cost").alias("cost")))
-    raise RuntimeError(f"costs still change after {rounds} rounds")
+    return best
 
 
 def relaxed(queries: DataFrame, walk: DataFrame, macros: DataFrame, rings: DataFrame, globals_: DataFrame) -> DataFrame:

@@ -293,7 +293,7 @@ def route_costs_seeded(w):
 
 @query
 def route_virtual_start(w):
-    return _costs(search.route(w.queries.where("problem IS NULL").withColumns({"start": F.lit(None).cast("long"), "seed": F.lit(0).cast("long")}), w.by_profile))
+    return _costs(w.answers(w.queries.where("problem IS NULL").withColumns({"start": F.lit(None).cast("long"), "seed": F.lit(0).cast("long")})))
 
 
 @query
@@ -353,19 +353,23 @@ def precheck_agrees(w):
 
 @query
 def retry_ladder(w):
+    """Budgets count the nodes of one task's search, so beyond the bound on edges
+    this stops with an error."""
     return search.retried(w.queries.where("problem IS NULL"), w.by_profile, max(100, w.n // 20)).select("query_id", "status", "seed_dropped", "cost", "pops")
 
 
 @query
 def route_costs_guided(w):
-    """Searches led by the landmarks' bounds."""
+    """Searches led by the landmarks' bounds, where tasks may hold all edges."""
     asked = w.queries.where("problem IS NULL").withColumn("seed", F.lit(0).cast("long"))
-    return _costs(search.route(asked, w.by_profile, marks=w.marks))
+    return _costs(w.answers(asked, guided=True))
 
 
 @query
 def route_costs_both_ways(w):
-    """Searches from both ends, one for each query."""
+    """Searches from both ends, one for each query, where tasks may hold all edges."""
+    if not w.small:
+        return _costs(w.answers(w.queries.where("problem IS NULL").withColumn("seed", F.lit(0).cast("long"))))
     shared = w.spark.sparkContext.broadcast(w.by_profile)
 
     def run(parts):
@@ -435,7 +439,7 @@ def bound_quality(w):
 
 @query
 def landmarks_farthest(w):
-    chosen = landmarks.farthest(landmarks.bound_graph(w.n, w.walk, w.macros, w.rings), w.walk, w.macros, w.nodes, 4)
+    chosen = landmarks.farthest(w.reach, w.walk, w.macros, w.nodes, 4)
     return w.spark.createDataFrame(list(enumerate(chosen)), "li int, node long")
 
 
@@ -449,7 +453,7 @@ def route_actions(w):
 
 @query
 def virtual_entries(w):
-    far = search.route(w.queries.where("problem IS NULL").withColumns({"start": F.lit(None).cast("long"), "seed": F.lit(0).cast("long")}), w.by_profile)
+    far = w.answers(w.queries.where("problem IS NULL").withColumns({"start": F.lit(None).cast("long"), "seed": F.lit(0).cast("long")}))
     return routes.virtual_entries(far, w.globals_ok)
 
 

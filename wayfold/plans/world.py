@@ -91,21 +91,31 @@ class World:
     @cached_property
     def small(self) -> bool:
         """Whether tasks may hold all edges."""
-        return self.walk.count() + self.macros_ok.count() <= search.BROADCAST_EDGES
+        return max(self.n, self.walk.count() + max(self.macros.count(), self.macros_ok.count())) <= search.BROADCAST_EDGES
 
-    def answers(self, asked: DataFrame) -> DataFrame:
+    def answers(self, asked: DataFrame, guided: bool = False) -> DataFrame:
         if self.small:
-            return search.route(asked, self.by_profile)
+            return search.route(asked, self.by_profile, marks=self.marks if guided else None)
         return search.relaxed(asked, self.walk, self.macros_ok, self.rings_ok, self.globals_ok)
 
     @cached_property
     def by_profile(self) -> dict[int, search.Graph]:
+        if not self.small:
+            raise ValueError("more edges than a task may hold: use answers()")
         return search.graphs(self.n, self.walk, self.macros_ok, self.rings_ok, self.globals_ok, PROFILES)
 
     @cached_property
     def bound_table(self) -> DataFrame:
         marks = self.globals.where("kind = 'poa_item'").select(F.col("id").alias("li"), F.col("dst").alias("node"))
-        return stored(landmarks.distance_tables(landmarks.bound_graph(self.n, self.walk, self.macros, self.rings), marks))
+        if self.small:
+            return stored(landmarks.distance_tables(landmarks.bound_graph(self.n, self.walk, self.macros, self.rings), marks))
+        return stored(landmarks.joined_tables(stored(landmarks.bound_edges(self.walk, self.macros, self.rings)), marks))
+
+    @property
+    def reach(self) -> landmarks.Reach:
+        if self.small:
+            return landmarks.searched(self.spark, landmarks.bound_graph(self.n, self.walk, self.macros, self.rings))
+        return landmarks.joined(self.spark, stored(landmarks.bound_edges(self.walk, self.macros, self.rings)))
 
     @cached_property
     def marks(self) -> search.Landmarks:
