@@ -394,3 +394,17 @@ def test_requests_and_paths(spark, tmp_path):
     bodies = spark.createDataFrame([(1, "{}")], "query_id long, body string")
     requests.dumped(bodies, str(tmp_path / "dump"))
     assert [r[0] for r in spark.read.text(str(tmp_path / "dump")).collect()] == ["{}"]
+
+
+def test_places_beyond_the_range_of_keys(spark):
+    """Every tile is a node, in the order of plane, y and x, and walks; steps keep
+    their ends, with keys as in the SQL."""
+    tiles = spark.createDataFrame([(x, y, p, 255) for p in (0, 1) for y in (3200, 40000, 40001) for x in (10, 11)], "x int, y int, plane int, walk_mask int")
+    nodes = graph.dense_ids(tiles)
+    rows = sorted(nodes.collect(), key=lambda r: (r["plane"], r["y"], r["x"]))
+    assert [r["id"] for r in rows] == list(range(12)) and all(r["key"] == r["plane"] << 30 | r["y"] << 15 | r["x"] for r in rows)
+    assert graph.walk_edges(nodes).count() == 2 * (12 + 2)
+    step = spark.createDataFrame([("door", 1, 10, 40000, 0, 11, 40001, 0, 1.0, None, None, None)], "kind string, id long, src_x int, src_y int, src_plane int, dst_x int, dst_y int, dst_plane int, cost_ms double, next_kind string, next_id long, requirements string")
+    assert [(r["src"], r["dst"]) for r in chains.heads(chains.parsed_steps(step), chains.LOCAL).collect()] == [(40000 << 15 | 10, 40001 << 15 | 11)]
+    points = nodes.where("y = 40001 AND x = 11").select("x", "y", "plane")
+    assert sorted((r["plane"], r["node"]) for r in routes.tile_exists(points, nodes).collect()) == [(0, 5), (1, 11)]

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.functions.fields import pack, requirement_ids, ticks
+from wayfold.functions.fields import place_key, requirement_ids, ticks
 from wayfold.operators.tables import stored
 
 LOCAL, GLOBAL = ("door", "npc", "object"), ("lodestone", "item", "ifslot", "poa_item")
@@ -18,7 +18,7 @@ def parsed_steps(steps: DataFrame) -> DataFrame:
     """kind, id, src and dst keys, cost (ticks, 0 for negative or odd ones),
     next_kind, next_id, reqs."""
     cost = F.when((F.col("cost_ms") > 0) & ~F.isnan("cost_ms"), ticks("cost_ms")).otherwise(F.lit(0).cast("long"))
-    return steps.select("kind", "id", pack("src_x", "src_y", "src_plane").alias("src"), pack("dst_x", "dst_y", "dst_plane").alias("dst"), cost.alias("cost"), "next_kind", "next_id", requirement_ids("requirements").alias("reqs"))
+    return steps.select("kind", "id", place_key("src_x", "src_y", "src_plane").alias("src"), place_key("dst_x", "dst_y", "dst_plane").alias("dst"), cost.alias("cost"), "next_kind", "next_id", requirement_ids("requirements").alias("reqs"))
 
 
 def heads(steps: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
@@ -76,5 +76,5 @@ def global_edges(steps: DataFrame, nodes: DataFrame) -> DataFrame:
 def ring_nodes(rings: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rings on a node: id, node, cost, code, reqs."""
     cost = F.when((F.col("cost_ms") > 0) & ~F.isnan("cost_ms"), ticks("cost_ms")).otherwise(F.lit(0).cast("long"))
-    own = rings.select(F.col("id").alias("ring_id"), pack("x", "y", "plane").alias("key"), cost.alias("cost"), "code", requirement_ids("requirements").alias("reqs"))
+    own = rings.select(F.col("id").alias("ring_id"), place_key("x", "y", "plane").alias("key"), cost.alias("cost"), "code", requirement_ids("requirements").alias("reqs"))
     return own.join(nodes.select("key", F.col("id").alias("node")), "key").select(F.col("ring_id").alias("id"), "node", "cost", "code", "reqs")

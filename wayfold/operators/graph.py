@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.functions.fields import CARDINAL, DIAGONAL, pack
+from wayfold.functions.fields import CARDINAL, DIAGONAL, pack, place_key
 
 # Direction, step, bits that the tile has to have, bits that its
 # neighbour has to have. Bits: left, bottom, right, top, then the four diagonals.
@@ -22,14 +22,15 @@ DIRECTIONS = (
 
 
 def dense_ids(tiles: DataFrame) -> DataFrame:
-    """Tiles with key and id, the rank of the key from 0. Ranks are taken within
-    rows of tiles (one plane and y), whose sizes are summed before: at most
-    4 x 32768 sums, so no task sees all tiles."""
-    own = tiles.withColumn("key", pack("x", "y", "plane")).withColumn("_row", F.shiftright("key", 15))
-    before = Window.orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
-    rows = own.groupBy("_row").agg(F.count("*").alias("_n")).select("_row", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    rank = F.row_number().over(Window.partitionBy("_row").orderBy("key")) - 1
-    return own.withColumn("_rank", rank).join(rows, "_row").select("x", "y", "plane", "key", "walk_mask", (F.col("_base") + F.col("_rank")).alias("id"))
+    """Tiles with key and id, the rank from 0 by plane, y and x. All tiles get
+    one, also those too far out to be packed. Ranks are taken within rows of tiles
+    (one plane and y), whose sizes are summed before: one task sees a number for
+    each row, none sees all tiles."""
+    own = tiles.withColumn("key", place_key("x", "y", "plane"))
+    before = Window.orderBy("plane", "y").rowsBetween(Window.unboundedPreceding, -1)
+    rows = own.groupBy("plane", "y").agg(F.count("*").alias("_n")).select("plane", "y", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    rank = F.row_number().over(Window.partitionBy("plane", "y").orderBy("x")) - 1
+    return own.withColumn("_rank", rank).join(rows, ["plane", "y"]).select("x", "y", "plane", "key", "walk_mask", (F.col("_base") + F.col("_rank")).alias("id"))
 
 
 def duplicate_tiles(tiles: DataFrame) -> DataFrame:
@@ -40,14 +41,14 @@ def duplicate_tiles(tiles: DataFrame) -> DataFrame:
 
 def walk_edges(nodes: DataFrame) -> DataFrame:
     """src, dst, dir, w (ticks). One equi-join of nodes with their neighbours'
-    keys, eight for each node; what the masks of both have to hold is known by
+    places, eight for each node; what the masks of both have to hold is known by
     direction."""
     table = F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(d, ("dir", "dx", "dy", "a", "b"), strict=True))) for d in DIRECTIONS))
     out = nodes.select(F.col("id").alias("src"), "x", "y", "plane", "walk_mask", F.explode(table).alias("d")).where("(walk_mask & d.a) = d.a")
-    out = out.select("src", "d.dir", "d.b", pack(F.col("x") + F.col("d.dx"), F.col("y") + F.col("d.dy"), F.col("plane")).alias("key"))
-    ends = nodes.select("key", F.col("id").alias("dst"), F.col("walk_mask").alias("m"))
+    out = out.select("src", "d.dir", "d.b", (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"), "plane")
+    ends = nodes.select("x", "y", "plane", F.col("id").alias("dst"), F.col("walk_mask").alias("m"))
     weight = F.when(F.col("dir") < 4, F.lit(CARDINAL)).otherwise(F.lit(DIAGONAL)).cast("long")
-    return out.where("key IS NOT NULL").join(ends, "key").where("(m & b) = b").select("src", "dst", "dir", weight.alias("w"))
+    return out.join(ends, ["x", "y", "plane"]).where("(m & b) = b").select("src", "dst", "dir", weight.alias("w"))
 
 
 def without_mirror(edges: DataFrame) -> DataFrame:

@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.functions.fields import milliseconds, pack
+from wayfold.functions.fields import milliseconds, place_key
 from wayfold.operators.tables import stored
 
 
 def tile_exists(points: DataFrame, nodes: DataFrame) -> DataFrame:
     """points: x, y, plane and more columns. Adds exists and node."""
-    return points.withColumn("key", pack("x", "y", "plane")).join(nodes.select("key", F.col("id").alias("node")), "key", "left").withColumn("exists", F.col("node").isNotNull()).drop("key")
+    return points.join(nodes.select("x", "y", "plane", F.col("id").alias("node")), ["x", "y", "plane"], "left").withColumn("exists", F.col("node").isNotNull())
 
 
 def resolve(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     """Adds start and goal node ids and problem: a goal that is no node is an
     error; a start that is none is a virtual start (null)."""
     at = lambda side: nodes.select(F.col("key").alias(f"_{side}"), F.col("id").alias(side))
-    own = queries.withColumns({f"_{s}": pack(f"{s}_x", f"{s}_y", f"{s}_plane") for s in ("start", "goal")})
+    own = queries.withColumns({f"_{s}": place_key(f"{s}_x", f"{s}_y", f"{s}_plane") for s in ("start", "goal")})
     return own.join(at("start"), "_start", "left").join(at("goal"), "_goal", "left").drop("_start", "_goal").withColumn("problem", F.when(F.col("goal").isNull(), "goal_not_found"))
 
 
