@@ -408,3 +408,41 @@ def test_places_beyond_the_range_of_keys(spark):
     assert [(r["src"], r["dst"]) for r in chains.heads(chains.parsed_steps(step), chains.LOCAL).collect()] == [(40000 << 15 | 10, 40001 << 15 | 11)]
     points = nodes.where("y = 40001 AND x = 11").select("x", "y", "plane")
     assert sorted((r["plane"], r["node"]) for r in routes.tile_exists(points, nodes).collect()) == [(0, 5), (1, 11)]
+
+
+def test_graphs_in_parts(spark):
+    """Tasks read the graphs from the shared folder: the same answers and tables
+    as from graphs that the driver holds."""
+    rng, n = np.random.default_rng(21), 40
+    edges = [(int(a), int(b), int(w)) for a, b, w in zip(rng.integers(0, n, 90), rng.integers(0, n, 90), rng.integers(1, 900, 90), strict=True) if a != b]
+    walk = spark.createDataFrame(edges[:60], "src long, dst long, w long")
+    hops = spark.createDataFrame([(p, *e) for p in (0, 7) for e in edges[60 + p :]], "profile_id int, src long, dst long, cost long")
+    rings = spark.createDataFrame([(0, 4, 50), (0, 31, 0), (7, 20, 700), (7, 5, 3), (7, 5, 90)], "profile_id int, node long, cost long")
+    far = spark.createDataFrame([(7, 9, 40), (0, 2, 10)], "profile_id int, dst long, cost long")
+    held = search.parts(n, walk, hops, rings, far)
+    asked = spark.createDataFrame([(i, (0, 7)[i % 2], i % 3, None if i % 5 == 0 else i % n, (7 * i) % n) for i in range(30)], "query_id long, profile_id int, seed long, start long, goal long")
+    rows = lambda t: sorted(map(str, t.collect()))
+    assert rows(search.route(asked, held)) == rows(search.route(asked, search.graphs(n, walk, hops, rings, far, [0, 7])))
+    macros = spark.createDataFrame([(*e, "door") for e in edges[60:]], "src long, dst long, cost long, kind string")
+    marks = spark.createDataFrame([(0, 3), (1, 31)], "li int, node long")
+    ring = rings.select("node", "cost")
+    table = landmarks.distance_tables(landmarks.bound_parts(n, walk, macros, ring), marks)
+    assert rows(table) == rows(landmarks.distance_tables(landmarks.bound_graph(n, walk, macros, ring), marks))
+    read = search.Landmarks.read(search.marked(table).toPandas(), n)
+    plain_ = search.Landmarks.of(table, n)
+    assert (read.fw == plain_.fw).all() and (read.bw == plain_.bw).all()
+
+
+def test_world_ships_no_edges(spark, monkeypatch):
+    """Neither edges nor landmark tables pass the driver."""
+    def refuse(*_):
+        raise AssertionError("an edge table in the driver")
+
+    for name in ("graphs", "Landmarks.of"):
+        monkeypatch.setattr(f"wayfold.operators.search.{name}", refuse)
+    monkeypatch.setattr(landmarks, "bound_graph", refuse)
+    own, frame = World(spark, ""), spark.createDataFrame
+    own.__dict__.update(n=6, walk=frame([(0, 1, 10), (1, 2, 10), (2, 3, 500)], "src long, dst long, w long"), macros=frame([(1, 3, 20, "npc")], "src long, dst long, cost long, kind string"), macros_ok=frame([(0, 1, 3, 20)], "profile_id int, src long, dst long, cost long"), rings=frame([(2, 5), (4, 5)], "node long, cost long"), rings_ok=frame([(0, 2, 5), (0, 4, 5)], "profile_id int, node long, cost long"), globals_ok=frame([(0, 2, 7)], "profile_id int, dst long, cost long"))
+    own.globals = frame([("poa_item", 0, 3)], "kind string, id int, dst long")
+    asked = frame([(0, 0, 0, 0, 3)], "query_id long, profile_id int, seed long, start long, goal long")
+    assert own.small and [r["cost"] for r in own.answers(asked, guided=True).collect()] == [30]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions.fields import QUICK_TELEPORT_MS, TICKS
 from wayfold.operators.components import connected
-from wayfold.operators.search import BROADCAST_EDGES, Graph, distances, tables_of_distances
+from wayfold.operators.search import BROADCAST_EDGES, Graph, Parts, distances, parts, tables_of_distances
 
 #: No node: where all rings meet in bound_edges().
 HUB = -1
@@ -43,11 +43,19 @@ def bound_graph(n: int, walk: DataFrame, macros: DataFrame, rings: DataFrame) ->
     return Graph(n, cat("src"), cat("dst"), cat("w"), zip(r.node.tolist(), r.w.tolist(), strict=True))
 
 
-def distance_tables(graph: Graph, landmarks: DataFrame) -> DataFrame:
+def bound_parts(n: int, walk: DataFrame, macros: DataFrame, rings: DataFrame) -> Parts:
+    """bound_graph() without a row that passes the driver, as profile 0. Callers
+    check the number of edges before."""
+    own = lambda rows: rows.withColumn("profile_id", F.lit(0))
+    none = rings.where("false").select(F.lit(0).alias("profile_id"), F.col("node").alias("dst"), "cost")
+    return parts(n, walk, own(_cheapest(macros).withColumnRenamed("w", "cost")), own(rings.select("node", "cost")), none)
+
+
+def distance_tables(graph: Graph | Parts, landmarks: DataFrame) -> DataFrame:
     """landmarks: li, node. Returns li, node, fw (from the landmark) and bw (to
     it), ticks, null where there is no path. One task searches one landmark one way."""
     both = landmarks.select(F.col("li").cast("long").alias("key"), F.lit(0).alias("profile_id"), "node", F.explode(F.array(F.lit(False), F.lit(True))).alias("backward"))
-    rows = tables_of_distances({0: graph}, both)
+    rows = tables_of_distances(graph if isinstance(graph, Parts) else {0: graph}, both)
     return rows.groupBy(F.col("key").alias("li"), "node").agg(F.max(F.when(~F.col("backward"), F.col("cost"))).alias("fw"), F.max(F.when(F.col("backward"), F.col("cost"))).alias("bw"))
 
 
@@ -62,9 +70,9 @@ def joined_tables(edges: DataFrame, landmarks: DataFrame) -> DataFrame:
 Reach = Callable[[int], DataFrame]
 
 
-def searched(spark: SparkSession, graph: Graph) -> Reach:
+def searched(spark: SparkSession, graph: Graph | Parts) -> Reach:
     """From a node to what it reaches: node, d."""
-    return lambda at: tables_of_distances({0: graph}, spark.createDataFrame([(0, 0, at, False)], "key long, profile_id int, node long, backward boolean")).select("node", F.col("cost").alias("d"))
+    return lambda at: tables_of_distances(graph if isinstance(graph, Parts) else {0: graph}, spark.createDataFrame([(0, 0, at, False)], "key long, profile_id int, node long, backward boolean")).select("node", F.col("cost").alias("d"))
 
 
 def joined(spark: SparkSession, edges: DataFrame) -> Reach:

@@ -1,8 +1,9 @@
 """Shortest paths over walk edges, teleports, rings and global teleports.
 
 `route` answers a table of queries with one search for each start, profile and
-seed; its edges are shipped to the tasks as arrays, which is done up to
-BROADCAST_EDGES edges. `relaxed` gives the same answers by rounds of joins,
+seed; its edges reach the tasks as arrays, which is done up to BROADCAST_EDGES
+edges: as rows of the shared folder (`Parts`), so that the driver holds none, or
+as graphs that a caller has made. `relaxed` gives the same answers by rounds of joins,
 without a bound on edges: each round moves every search one hop on, so it takes
 as many rounds as the longest path has hops. `distances` gives costs over given
 edges only.
@@ -12,16 +13,18 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.fields import jitter
 from wayfold.operators.tables import stored
 
-#: Edges of which every task may hold the arrays (16 bytes each, twice).
+#: Edges of which every task may hold the arrays (16 bytes each, three times).
 BROADCAST_EDGES = 10_000_000
 FOUND, NOT_FOUND, OVER_BUDGET, CANCELLED = "found", "not_found", "budget_exceeded", "cancelled"
 #: A search asks so often, in settled nodes, whether it is to stop.
@@ -238,6 +241,16 @@ class Landmarks:
             out.append(held)
         return cls(*out)
 
+    @classmethod
+    def read(cls, rows: pd.DataFrame, n: int) -> Landmarks:
+        """From the rows of marked()."""
+        names = sorted(set(rows.key))
+        fw, bw = (np.full((len(names), n), -1, np.int64) for _ in range(2))
+        for r in rows.itertuples():
+            i, at = names.index(r.key), np.frombuffer(r.a, np.int32)
+            fw[i, at], bw[i, at] = np.frombuffer(r.b, np.int64), np.frombuffer(r.c, np.int64)
+        return cls(fw, bw)
+
     def scores(self, starts: list[int], goal: int) -> np.ndarray:
         """The bound that each landmark gives from the nearest of the starts to
         the goal; -1 for landmarks without a way from or to the goal."""
@@ -280,25 +293,103 @@ def graphs(n: int, walk: DataFrame, macros: DataFrame, rings: DataFrame, globals
     return out
 
 
+PARTS = "kind string, profile_id int, key long, a binary, b binary, c binary"
+#: Rows of a table in one row of parts, at most.
+PART_ROWS = 50_000
+
+
+def _packed(rows: DataFrame, kind: str, a: str, b: str, c: str, profile: str = "CAST(NULL AS INT)", key: str = "0") -> DataFrame:
+    """PARTS: three columns of numbers as arrays, by profile and key: a (node
+    ids), and b of edges, in 32 bits, the others in 64. A null number is -1."""
+    kinds = {"a": np.int32, "b": np.int32 if kind == "edge" else np.int64, "c": np.int64}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PART_ROWS):
+                part = batch.slice(at, PART_ROWS).to_pandas()
+                for (p, k), own in part.groupby(["profile_id", "key"], dropna=False):
+                    cells = [[kind], [None if pd.isna(p) else int(p)], [int(k)], *([own[x].to_numpy(t).tobytes()] for x, t in kinds.items())]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cells, (pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 3), strict=True)], ["kind", "profile_id", "key", "a", "b", "c"])
+
+    cells = [F.coalesce(F.expr(x).cast("long"), F.lit(-1).cast("long")).alias(n) for n, x in (("a", a), ("b", b), ("c", c))]
+    return rows.select(F.expr(profile).cast("int").alias("profile_id"), F.expr(key).cast("long").alias("key"), *cells).mapInArrow(run, PARTS)
+
+
+@dataclass
+class Parts:
+    """Graphs of n nodes, one for each profile, as rows of PARTS. Rows without a
+    profile belong to all."""
+
+    n: int
+    rows: DataFrame
+
+    def graph(self, rows: pd.DataFrame) -> Graph:
+        edge = rows[rows.kind == "edge"]
+        src, dst, w = (np.frombuffer(b"".join(edge[c]), t) for c, t in zip("abc", (np.int32, np.int32, np.int64), strict=True))
+        pairs = lambda kind: [x for r in rows[rows.kind == kind].itertuples() for x in zip(np.frombuffer(r.a, np.int32).tolist(), np.frombuffer(r.c, np.int64).tolist(), strict=True)]
+        return Graph(self.n, src, dst, w, pairs("ring"), pairs("global"))
+
+    def run(self, asked: DataFrame, f: Callable[[pd.DataFrame, Graph, Landmarks | None], pd.DataFrame], schema: str, marks: DataFrame | None = None) -> DataFrame:
+        """f for the rows of asked of each profile_id and t, in one task, with the
+        profile's graph and the marks; each task gets its own copy of the rows."""
+        rows = self.rows if marks is None else self.rows.unionByName(marks)
+        tasks = asked.select(F.col("profile_id").cast("int").alias("_p"), F.col("t").alias("_t")).distinct()
+        sent = rows.join(F.broadcast(tasks), F.coalesce("profile_id", "_p") == F.col("_p"))  # a row for each task
+        sent = sent.select(F.col("_p").alias("profile_id"), F.col("_t").alias("t"), "kind", "key", "a", "b", "c")
+        n, made, none = self.n, self.graph, [c.split()[0] for c in schema.split(", ")]
+
+        def run(own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+            if own.empty:
+                return pd.DataFrame(columns=none)
+            graph, read = made(held), None
+            if marked_:
+                read = Landmarks.read(held[held.kind == "mark"], n)
+            return f(own, graph, read)
+
+        marked_ = marks is not None
+        return asked.groupBy("profile_id", "t").cogroup(sent.groupBy("profile_id", "t")).applyInPandas(run, schema)
+
+    def __reduce__(self):
+        return Parts, (self.n, None)  # tasks have no use for the table
+
+
+def parts(n: int, walk: DataFrame, macros: DataFrame, rings: DataFrame, globals_: DataFrame) -> Parts:
+    """graphs(), for any profiles, without a row that passes the driver. Callers
+    check the number of edges before."""
+    hops = macros.groupBy("profile_id", "src", "dst").agg(F.min("cost").alias("w"))
+    ring = rings.groupBy("profile_id", "node").agg(F.min("cost").alias("w"))
+    tables = (_packed(walk, "edge", "src", "dst", "w"), _packed(hops, "edge", "src", "dst", "w", "profile_id"), _packed(ring, "ring", "node", "0", "w", "profile_id"), _packed(globals_, "global", "dst", "0", "cost", "profile_id"))
+    return Parts(n, stored(tables[0].unionByName(tables[1]).unionByName(tables[2]).unionByName(tables[3])))
+
+
+def marked(table: DataFrame) -> DataFrame:
+    """Landmarks (li, node, fw, bw) as PARTS for Parts.run()."""
+    return stored(_packed(table, "mark", "node", "fw", "bw", key="li"))
+
+
+def tasks_a_profile(rows: DataFrame) -> int:
+    """So many that a few profiles keep all cores at work."""
+    return max(1, -(-rows.sparkSession.sparkContext.defaultParallelism // 4))
+
+
 ROUTES = "query_id long, profile_id int, seed long, start long, goal long, status string, cost long, pops long, path array<long>"
 
 
-def route(queries: DataFrame, by_profile: dict[int, Graph], budget: int | None = None, marks: Landmarks | None = None, active: int | None = None) -> DataFrame:
+def route(queries: DataFrame, by_profile: dict[int, Graph] | Parts, budget: int | None = None, marks: Landmarks | DataFrame | None = None, active: int | None = None) -> DataFrame:
     """queries: query_id, profile_id, seed, start and goal (node ids; a null start
     lies beside the graph and enters through any global teleport). Queries with
     the same start, profile and seed share a search, 200 goals at most. With
-    marks, searches for one goal are guided by the best `active` of them (all, if
-    not said), which changes nothing but the nodes that are settled."""
-    shared = queries.sparkSession.sparkContext.broadcast(by_profile)
-    held = queries.sparkSession.sparkContext.broadcast(marks)  # two numbers for each landmark and node
+    marks (with Parts: marked() ones), searches for one goal are guided by the
+    best `active` of them (all, if not said), which changes nothing but the nodes
+    that are settled."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def answer(group: pd.DataFrame, graph: Graph, marks: Landmarks | None) -> pd.DataFrame:
         one = group.iloc[0]
-        graph, seed, virtual = shared.value[int(one.profile_id)], int(one.seed), pd.isna(one.start)
+        seed, virtual = int(one.seed), pd.isna(one.start)
         sources = dict(graph.globals) if virtual else {int(one.start): 0}
         goals = {int(g) for g in group.goal if not pd.isna(g)}
-        if held.value is not None and len(goals) == 1:
-            (goal,), m = goals, held.value
+        if marks is not None and len(goals) == 1:
+            (goal,), m = goals, marks
             _, done, status, pops, _ = graph.guided(sources, goal, m.guide(goal, m.best(list(sources), goal, active)), seed, not virtual, budget)
         else:
             _, done, status, pops = graph.search(sources, goals, seed, not virtual, budget)
@@ -315,10 +406,17 @@ def route(queries: DataFrame, by_profile: dict[int, Graph], budget: int | None =
     counts = queries.groupBy(F.col("profile_id").alias("p"), F.col("seed").alias("s"), F.col("start").alias("a")).agg(F.count("*").alias("n"))
     same = F.col("profile_id").eqNullSafe(F.col("p")) & F.col("seed").eqNullSafe(F.col("s")) & F.col("start").eqNullSafe(F.col("a"))
     dealt = queries.select("query_id", "profile_id", "seed", "start", "goal").join(counts, same).drop("p", "s", "a").withColumn("part", part)
+    if isinstance(by_profile, Parts):
+        t = F.expr(f"CAST(pmod(xxhash64(seed, start, part), {tasks_a_profile(queries)}) AS INT)")
+        each = lambda own, graph, marks: pd.concat([answer(g, graph, marks) for _, g in own.groupby(["seed", "start", "part"], dropna=False)])
+        return by_profile.run(dealt.drop("n").withColumn("t", t), each, ROUTES, marks)
+    shared = queries.sparkSession.sparkContext.broadcast(by_profile)
+    held = queries.sparkSession.sparkContext.broadcast(marks)  # two numbers for each landmark and node
+    run = lambda group: answer(group, shared.value[int(group.iloc[0].profile_id)], held.value)
     return dealt.drop("n").groupBy("profile_id", "seed", "start", "part").applyInPandas(run, ROUTES)
 
 
-def retried(queries: DataFrame, by_profile: dict[int, Graph], budget: int) -> DataFrame:
+def retried(queries: DataFrame, by_profile: dict[int, Graph] | Parts, budget: int) -> DataFrame:
     """Searches with a budget: what exceeds it is tried with four times as much,
     then without a seed. seed_dropped says that the last helped."""
     first = stored(route(queries, by_profile, budget))
@@ -401,21 +499,31 @@ def relaxed(queries: DataFrame, walk: DataFrame, macros: DataFrame, rings: DataF
     return found.join(done, "query_id", "left").select("query_id", "profile_id", "seed", "start", "goal", F.when(F.col("cost").isNull(), NOT_FOUND).otherwise(FOUND).alias("status"), "cost", F.lit(rounds).cast("long").alias("pops"), "path")
 
 
-def tables_of_distances(edges_by_profile: dict[int, Graph], sources: DataFrame) -> DataFrame:
+DISTANCES = "key long, node long, backward boolean, cost long"
+
+
+def tables_of_distances(edges_by_profile: dict[int, Graph] | Parts, sources: DataFrame) -> DataFrame:
     """sources: key, profile_id, node, backward. All nodes that a source reaches
     (or that reach it, if backward) with their cost: key, node, backward, cost."""
+
+    def table(r, graph: Graph) -> pd.DataFrame:
+        if r.backward:
+            graph = _backward(graph)
+        _, done, _, _ = graph.search({int(r.node): 0}, {-1}, 0, not r.backward)
+        return pd.DataFrame({"key": r.key, "node": np.fromiter(done.keys(), np.int64, len(done)), "backward": bool(r.backward), "cost": np.fromiter(done.values(), np.int64, len(done))})
+
+    if isinstance(edges_by_profile, Parts):
+        # a task for each source, 200 at most
+        t = F.row_number().over(Window.partitionBy("profile_id").orderBy("key", "backward", "node")) % 200
+        return edges_by_profile.run(sources.withColumn("t", t), lambda own, graph, _: pd.concat([table(r, graph) for r in own.itertuples()]), DISTANCES)
     shared = sources.sparkSession.sparkContext.broadcast(edges_by_profile)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for r in part.itertuples():
-                graph = shared.value[int(r.profile_id)]
-                if r.backward:
-                    graph = _backward(graph)
-                _, done, _, _ = graph.search({int(r.node): 0}, {-1}, 0, not r.backward)
-                yield pd.DataFrame({"key": r.key, "node": np.fromiter(done.keys(), np.int64, len(done)), "backward": bool(r.backward), "cost": np.fromiter(done.values(), np.int64, len(done))})
+                yield table(r, shared.value[int(r.profile_id)])
 
-    return sources.repartition(max(1, min(200, sources.count()))).mapInPandas(run, "key long, node long, backward boolean, cost long")
+    return sources.repartition(max(1, min(200, sources.count()))).mapInPandas(run, DISTANCES)
 
 
 def _backward(graph: Graph) -> Graph:
@@ -424,10 +532,10 @@ def _backward(graph: Graph) -> Graph:
     out = Graph.__new__(Graph)
     out.n, out.out, out.into, out.globals, out.rings = graph.n, graph.into, graph.out, {}, {}
     if graph.rings:
-        nodes = list(graph.rings)
-        a = np.array([v for v in nodes for u in nodes if u != v], np.int64)
-        b = np.array([u for v in nodes for u in nodes if u != v], np.int64)
-        w = np.array([graph.rings[v] for v in nodes for u in nodes if u != v], np.int64)
+        nodes = np.fromiter(graph.rings, np.int64)
+        a, b = np.repeat(nodes, len(nodes)), np.tile(nodes, len(nodes))
+        w = np.repeat(np.fromiter(graph.rings.values(), np.int64), len(nodes))[a != b]
+        a, b = a[a != b], b[a != b]
         first, other, weight = graph.into
         by = np.repeat(np.arange(graph.n), np.diff(first))
         made = Graph(graph.n, np.concatenate([by, a]), np.concatenate([other, b]), np.concatenate([weight, w]))

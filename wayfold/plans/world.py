@@ -99,27 +99,31 @@ class World:
         return search.relaxed(asked, self.walk, self.macros_ok, self.rings_ok, self.globals_ok)
 
     @cached_property
-    def by_profile(self) -> dict[int, search.Graph]:
+    def by_profile(self) -> search.Parts:
         if not self.small:
             raise ValueError("more edges than a task may hold: use answers()")
-        return search.graphs(self.n, self.walk, self.macros_ok, self.rings_ok, self.globals_ok, PROFILES)
+        return search.parts(self.n, self.walk, self.macros_ok, self.rings_ok, self.globals_ok)
+
+    @cached_property
+    def bound_parts(self) -> search.Parts:
+        return landmarks.bound_parts(self.n, self.walk, self.macros, self.rings)
 
     @cached_property
     def bound_table(self) -> DataFrame:
         marks = self.globals.where("kind = 'poa_item'").select(F.col("id").alias("li"), F.col("dst").alias("node"))
         if self.small:
-            return stored(landmarks.distance_tables(landmarks.bound_graph(self.n, self.walk, self.macros, self.rings), marks))
+            return stored(landmarks.distance_tables(self.bound_parts, marks))
         return stored(landmarks.joined_tables(stored(landmarks.bound_edges(self.walk, self.macros, self.rings)), marks))
 
     @property
     def reach(self) -> landmarks.Reach:
         if self.small:
-            return landmarks.searched(self.spark, landmarks.bound_graph(self.n, self.walk, self.macros, self.rings))
+            return landmarks.searched(self.spark, self.bound_parts)
         return landmarks.joined(self.spark, stored(landmarks.bound_edges(self.walk, self.macros, self.rings)))
 
     @cached_property
-    def marks(self) -> search.Landmarks:
-        return search.Landmarks.of(self.bound_table, self.n)
+    def marks(self) -> DataFrame:
+        return search.marked(self.bound_table)
 
     @cached_property
     def routes(self) -> DataFrame:
