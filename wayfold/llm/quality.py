@@ -176,12 +176,14 @@ def estimates(rows: DataFrame, total: int, share: float = SHARE, steps: int = ST
         start |= {f"i{i}{j}": (1 / (spread * spread + F.lit(FLOORS[i] ** 2)) if i == j else F.lit(0.0)) for j in range(i, 4)}
     now = stored(wide.select("g", "n", *(start[c].cast("double").alias(c) for c in PARAMETERS)))
     above = stored(rows.groupBy("k0", "k1").agg(F.count("*").alias("c")).select(F.col("k0").alias("g"), F.col("k1").alias("up")))
-    at = lambda table, *more: join_hot(own, table, "g", 3 * total).withColumn("d", _level(_distance())).select("g", "n", *VECTOR, "d", *more)
+    at = lambda table: join_hot(own, table, "g", 3 * total).withColumn("d", _level(_distance())).select("g", "n", *VECTOR, "d")
     whole = lambda c: F.sum(c.cast("decimal(20,0)"))
     for _ in range(steps):
-        edge = _quantiles(at(now), ["g"], "d", {"edge": share}).drop("n")
-        inside = at(stored(now.join(edge, "g")), "edge").where("d <= edge")
-        sums = stored(inside.groupBy("g").agg(F.first("n").alias("n"), F.count("*").alias("inside"), *(whole(F.col(v)).alias(f"s{i}") for i, v in enumerate(VECTOR)), *(whole(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"p{i}{j}") for i, j in _PAIRS)))
+        # sums for each level of distance, of which a group has a few thousand at most; the inner rows are those of the levels up to the quantile
+        levels = at(now).groupBy("g", "d").agg(F.first("n").alias("n"), F.count("*").alias("inside"), *(whole(F.col(v)).alias(f"s{i}") for i, v in enumerate(VECTOR)), *(whole(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"p{i}{j}") for i, j in _PAIRS))
+        group = Window.partitionBy("g")
+        inner = levels.withColumns({"_below": F.sum("inside").over(group.orderBy("d")), "_rows": F.sum("inside").over(group)}).where(F.col("_below") - F.col("inside") < share * F.col("_rows"))
+        sums = stored(inner.groupBy("g").agg(F.first("n").alias("n"), *(F.sum(c).alias(c) for c in _SUMS)))
         top = sums.where(F.col("g") == OVERALL).first()  # one row
         if top is None:
             break
