@@ -9,6 +9,7 @@ from itertools import combinations
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -134,6 +135,49 @@ def test_ngram_join_repeated_and_null_ids(spark):
     assert sorted([r["doc_id"] for r in kept.collect()], key=str) == sorted([1, 1, 1, None, None, 9], key=str)
 
 
+def test_counted_signatures(spark, monkeypatch):
+    """Signatures of several sets and how many have them, whatever a task sends at
+    once; copies of a set count once. They travel in less than 5 bytes each."""
+    rng = np.random.default_rng(8)
+    pool = rng.integers(-(1 << 62), 1 << 62, 400)
+    sets = [rng.choice(pool, 30, replace=False) for _ in range(40)]
+    rows = [(i, bytearray(sets[i].tobytes())) for i in range(40) for _ in range(1 + i % 3)] + [(99, bytearray())]
+    plain = {}
+    for own in sets:
+        for h in own.tolist():
+            plain[h % (1 << ngram_join.COUNT_BITS)] = plain.get(h % (1 << ngram_join.COUNT_BITS), 0) + 1
+    for sent in (1, 1 << 22):
+        monkeypatch.setattr(ngram_join, "SENT", sent)
+        got = ngram_join._counted_signatures(spark.createDataFrame(rows, "set_id long, signatures binary").repartition(3)).collect()
+        assert {r["h"]: r["n"] for r in got} == {h: n for h, n in plain.items() if n > 1}
+    many = rng.integers(-(1 << 62), 1 << 62, 1 << 20)
+    runs = list(ngram_join.packed(many))
+    back = np.concatenate([ngram_join.unpacked(r) + (b << ngram_join.VALUE_BITS) for b, r in runs])
+    assert (back == np.sort(many & ((1 << ngram_join.COUNT_BITS) - 1))).all()
+    assert sum(len(pa.compress(r, "lz4_raw", asbytes=True)) for _, r in runs) < 5 * len(many)
+
+
+def test_one_of_each_shuffles_no_texts(spark, tmp_path):
+    """Only rows that may go are joined; those of the rest keep their place."""
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(i, text(i if i % 10 else i - i % 20)) for i in range(60)], "doc_id long, text string").repartition(3).write.parquet(path)
+
+    def sent(plan):
+        if plan.nodeName() == "Exchange" and "text" in plan.schema().simpleString():
+            yield plan.metrics().apply("shuffleRecordsWritten").value()
+        for i in range(plan.children().size()):
+            yield from sent(plan.children().apply(i))
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        kept = ngram_join.one_of_each(spark.read.parquet(path))
+        assert sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(60) if i % 20 != 10]
+        assert sum(sent(kept._jdf.queryExecution().executedPlan())) == 3
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_unlike_sets_make_no_families(spark):
     """Sets that have nothing in common share no signature, whatever their sizes."""
     rng = np.random.default_rng(11)

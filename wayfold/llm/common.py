@@ -3,8 +3,6 @@ intermediate tables in the shared folder, and files shipped to executors."""
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import re
 import uuid
 
@@ -12,7 +10,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.operators.tables import shared_folder, stored  # noqa: F401
+from wayfold.operators.tables import release, removed, shared_folder, stored  # noqa: F401
 
 #: A word is a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -80,11 +78,3 @@ def sole_memo(owner: str, clear) -> None:
                 other()
         release()
         _owner[0] = owner
-
-
-def release() -> None:
-    """Give what was let go back to the system, where the C library can."""
-    gc.collect()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)

@@ -18,7 +18,9 @@ at least `percent` / 100. The join is exact (up to collisions of 64-bit hashes):
    signatures, directly or through others, form a family.
    Signatures that several sets have are told by a bitmap, up to 32 MB; beyond
    some 100 million of them it only lets more rows through, which the joins
-   behind it drop.
+   behind it drop. They are counted by 40 of their bits, which travel as sorted
+   runs of differences, some 3 bytes each; two that are equal in these bits only
+   let rows through as well.
 3. The sets of a family meet in blocks: a family of many sets is cut into g
    blocks, and every pair of blocks is one group of rows, so no task holds more
    than two blocks. In a group the sets of one block are stored in a trie. Each
@@ -51,7 +53,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import WORD, slices, sole_memo, stored, texts
+from wayfold.llm.common import WORD, removed, slices, sole_memo, stored, texts
 from wayfold.operators.components import connected, join_hot
 
 #: Ratio of neighbouring bounds of set sizes.
@@ -70,7 +72,12 @@ BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
 #: 2 MB at least and 32 MB at most. A filter that is full only lets more rows
 #: through, which the joins behind it drop.
 FILTER_BITS, FILTER_MOST = 24, 28
+#: Signatures are counted by COUNT_BITS of their bits, in buckets by the first of
+#: these; in a bucket, VALUE_BITS are left. A task holds so many before it sends them.
+COUNT_BITS, VALUE_BITS, SENT = 40, 28, 1 << 22
 MEMO_WORDS = 300_000
+#: Rows, of 4 KB, of the filter of documents that go.
+FILTER_ROWS = 2048
 #: Stands for a null doc_id while rows are looked up.
 NOBODY = -(1 << 63)
 
@@ -294,10 +301,10 @@ def fingerprints(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_id long, signatures binary, groups binary")
 
 
-def _exploded(prints: DataFrame, bitmaps=None) -> DataFrame:
-    """(h, set_id) for every signature; with bitmaps (of those that several sets
-    have, and of those that many have), for the ones to be looked at that the
-    first bitmap holds. The order is by bitmaps, then by value, for all sets."""
+def _exploded(prints: DataFrame, bitmaps) -> DataFrame:
+    """(h, set_id) for the signatures to be looked at that several sets have, by
+    bitmaps (of those that several sets have, and of those that many have). The
+    order is by bitmaps, then by value, for all sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,7 +313,7 @@ def _exploded(prints: DataFrame, bitmaps=None) -> DataFrame:
                 raw = part.column("signatures").to_pylist()
                 h = np.frombuffer(b"".join(raw), np.int64)
                 own = np.repeat(part.column("set_id").to_numpy(), [len(x) // 8 for x in raw])
-                if bitmaps is not None and len(h):
+                if len(h):
                     several, many = (_held(b, h) for b in bitmaps.value)
                     size, look = np.frombuffer(b"".join(part.column("groups").to_pylist()), "<i4").reshape(-1, 2).T
                     group = np.repeat(np.arange(len(size)), size)
@@ -319,11 +326,71 @@ def _exploded(prints: DataFrame, bitmaps=None) -> DataFrame:
     return prints.select("set_id", "signatures", "groups").mapInArrow(run, "h long, set_id long")
 
 
+def packed(hashes: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(bucket, run): the COUNT_BITS low bits of hashes, sorted, as differences of
+    32 bits, of which all lowest bytes come first, then all second ones and so on,
+    so that the zeros among the high ones lie together."""
+    low = np.sort(hashes.view(np.uint64) & np.uint64((1 << COUNT_BITS) - 1))
+    bucket, value = (low >> np.uint64(VALUE_BITS)).astype(np.int64), (low & np.uint64((1 << VALUE_BITS) - 1)).astype("<u4")
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(low)])
+    last = np.append(first, len(low))[1:]
+    step = np.diff(value, prepend=value[:1])
+    step[first] = value[first]
+    for a, b in zip(first.tolist(), last.tolist(), strict=True):
+        yield int(bucket[a]), step[a:b].view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(run: bytes) -> np.ndarray:
+    """The values of a run of packed(), ascending."""
+    steps = np.ascontiguousarray(np.frombuffer(run, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.cumsum(steps, dtype=np.int64)
+
+
+def _counted_signatures(prints: DataFrame) -> DataFrame:
+    """(h, n): the COUNT_BITS low bits of the signatures that several sets have, and
+    how many have them. Copies of a set count once: rows whose set has copies, by a
+    bitmap, are made one for each set before; the signatures of others stay where
+    they are until they are packed."""
+    spark = prints.sparkSession
+    again = stored(prints.groupBy(F.col("set_id").alias("h")).agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    bitmap = spark.sparkContext.broadcast(_bitmap(again))
+
+    def told(held: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(_held(bitmap.value, batch.column("set_id").to_numpy()) == held))
+
+        return prints.select("set_id", "signatures").mapInArrow(run, "set_id long, signatures binary")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def out() -> pa.RecordBatch:
+            runs = list(packed(np.concatenate([np.zeros(0, np.int64), *held])))
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in runs], pa.int64()), pa.array([r for _, r in runs], pa.binary())], ["bucket", "run"])
+
+        for batch in batches:
+            for raw in batch.column("signatures").to_pylist():
+                held.append(np.frombuffer(raw, np.int64))
+                n += len(held[-1])
+                if n >= SENT:
+                    yield out()
+                    held, n = [], 0
+        yield out()
+
+    def count(table: pa.Table) -> pa.Table:
+        value, n = np.unique(np.concatenate([unpacked(r) for r in table.column("run").to_pylist()]), return_counts=True)
+        h = value[n > 1] + (table.column("bucket")[0].as_py() << VALUE_BITS)
+        return pa.table({"h": pa.array(h, pa.int64()), "n": pa.array(n[n > 1], pa.int64())})
+
+    runs = told(False).mapInArrow(pack, "bucket long, run binary").unionByName(told(True).dropDuplicates(["set_id"]).mapInArrow(pack, "bucket long, run binary"))
+    return runs.groupBy("bucket").applyInArrow(count, "h long, n long")
+
+
 def families(prints: DataFrame) -> DataFrame:
     """(set_id, family) of the sets that share a looked-at signature with another."""
     spark = prints.sparkSession
-    # of copies of a set, and of a set's two groups, a signature counts once if it is all there is
-    shared = stored(_exploded(prints).groupBy("h").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b"), F.count("*").alias("n")).where("a <> b").select("h", "n"))
+    shared = stored(_counted_signatures(prints))
     bitmaps = spark.sparkContext.broadcast((_bitmap(shared), _bitmap(shared.where(F.col("n") >= RARE))))
     members = stored(_exploded(prints, bitmaps).distinct())  # copies of a set go before the join
     stars = members.groupBy("h").agg(F.min("set_id").alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -408,16 +475,18 @@ def _links(rows: DataFrame, percent: int, kind: str = "joining") -> DataFrame:
 
 
 def _met(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The documents' fingerprints; those with shingles; their classes of equal
+    """The documents' doc_id, n_shingles and set_id; those with shingles; their classes of equal
     sets (set_id, rep: the smallest doc_id, n, size); and the classes' sets as
     rows for _links()."""
     spark = docs.sparkSession
-    prints = stored(fingerprints(docs, words, percent))
+    signed = stored(fingerprints(docs, words, percent))
+    prints = stored(signed.select("doc_id", "n_shingles", "set_id"))
     sound = prints.where("n_shingles > 0")
     classes = stored(sound.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("n_shingles").alias("size")))
-    own = classes.join(families(prints), "set_id")
+    own = classes.join(families(signed), "set_id")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
     own = stored(own.select("set_id", F.coalesce("rep", F.lit(NOBODY)).alias("rep"), "family", "size", F.col("n").alias("copies")))
+    removed(signed)  # 8 bytes for each signature, which nothing reads from here on
     sizes = own.groupBy("family").agg(blocks.alias("g"), F.count("*").alias("members"))
     bitmap = spark.sparkContext.broadcast(_bitmap(own.select(F.xxhash64("rep").alias("h"))))
     dealt = join_hot(own, sizes, "family", own.count(), "members").where("members > 1").withColumn("own", F.pmod(F.xxhash64("set_id", F.lit(7)), F.col("g")).cast("int"))
@@ -457,7 +526,16 @@ def links(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs, with all their columns, without the rows that reach a document with
-    a smaller doc_id. Rows without a doc_id stay."""
-    gone = ngram_join(docs, words, percent, counts=False).where("component_id <> doc_id").select("doc_id").distinct()
-    name = "_" * (1 + max(map(len, docs.columns))) + "doc_id"  # longer than any column's
-    return docs.join(gone.withColumnRenamed("doc_id", name), F.col("doc_id").cast("long") == F.col(name), "left_anti")
+    a smaller doc_id. Rows without a doc_id stay. Only rows that a filter of those
+    that go lets through are shuffled."""
+    gone = stored(ngram_join(docs, words, percent, counts=False).where("component_id <> doc_id").select("doc_id").distinct())
+    free = "_" * (1 + max(map(len, docs.columns)))  # a prefix that no column has
+    key, at, bucket, bits = (free + c for c in ("doc_id", "at", "bucket", "bits"))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_ROWS * 32768))
+    doubt = gone.select(place("doc_id").alias("at")).groupBy(F.expr("at DIV 32768").alias(bucket)).agg(F.expr("bitmap_construct_agg(at % 32768)").alias(bits))
+    own = docs.withColumn(key, F.col("doc_id").cast("long"))
+    own = own.withColumn(at, place(key)).withColumn(bucket, F.expr(f"{at} DIV 32768")).join(F.broadcast(doubt), bucket, "left")  # 8 MB at most
+    byte = F.conv(F.hex(F.expr(f"substring({bits}, CAST({at} % 32768 DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    may_go = F.coalesce(byte.bitwiseAND(F.expr(f"shiftleft(1, CAST({at} % 8 AS INT))")) != 0, F.lit(False))
+    stay = own.where(may_go).join(gone.withColumnRenamed("doc_id", key).hint("merge"), key, "left_anti")
+    return own.where(~may_go).select(docs.columns).unionAll(stay.select(docs.columns))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -16,7 +19,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 def remove_intermediates(spark: SparkSession) -> None:
     """Delete all that this application stored; nothing that reads it can run after."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_top(spark))
+    _remove(spark, _top(spark))
+
+
+def removed(table: DataFrame) -> None:
+    """Delete one table that stored() returned; nothing that reads it can run after."""
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        _remove(table.sparkSession, folder)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -39,3 +52,12 @@ def stored(df: DataFrame, codec: str = "snappy") -> DataFrame:
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release() -> None:
+    """Give what was let go back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
