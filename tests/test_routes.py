@@ -446,3 +446,28 @@ def test_world_ships_no_edges(spark, monkeypatch):
     own.globals = frame([("poa_item", 0, 3)], "kind string, id int, dst long")
     asked = frame([(0, 0, 0, 0, 3)], "query_id long, profile_id int, seed long, start long, goal long")
     assert own.small and [r["cost"] for r in own.answers(asked, guided=True).collect()] == [30]
+
+
+def test_reach_holds_one_side(spark):
+    """What a node reaches, and what reaches it, with rings, against relaxation; a
+    search ahead makes no index of edges by their ends."""
+    rng, n = np.random.default_rng(5), 30
+    edges = [(int(a), int(b), int(w)) for a, b, w in zip(rng.integers(0, n, 45), rng.integers(0, n, 45), rng.integers(0, 90, 45), strict=True) if a != b]
+    rings, far = {4: 50, 11: 0, 20: 7}, {9: 40}
+    held = search.Graph(n, *(np.array(c) for c in zip(*edges, strict=True)), rings, far)
+    every = edges + [(a, b, w) for a in rings for b, w in rings.items() if a != b]
+
+    def relaxed(at, back):
+        best = {at: 0} if back else {v: c for v, c in far.items()} | {at: 0}
+        for _ in range(n):
+            for a, b, w in every:
+                u, v = (b, a) if back else (a, b)
+                if u in best and best[u] + w < best.get(v, best[u] + w + 1):
+                    best[v] = best[u] + w
+        return best
+
+    for at in (0, 4, 11, 17, 29):
+        assert dict(zip(*(x.tolist() for x in held.reach(at)), strict=True)) == relaxed(at, False)
+    assert "into" not in vars(held)
+    for at in (0, 4, 11, 17, 29):
+        assert dict(zip(*(x.tolist() for x in held.reach(at, back=True)), strict=True)) == relaxed(at, True)

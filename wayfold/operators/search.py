@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.fields import jitter
-from wayfold.operators.tables import stored
+from wayfold.operators.tables import release, stored
 
 #: Edges of which every task may hold the arrays (16 bytes each, three times).
 BROADCAST_EDGES = 10_000_000
@@ -46,16 +47,22 @@ def tick_jitter(seed: int, u: int, v: int) -> int:
 
 
 class Graph:
-    """Edges as arrays by source, and by destination; rings and globals apart."""
+    """Edges as arrays by source, and, once asked for, by destination; rings and
+    globals apart."""
 
     def __init__(self, n: int, src, dst, w, rings=(), globals_=()):
         self.n = n
         order = np.lexsort((w, dst, src))
         self.out = self._index(n, src[order], dst[order], w[order])
-        order = np.lexsort((w, src, dst))
-        self.into = self._index(n, dst[order], src[order], w[order])
         self.rings, self.globals = dict(rings), dict(globals_)
 
+    @cached_property
+    def into(self):
+        first, dst, w = self.out
+        src = np.repeat(np.arange(self.n, dtype=dst.dtype), np.diff(first))
+        order = np.lexsort((w, src, dst))
+        return self._index(self.n, dst[order], src[order], w[order])
+
     @staticmethod
     def _index(n, by, other, w):
         return np.searchsorted(by, np.arange(n + 1)), other, w
@@ -97,6 +104,38 @@ class Graph:
                         heapq.heappush(heap, (c, v))
         return best, done, FOUND if not left else NOT_FOUND, pops
 
+    def reach(self, node: int, back: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """All nodes that node reaches, by global teleports too (back: that reach
+        it, by no global teleport), and their costs. A ring is entered at its own
+        cost, so going back from a ring costs what that ring does."""
+        first, other, weight = self.into if back else self.out
+        first, best, rings = first.tolist(), [NO_WAY] * self.n, self.rings
+        best[node] = 0
+        heap = [(0, node)]
+        for v, g in () if back else self.globals.items():
+            if g < best[v]:
+                best[v] = g
+                heap.append((g, v))
+        heapq.heapify(heap)
+        while heap:
+            d, u = heapq.heappop(heap)
+            if d > best[u]:
+                continue
+            a, b = first[u], first[u + 1]
+            for v, w in zip(other[a:b].tolist(), weight[a:b].tolist(), strict=True):
+                if d + w < best[v]:
+                    best[v] = d + w
+                    heapq.heappush(heap, (d + w, v))
+            if u in rings:
+                for v, w in rings.items():
+                    c = d + (rings[u] if back else w)
+                    if c < best[v]:
+                        best[v] = c
+                        heapq.heappush(heap, (c, v))
+        costs = np.array(best, np.int64)
+        nodes = np.flatnonzero(costs < NO_WAY)
+        return nodes, costs[nodes]
+
     def _next(self, u: int, d: int, seed: int, back: bool = False) -> Iterator[tuple[int, int]]:
         """Neighbours of u and their costs by way of u, which costs d. back: the
         nodes that lead to u."""
@@ -242,13 +281,15 @@ class Landmarks:
         return cls(*out)
 
     @classmethod
-    def read(cls, rows: pd.DataFrame, n: int) -> Landmarks:
+    def read(cls, rows: pa.Table | pd.DataFrame, n: int) -> Landmarks:
         """From the rows of marked()."""
-        names = sorted(set(rows.key))
+        if isinstance(rows, pd.DataFrame):
+            rows = pa.Table.from_pandas(rows, preserve_index=False)
+        names = sorted({r["key"] for r in _parted(rows, "mark")})
         fw, bw = (np.full((len(names), n), -1, np.int64) for _ in range(2))
-        for r in rows.itertuples():
-            i, at = names.index(r.key), np.frombuffer(r.a, np.int32)
-            fw[i, at], bw[i, at] = np.frombuffer(r.b, np.int64), np.frombuffer(r.c, np.int64)
+        for r in _parted(rows, "mark"):
+            i, at = names.index(r["key"]), np.frombuffer(r["a"], np.int32)
+            fw[i, at], bw[i, at] = np.frombuffer(r["b"], np.int64), np.frombuffer(r["c"], np.int64)
         return cls(fw, bw)
 
     def scores(self, starts: list[int], goal: int) -> np.ndarray:
@@ -315,6 +356,17 @@ def _packed(rows: DataFrame, kind: str, a: str, b: str, c: str, profile: str = "
     return rows.select(F.expr(profile).cast("int").alias("profile_id"), F.expr(key).cast("long").alias("key"), *cells).mapInArrow(run, PARTS)
 
 
+def _parted(rows: pa.Table, kind: str) -> Iterator[dict]:
+    """key, a, b, c of the parts of a kind; arrays as they lie in the table."""
+    for batch in rows.to_batches():
+        for i in np.flatnonzero(np.array(batch.column("kind").to_pylist()) == kind).tolist():
+            yield {"key": batch.column("key")[i].as_py()} | {c: batch.column(c)[i].as_buffer() for c in "abc"}
+
+
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
+_NULLABLE = {pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype()}
+
+
 @dataclass
 class Parts:
     """Graphs of n nodes, one for each profile, as rows of PARTS. Rows without a
@@ -323,31 +375,30 @@ class Parts:
     n: int
     rows: DataFrame
 
-    def graph(self, rows: pd.DataFrame) -> Graph:
-        edge = rows[rows.kind == "edge"]
-        src, dst, w = (np.frombuffer(b"".join(edge[c]), t) for c, t in zip("abc", (np.int32, np.int32, np.int64), strict=True))
-        pairs = lambda kind: [x for r in rows[rows.kind == kind].itertuples() for x in zip(np.frombuffer(r.a, np.int32).tolist(), np.frombuffer(r.c, np.int64).tolist(), strict=True)]
-        return Graph(self.n, src, dst, w, pairs("ring"), pairs("global"))
+    def graph(self, rows: pa.Table) -> Graph:
+        column = lambda c, t: np.concatenate([np.zeros(0, t), *(np.frombuffer(r[c], t) for r in _parted(rows, "edge"))])
+        pairs = lambda kind: [x for r in _parted(rows, kind) for x in zip(np.frombuffer(r["a"], np.int32).tolist(), np.frombuffer(r["c"], np.int64).tolist(), strict=True)]
+        return Graph(self.n, column("a", np.int32), column("b", np.int32), column("c", np.int64), pairs("ring"), pairs("global"))
 
     def run(self, asked: DataFrame, f: Callable[[pd.DataFrame, Graph, Landmarks | None], pd.DataFrame], schema: str, marks: DataFrame | None = None) -> DataFrame:
         """f for the rows of asked of each profile_id and t, in one task, with the
-        profile's graph and the marks; each task gets its own copy of the rows."""
+        profile's graph and the marks; each task gets its own copy of the rows, in
+        Arrow, and makes nothing of them but the arrays that are searched."""
         rows = self.rows if marks is None else self.rows.unionByName(marks)
         tasks = asked.select(F.col("profile_id").cast("int").alias("_p"), F.col("t").alias("_t")).distinct()
         sent = rows.join(F.broadcast(tasks), F.coalesce("profile_id", "_p") == F.col("_p"))  # a row for each task
         sent = sent.select(F.col("_p").alias("profile_id"), F.col("_t").alias("t"), "kind", "key", "a", "b", "c")
-        n, made, none = self.n, self.graph, [c.split()[0] for c in schema.split(", ")]
+        n, made, marked_ = self.n, self.graph, marks is not None
+        out = pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in schema.split(", ")])
 
-        def run(own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-            if own.empty:
-                return pd.DataFrame(columns=none)
-            graph, read = made(held), None
-            if marked_:
-                read = Landmarks.read(held[held.kind == "mark"], n)
-            return f(own, graph, read)
+        def run(own: pa.Table, held: pa.Table) -> pa.Table:
+            release()  # what the group before it took
+            if not own.num_rows:
+                return out.empty_table()
+            found = f(own.to_pandas(types_mapper=_NULLABLE.get), made(held), Landmarks.read(held, n) if marked_ else None)
+            return pa.Table.from_pandas(found[out.names], out, preserve_index=False)
 
-        marked_ = marks is not None
-        return asked.groupBy("profile_id", "t").cogroup(sent.groupBy("profile_id", "t")).applyInPandas(run, schema)
+        return asked.groupBy("profile_id", "t").cogroup(sent.groupBy("profile_id", "t")).applyInArrow(run, schema)
 
     def __reduce__(self):
         return Parts, (self.n, None)  # tasks have no use for the table
@@ -507,10 +558,8 @@ def tables_of_distances(edges_by_profile: dict[int, Graph] | Parts, sources: Dat
     (or that reach it, if backward) with their cost: key, node, backward, cost."""
 
     def table(r, graph: Graph) -> pd.DataFrame:
-        if r.backward:
-            graph = _backward(graph)
-        _, done, _, _ = graph.search({int(r.node): 0}, {-1}, 0, not r.backward)
-        return pd.DataFrame({"key": r.key, "node": np.fromiter(done.keys(), np.int64, len(done)), "backward": bool(r.backward), "cost": np.fromiter(done.values(), np.int64, len(done))})
+        node, cost = graph.reach(int(r.node), bool(r.backward))
+        return pd.DataFrame({"key": r.key, "node": node, "backward": bool(r.backward), "cost": cost})
 
     if isinstance(edges_by_profile, Parts):
         # a task for each source, 200 at most
@@ -524,21 +573,3 @@ def tables_of_distances(edges_by_profile: dict[int, Graph] | Parts, sources: Dat
                 yield table(r, shared.value[int(r.profile_id)])
 
     return sources.repartition(max(1, min(200, sources.count()))).mapInPandas(run, DISTANCES)
-
-
-def _backward(graph: Graph) -> Graph:
-    """The reversed graph: a ring is entered at its own cost, so going back from
-    ring v costs what v costs, wherever it leads."""
-    out = Graph.__new__(Graph)
-    out.n, out.out, out.into, out.globals, out.rings = graph.n, graph.into, graph.out, {}, {}
-    if graph.rings:
-        nodes = np.fromiter(graph.rings, np.int64)
-        a, b = np.repeat(nodes, len(nodes)), np.tile(nodes, len(nodes))
-        w = np.repeat(np.fromiter(graph.rings.values(), np.int64), len(nodes))[a != b]
-        a, b = a[a != b], b[a != b]
-        first, other, weight = graph.into
-        by = np.repeat(np.arange(graph.n), np.diff(first))
-        made = Graph(graph.n, np.concatenate([by, a]), np.concatenate([other, b]), np.concatenate([weight, w]))
-        out.out, out.into = made.out, made.into
-    return out
-
