@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -157,6 +158,29 @@ def test_counted_signatures(spark, monkeypatch):
     assert sum(len(pa.compress(r, "lz4_raw", asbytes=True)) for _, r in runs) < 5 * len(many)
 
 
+def test_counting_holds_little(spark):
+    """A task packs its signatures in one Python worker, none fed by another, and
+    what it holds before it sends them takes less than 100 MB."""
+    frame = spark.createDataFrame([(i, bytearray(8 * i)) for i in range(4)], "set_id long, signatures binary")
+    plan = ngram_join._counted_signatures(frame)._jdf.queryExecution().sparkPlan()
+
+    def chained(node, fed=False):
+        own = node.nodeName() == "MapInArrow"
+        yield own and fed
+        below = own or fed and node.nodeName() in ("Project", "Filter")
+        for i in range(node.children().size()):
+            yield from chained(node.children().apply(i), below)
+
+    assert not any(chained(plan))
+    many = np.random.default_rng(3).integers(-(1 << 62), 1 << 62, ngram_join.SENT)
+    tracemalloc.start()
+    try:
+        assert sum(len(r) for _, r in ngram_join.packed(many)) == 4 * len(many)
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_one_of_each_shuffles_no_texts(spark, tmp_path):
     """Only rows that may go are joined; those of the rest keep their place."""
     text = lambda k: " ".join(f"w{k}x{j}" for j in range(30))

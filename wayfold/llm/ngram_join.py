@@ -45,7 +45,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -53,7 +53,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import WORD, removed, slices, sole_memo, stored, texts
+from wayfold.llm.common import WORD, release, removed, slices, sole_memo, stored, texts
 from wayfold.operators.components import connected, join_hot
 
 #: Ratio of neighbouring bounds of set sizes.
@@ -74,7 +74,7 @@ BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
 FILTER_BITS, FILTER_MOST = 24, 28
 #: Signatures are counted by COUNT_BITS of their bits, in buckets by the first of
 #: these; in a bucket, VALUE_BITS are left. A task holds so many before it sends them.
-COUNT_BITS, VALUE_BITS, SENT = 40, 28, 1 << 22
+COUNT_BITS, VALUE_BITS, SENT = 40, 28, 1 << 20
 MEMO_WORDS = 300_000
 #: Rows, of 4 KB, of the filter of documents that go.
 FILTER_ROWS = 2048
@@ -307,9 +307,10 @@ def _exploded(prints: DataFrame, bitmaps) -> DataFrame:
     order is by bitmaps, then by value, for all sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_memo("ngram_join, signatures", lambda: None)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at, rows in slices(batch, "signatures"):
+                part = batch.slice(at, rows)
                 raw = part.column("signatures").to_pylist()
                 h = np.frombuffer(b"".join(raw), np.int64)
                 own = np.repeat(part.column("set_id").to_numpy(), [len(x) // 8 for x in raw])
@@ -330,7 +331,8 @@ def packed(hashes: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """(bucket, run): the COUNT_BITS low bits of hashes, sorted, as differences of
     32 bits, of which all lowest bytes come first, then all second ones and so on,
     so that the zeros among the high ones lie together."""
-    low = np.sort(hashes.view(np.uint64) & np.uint64((1 << COUNT_BITS) - 1))
+    low = hashes.view(np.uint64) & np.uint64((1 << COUNT_BITS) - 1)
+    low.sort()
     bucket, value = (low >> np.uint64(VALUE_BITS)).astype(np.int64), (low & np.uint64((1 << VALUE_BITS) - 1)).astype("<u4")
     first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(low)])
     last = np.append(first, len(low))[1:]
@@ -355,35 +357,46 @@ def _counted_signatures(prints: DataFrame) -> DataFrame:
     again = stored(prints.groupBy(F.col("set_id").alias("h")).agg(F.count("*").alias("n")).where("n > 1").select("h"))
     bitmap = spark.sparkContext.broadcast(_bitmap(again))
 
-    def told(held: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(_held(bitmap.value, batch.column("set_id").to_numpy()) == held))
-
-        return prints.select("set_id", "signatures").mapInArrow(run, "set_id long, signatures binary")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def out() -> pa.RecordBatch:
-            runs = list(packed(np.concatenate([np.zeros(0, np.int64), *held])))
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in runs], pa.int64()), pa.array([r for _, r in runs], pa.binary())], ["bucket", "run"])
+    def told(batch: pa.RecordBatch, copies: bool) -> pa.RecordBatch:
+        return batch.filter(pa.array(_held(bitmap.value, batch.column("set_id").to_numpy()) == copies))
 
+    def copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_memo("ngram_join, signatures", lambda: None)
         for batch in batches:
-            for raw in batch.column("signatures").to_pylist():
-                held.append(np.frombuffer(raw, np.int64))
-                n += len(held[-1])
-                if n >= SENT:
-                    yield out()
-                    held, n = [], 0
-        yield out()
+            yield told(batch, True)
+
+    def pack(chosen: Callable[[pa.RecordBatch], pa.RecordBatch]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sole_memo("ngram_join, signatures", lambda: None)
+            held, n = [], 0
+
+            def out() -> pa.RecordBatch:
+                runs = list(packed(np.concatenate([np.zeros(0, np.int64), *held])))
+                return pa.RecordBatch.from_arrays([pa.array([b for b, _ in runs], pa.int64()), pa.array([r for _, r in runs], pa.binary())], ["bucket", "run"])
+
+            for batch in map(chosen, batches):
+                for at, rows in slices(batch, "signatures"):
+                    for raw in batch.column("signatures").slice(at, rows).to_pylist():
+                        held.append(np.frombuffer(raw, np.int64))
+                        n += len(held[-1])
+                        if n >= SENT:
+                            yield out()
+                            held, n = [], 0
+            yield out()
+            held = []
+            release()  # the worker waits for its next task with no more than it began with
+
+        return run
 
     def count(table: pa.Table) -> pa.Table:
         value, n = np.unique(np.concatenate([unpacked(r) for r in table.column("run").to_pylist()]), return_counts=True)
         h = value[n > 1] + (table.column("bucket")[0].as_py() << VALUE_BITS)
         return pa.table({"h": pa.array(h, pa.int64()), "n": pa.array(n[n > 1], pa.int64())})
 
-    runs = told(False).mapInArrow(pack, "bucket long, run binary").unionByName(told(True).dropDuplicates(["set_id"]).mapInArrow(pack, "bucket long, run binary"))
+    signed, sent = prints.select("set_id", "signatures"), "bucket long, run binary"
+    once = signed.mapInArrow(copied, "set_id long, signatures binary").dropDuplicates(["set_id"])
+    # one Python worker a task: those of each Python step in a stage run beside one another
+    runs = signed.mapInArrow(pack(lambda batch: told(batch, False)), sent).unionByName(once.mapInArrow(pack(lambda batch: batch), sent))
     return runs.groupBy("bucket").applyInArrow(count, "h long, n long")
 
 
