@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfold.functions import fields
-from wayfold.operators import abilities, chains, components, eligibility, graph, landmarks, routes, search, store, validate
+from wayfold.operators import abilities, chains, components, eligibility, graph, landmarks, mapped, routes, search, store, validate
 from wayfold.plans import queries
 from wayfold.plans.oracle import ORACLE
 from wayfold.plans.queries import QUERIES
@@ -471,3 +471,94 @@ def test_reach_holds_one_side(spark):
     assert "into" not in vars(held)
     for at in (0, 4, 11, 17, 29):
         assert dict(zip(*(x.tolist() for x in held.reach(at, back=True)), strict=True)) == relaxed(at, True)
+
+
+def wide(n, edges, own, rings, globals_):
+    """mapped.Wide of edges of all profiles and of one's own."""
+    def side(a, b):
+        by = np.array([e[a] for e in edges], np.int64)
+        order = np.argsort(by, kind="stable")
+        first = np.concatenate([[0], np.cumsum(np.bincount(by, minlength=n))])
+        cols = [np.array([e[k] for e in own], np.int64) for k in (a, b, 2)]
+        return mapped.Side(first, np.array([e[b] for e in edges], np.int32)[order], np.array([e[2] for e in edges], np.int64)[order], None, tuple(cols))
+
+    return mapped.Wide(n, side(0, 1), side(1, 0), rings, globals_)
+
+
+def test_mapped_searches_agree():
+    """Costs, counts of settled nodes and paths of searches by arrays are those of
+    searches with a heap, also where edges cost nothing or much the same."""
+    for k in range(12):
+        rng, n = np.random.default_rng(k), 40
+        step = (1, 40_000_000)[k % 2]
+        edges = [(int(a), int(b), int(w) * step) for a, b, w in zip(rng.integers(0, n, 90), rng.integers(0, n, 90), rng.integers(k % 3 // 2, 9, 90), strict=True) if a != b]
+        rings = [{}, {4: 2 * step, 11: 0, 20: 0, 31: 7 * step}][k % 4 > 0]
+        far = [{}, {8: 12 * step, 30: 9 * step}][k % 4 > 1]
+        plain, arrays = small(n, edges, rings.items(), far.items()), wide(n, edges[:60], edges[60:], rings, far)
+        for seed in (0, 3, 70001):
+            for start in (0, 4, 9, 11, 25, None):
+                sources, origin = (dict(far), False) if start is None else ({start: 0}, True)
+                if not sources:
+                    continue
+                _, every, _, reached = plain.search(sources, {-1}, seed, origin)
+                whole = arrays.costs(sources, None, seed, origin)
+                assert {v: int(whole[v]) for v in np.flatnonzero(whole < search.NO_WAY)} == every and reached == len(every)
+                for goal in range(0, n, 3):
+                    best = arrays.costs(sources, {goal}, seed, origin)
+                    _, done, status, pops = plain.search(sources, {goal}, seed, origin)
+                    assert (best[goal] < search.NO_WAY) == (status == "found")
+                    if status == "found":
+                        assert best[goal] == done[goal] and arrays.settled(best, sources, goal, seed, origin) == pops
+                        assert arrays.path(best, sources, goal, seed, origin) == plain.path(done, sources, goal, seed, origin)
+        bare = small(n, edges, rings.items())
+        for at in (0, 4, 20, 33):
+            for back in (False, True):
+                best = wide(n, edges[:60], edges[60:], rings, {}).costs({at: 0}, back=back)
+                node, cost = bare.reach(at, back)
+                assert dict(zip(node.tolist(), cost.tolist(), strict=True)) == {int(v): int(best[v]) for v in np.flatnonzero(best < search.NO_WAY)}
+
+
+def test_mapped_routes(spark, monkeypatch):
+    """Beyond the bound on shipped edges, routes, budgets and landmark tables come
+    from mapped files, in blocks, without a round of joins."""
+    rng, n = np.random.default_rng(8), 50
+    edges = [(int(a), int(b), int(w)) for a, b, w in zip(rng.integers(0, n, 110), rng.integers(0, n, 110), rng.integers(1, 900, 110), strict=True) if a != b]
+    frame = spark.createDataFrame
+    asked = frame([(i, (0, 2)[i % 2], (0, 77)[i % 3 % 2], None if i % 5 == 0 else (7 * i) % n, (11 * i) % n) for i in range(30)], "query_id long, profile_id int, seed long, start long, goal long")
+    own = World(spark, "")
+    pair = lambda rows: [(p, *r) for p in (0, 2) for r in rows[p:]]
+    own.__dict__.update(
+        n=n, walk=frame(edges[:70], "src long, dst long, w long"), macros=frame([(*e, "npc") for e in edges[70:]], "src long, dst long, cost long, kind string"),
+        macros_ok=frame(pair(edges[70:]), "profile_id int, src long, dst long, cost long"), rings=frame([(4, 50), (31, 0), (40, 7)], "node long, cost long"),
+        rings_ok=frame(pair([(4, 50), (31, 0), (40, 7)]), "profile_id int, node long, cost long"), globals_ok=frame(pair([(8, 2000), (20, 1500), (9, 900)]), "profile_id int, dst long, cost long"),
+        globals=frame([("poa_item", 0, 3), ("poa_item", 5, 44)], "kind string, id int, dst long"), nodes=frame([(k,) for k in range(n)], "id long"),
+    )
+    rows = lambda df: {tuple(str(v) for v in r) for r in df.collect()}
+
+    def got():
+        for name in ("bound_table", "marks"):
+            own.__dict__.pop(name, None)
+        graphs = own.by_profile if own.small else own.mapped
+        return [rows(own.answers(asked)), rows(own.bound_table.select("li", "node", "fw", "bw")), landmarks.farthest(own.reach, own.walk, own.macros, own.nodes, 3), *(rows(search.retried(asked, graphs, b)) for b in (3, 10))]
+
+    want = got()
+    monkeypatch.setattr(search, "BROADCAST_EDGES", 0)
+    for name in ("relaxed", "distances"):
+        monkeypatch.setattr(search, name, None)
+    for name in ("joined", "joined_tables", "bound_edges"):
+        monkeypatch.setattr(landmarks, name, None)
+    for block in (mapped.BLOCK, 16):
+        monkeypatch.setattr(mapped, "BLOCK", block)
+        for name in ("mapped", "bound_mapped"):
+            own.__dict__.pop(name, None)
+        assert got() == want
+    many = frame([(k, k + 1, 3 * k) for k in range(400)], "src long, dst long, w long")  # more weights than codes
+    graphs = search.mapped_parts(401, many, own.macros_ok.limit(0), own.rings_ok.limit(0), own.globals_ok.limit(0))
+    assert graphs.weights is None and search.route(frame([(0, 0, 0, 2, 399)], "query_id long, profile_id int, seed long, start long, goal long"), graphs).first()["cost"] == sum(3 * k for k in range(2, 399))
+
+
+def test_retries_of_one_id(spark):
+    """Rows that share a query's id are retried each for itself."""
+    g = {0: small(50, [(k, k + 1, 10) for k in range(49)])}
+    asked = spark.createDataFrame([(7, 0, 5, 0, 30), (7, 0, 5, 0, 40), (7, 0, 5, 0, 2)], "query_id long, profile_id int, seed long, start long, goal long")
+    assert sorted((r["goal"], r["status"]) for r in search.retried(asked, g, 12).collect()) == [(2, "found"), (30, "found"), (40, "found")]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions.fields import QUICK_TELEPORT_MS, TICKS
 from wayfold.operators.components import connected
-from wayfold.operators.search import BROADCAST_EDGES, Graph, Parts, distances, parts, tables_of_distances
+from wayfold.operators.search import BROADCAST_EDGES, Graph, Mapped, Parts, distances, mapped_parts, parts, tables_of_distances
 
 #: No node: where all rings meet in bound_edges().
 HUB = -1
@@ -43,12 +43,21 @@ def bound_graph(n: int, walk: DataFrame, macros: DataFrame, rings: DataFrame) ->
     return Graph(n, cat("src"), cat("dst"), cat("w"), zip(r.node.tolist(), r.w.tolist(), strict=True))
 
 
+def _bound(macros: DataFrame, rings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    own = lambda rows: rows.withColumn("profile_id", F.lit(0))
+    none = rings.where("false").select(F.lit(0).alias("profile_id"), F.col("node").alias("dst"), "cost")
+    return own(_cheapest(macros).withColumnRenamed("w", "cost")), own(rings.select("node", "cost")), none
+
+
+def bound_mapped(n: int, walk: DataFrame, macros: DataFrame, rings: DataFrame) -> Mapped:
+    """bound_parts() for files of the tasks' own."""
+    return mapped_parts(n, walk, *_bound(macros, rings))
+
+
 def bound_parts(n: int, walk: DataFrame, macros: DataFrame, rings: DataFrame) -> Parts:
     """bound_graph() without a row that passes the driver, as profile 0. Callers
     check the number of edges before."""
-    own = lambda rows: rows.withColumn("profile_id", F.lit(0))
-    none = rings.where("false").select(F.lit(0).alias("profile_id"), F.col("node").alias("dst"), "cost")
-    return parts(n, walk, own(_cheapest(macros).withColumnRenamed("w", "cost")), own(rings.select("node", "cost")), none)
+    return parts(n, walk, *_bound(macros, rings))
 
 
 def distance_tables(graph: Graph | Parts, landmarks: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ seed; its edges reach the tasks as arrays, which is done up to BROADCAST_EDGES
 edges: as rows of the shared folder (`Parts`), so that the driver holds none, or
 as graphs that a caller has made. `relaxed` gives the same answers by rounds of joins,
 without a bound on edges: each round moves every search one hop on, so it takes
-as many rounds as the longest path has hops. `distances` gives costs over given
-edges only.
+as many rounds as the longest path has hops. Between them, for graphs that fit
+into files of a task's own, `route` takes `mapped.Mapped`. `distances` gives costs
+over given edges only.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.fields import jitter
+from wayfold.operators.mapped import Mapped, Wide, mapped
+from wayfold.operators.mapped import dealt as dealt_to_tasks
 from wayfold.operators.tables import release, stored
 
 #: Edges of which every task may hold the arrays (16 bytes each, three times).
@@ -407,10 +410,19 @@ class Parts:
 def parts(n: int, walk: DataFrame, macros: DataFrame, rings: DataFrame, globals_: DataFrame) -> Parts:
     """graphs(), for any profiles, without a row that passes the driver. Callers
     check the number of edges before."""
+    own = _own_parts(macros, rings, globals_)
+    return Parts(n, stored(_packed(walk, "edge", "src", "dst", "w").unionByName(own)))
+
+
+def _own_parts(macros: DataFrame, rings: DataFrame, globals_: DataFrame) -> DataFrame:
     hops = macros.groupBy("profile_id", "src", "dst").agg(F.min("cost").alias("w"))
     ring = rings.groupBy("profile_id", "node").agg(F.min("cost").alias("w"))
-    tables = (_packed(walk, "edge", "src", "dst", "w"), _packed(hops, "edge", "src", "dst", "w", "profile_id"), _packed(ring, "ring", "node", "0", "w", "profile_id"), _packed(globals_, "global", "dst", "0", "cost", "profile_id"))
-    return Parts(n, stored(tables[0].unionByName(tables[1]).unionByName(tables[2]).unionByName(tables[3])))
+    return _packed(hops, "edge", "src", "dst", "w", "profile_id").unionByName(_packed(ring, "ring", "node", "0", "w", "profile_id")).unionByName(_packed(globals_, "global", "dst", "0", "cost", "profile_id"))
+
+
+def mapped_parts(n: int, walk: DataFrame, macros: DataFrame, rings: DataFrame, globals_: DataFrame) -> Mapped:
+    """parts() for files of the tasks' own. Callers check the number of edges before."""
+    return mapped(n, walk, _own_parts(macros, rings, globals_))
 
 
 def marked(table: DataFrame) -> DataFrame:
@@ -426,13 +438,49 @@ def tasks_a_profile(rows: DataFrame) -> int:
 ROUTES = "query_id long, profile_id int, seed long, start long, goal long, status string, cost long, pops long, path array<long>"
 
 
-def route(queries: DataFrame, by_profile: dict[int, Graph] | Parts, budget: int | None = None, marks: Landmarks | DataFrame | None = None, active: int | None = None) -> DataFrame:
+def _routed(queries: DataFrame, graphs: Mapped, budget: int | None) -> DataFrame:
+    """route() by mapped graphs."""
+    names = [c.split()[0] for c in ROUTES.split(", ")]
+    schema = pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in ROUTES.split(", ")])
+
+    def answer(own: Wide, asks: list[dict]) -> Iterator[tuple]:
+        start, seed, virtual = asks[0].get("start"), asks[0]["seed"], asks[0].get("start") is None
+        sources = dict(own.globals) if virtual else {start: 0}
+        goals = {a["goal"] for a in asks if a.get("goal") is not None}
+        best = own.costs(sources, goals, seed, not virtual)
+        place = {g: own.settled(best, sources, g, seed, not virtual) for g in goals if best[g] < NO_WAY}
+        needed = max(place.values(), default=0) if len(place) == len(goals) else int((best < NO_WAY).sum())
+        over = budget is not None and needed > budget
+        for a in asks:
+            goal = a.get("goal")
+            found = goal in place and not (over and place[goal] > budget)
+            state = FOUND if found else OVER_BUDGET if over else NOT_FOUND
+            yield a["query_id"], a["profile_id"], seed, start, goal, state, int(best[goal]) if found else None, budget if over else needed, own.path(best, sources, goal, seed, not virtual) if found else None
+
+    def run(asks: list[dict], graph: Callable[[int], Wide]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple, list[dict]] = {}
+        for a in asks:
+            groups.setdefault((a["profile_id"], a["seed"], -1 if a.get("start") is None else a["start"]), []).append(a)
+        own, held = None, None
+        for key in sorted(groups):
+            if key[0] != held:
+                own, held = graph(key[0]), key[0]
+            rows = list(answer(own, groups[key]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], names)
+
+    asked = queries.select("query_id", "profile_id", "seed", "start", "goal")
+    return graphs.run(dealt_to_tasks(asked, "profile_id", "seed", "start"), run, ROUTES)
+
+
+def route(queries: DataFrame, by_profile: dict[int, Graph] | Parts | Mapped, budget: int | None = None, marks: Landmarks | DataFrame | None = None, active: int | None = None) -> DataFrame:
     """queries: query_id, profile_id, seed, start and goal (node ids; a null start
     lies beside the graph and enters through any global teleport). Queries with
     the same start, profile and seed share a search, 200 goals at most. With
     marks (with Parts: marked() ones), searches for one goal are guided by the
     best `active` of them (all, if not said), which changes nothing but the nodes
-    that are settled."""
+    that are settled. With Mapped, no search is guided."""
+    if isinstance(by_profile, Mapped):
+        return _routed(queries, by_profile, budget)
 
     def answer(group: pd.DataFrame, graph: Graph, marks: Landmarks | None) -> pd.DataFrame:
         one = group.iloc[0]
@@ -467,11 +515,11 @@ def route(queries: DataFrame, by_profile: dict[int, Graph] | Parts, budget: int
     return dealt.drop("n").groupBy("profile_id", "seed", "start", "part").applyInPandas(run, ROUTES)
 
 
-def retried(queries: DataFrame, by_profile: dict[int, Graph] | Parts, budget: int) -> DataFrame:
+def retried(queries: DataFrame, by_profile: dict[int, Graph] | Parts | Mapped, budget: int) -> DataFrame:
     """Searches with a budget: what exceeds it is tried with four times as much,
     then without a seed. seed_dropped says that the last helped."""
     first = stored(route(queries, by_profile, budget))
-    over = lambda rows: queries.join(rows.where(F.col("status") == OVER_BUDGET).select("query_id"), "query_id")
+    over = lambda rows: rows.where(F.col("status") == OVER_BUDGET).select("query_id", "profile_id", "seed", "start", "goal")
     second = stored(route(over(first), by_profile, 4 * budget))
     third = stored(route(over(second).withColumn("seed", F.lit(0).cast("long")), by_profile, 4 * budget))
     keep = lambda rows: rows.where(F.col("status") != OVER_BUDGET)

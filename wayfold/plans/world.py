@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.operators import chains, components, eligibility, graph, landmarks, routes, search
+from wayfold.operators import chains, components, eligibility, graph, landmarks, mapped, routes, search
 from wayfold.operators.tables import stored
 from wayfold.sources import world as source
 
@@ -89,13 +89,25 @@ class World:
         return stored(routes.resolve(source.route_queries(self.spark, self.sf_dir), self.nodes))
 
     @cached_property
+    def size(self) -> int:
+        """Nodes or edges, whichever are more."""
+        return max(self.n, self.walk.count() + max(self.macros.count(), self.macros_ok.count()))
+
+    @property
     def small(self) -> bool:
         """Whether tasks may hold all edges."""
-        return max(self.n, self.walk.count() + max(self.macros.count(), self.macros_ok.count())) <= search.BROADCAST_EDGES
+        return self.size <= search.BROADCAST_EDGES
+
+    @property
+    def mappable(self) -> bool:
+        """Whether tasks may keep all edges in files."""
+        return self.size <= mapped.MAPPED_EDGES
 
     def answers(self, asked: DataFrame, guided: bool = False) -> DataFrame:
         if self.small:
             return search.route(asked, self.by_profile, marks=self.marks if guided else None)
+        if self.mappable:
+            return search.route(asked, self.mapped)
         return search.relaxed(asked, self.walk, self.macros_ok, self.rings_ok, self.globals_ok)
 
     @cached_property
@@ -104,6 +116,16 @@ class World:
             raise ValueError("more edges than a task may hold: use answers()")
         return search.parts(self.n, self.walk, self.macros_ok, self.rings_ok, self.globals_ok)
 
+    @cached_property
+    def mapped(self) -> mapped.Mapped:
+        if not self.mappable:
+            raise ValueError("more edges than a task may keep in files: use answers()")
+        return search.mapped_parts(self.n, self.walk, self.macros_ok, self.rings_ok, self.globals_ok)
+
+    @cached_property
+    def bound_mapped(self) -> mapped.Mapped:
+        return landmarks.bound_mapped(self.n, self.walk, self.macros, self.rings)
+
     @cached_property
     def bound_parts(self) -> search.Parts:
         return landmarks.bound_parts(self.n, self.walk, self.macros, self.rings)
@@ -113,12 +135,16 @@ class World:
         marks = self.globals.where("kind = 'poa_item'").select(F.col("id").alias("li"), F.col("dst").alias("node"))
         if self.small:
             return stored(landmarks.distance_tables(self.bound_parts, marks))
+        if self.mappable:
+            return stored(mapped.tables(self.bound_mapped, marks))
         return stored(landmarks.joined_tables(stored(landmarks.bound_edges(self.walk, self.macros, self.rings)), marks))
 
     @property
     def reach(self) -> landmarks.Reach:
         if self.small:
             return landmarks.searched(self.spark, self.bound_parts)
+        if self.mappable:
+            return lambda at: mapped.reached(self.bound_mapped, at)
         return landmarks.joined(self.spark, stored(landmarks.bound_edges(self.walk, self.macros, self.rings)))
 
     @cached_property
