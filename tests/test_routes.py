@@ -562,3 +562,22 @@ def test_retries_of_one_id(spark):
     g = {0: small(50, [(k, k + 1, 10) for k in range(49)])}
     asked = spark.createDataFrame([(7, 0, 5, 0, 30), (7, 0, 5, 0, 40), (7, 0, 5, 0, 2)], "query_id long, profile_id int, seed long, start long, goal long")
     assert sorted((r["goal"], r["status"]) for r in search.retried(asked, g, 12).collect()) == [(2, "found"), (30, "found"), (40, "found")]
+
+
+def test_mapped_components(spark, monkeypatch):
+    """Components by arrays are those by joins, in one step of FRONT nodes or many,
+    and landmarks chosen with them are the same."""
+    rng, n = np.random.default_rng(2), 60
+    edges = [(int(a), int(b), 5) for a, b in zip(rng.integers(0, n, 45), rng.integers(0, n, 45), strict=True) if a != b]
+    edges += [(b, a, w) for a, b, w in edges]
+    walk, nodes = spark.createDataFrame(edges, "src long, dst long, w long"), spark.range(n)
+    macros = spark.createDataFrame([(3, 40, 7, "npc"), (41, 2, 9, "npc"), (17, 55, 30, "npc")], "src long, dst long, cost long, kind string")
+    joined = {r["node"]: r["component"] for r in components.connected(walk.selectExpr("src AS a", "dst AS b")).collect()}
+    want = {k: joined.get(k, k) for k in range(n)}
+    for front in (mapped.FRONT, 7):
+        monkeypatch.setattr(mapped, "FRONT", front)
+        labels = mapped.components(n, walk)
+        assert {r["node"]: r["component"] for r in labels.collect()} == want
+    graphs = landmarks.bound_mapped(n, walk, macros, spark.createDataFrame([], "node long, cost long"))
+    reach = lambda at: mapped.reached(graphs, at)
+    assert landmarks.farthest(reach, walk, macros, nodes, 3) == landmarks.farthest(reach, walk, macros, nodes, 3, labels=labels)

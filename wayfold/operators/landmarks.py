@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wayfold.functions.fields import QUICK_TELEPORT_MS, TICKS
 from wayfold.operators.components import connected
 from wayfold.operators.search import BROADCAST_EDGES, Graph, Mapped, Parts, distances, mapped_parts, parts, tables_of_distances
+from wayfold.operators.tables import stored
 
 #: No node: where all rings meet in bound_edges().
 HUB = -1
@@ -89,12 +90,23 @@ def joined(spark: SparkSession, edges: DataFrame) -> Reach:
     return lambda at: distances(edges, spark.createDataFrame([(0, at, 0)], "source long, node long, cost long")).where(F.col("node") != HUB).select("node", F.col("cost").alias("d"))
 
 
-def farthest(reach: Reach, walk: DataFrame, macros: DataFrame, nodes: DataFrame, k: int, largest: int = 4096) -> list[int]:
+def _labels(walk: DataFrame, macros: DataFrame, nodes: DataFrame) -> DataFrame:
+    edges = walk.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(macros.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return nodes.select("id").join(connected(edges).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def farthest(reach: Reach, walk: DataFrame, macros: DataFrame, nodes: DataFrame, k: int, largest: int = 4096, labels: DataFrame | None = None) -> list[int]:
     """k landmarks: from the lowest node of the largest component on, each is
     the node farthest from those before (unreached ones first, then the lowest
-    id), in components that are large enough. Each needs the ones before it."""
-    edges = walk.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(macros.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    label = nodes.select("id").join(connected(edges).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    id), in components that are large enough. Each needs the ones before it. labels: node, component by
+    walk alone, where they are known."""
+    if labels is None:
+        label = _labels(walk, macros, nodes)
+    else:
+        of = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_comp"))
+        pairs = macros.select("src", "dst").join(of("src"), "src").join(of("dst"), "dst").where("src_comp <> dst_comp")
+        joint = connected(pairs.select(F.col("src_comp").alias("a"), F.col("dst_comp").alias("b")).distinct()).select(F.col("node").alias("c"), F.col("component").alias("joint"))
+        label = stored(labels.withColumnRenamed("component", "c").join(joint, "c", "left").select(F.col("node").alias("id"), F.coalesce("joint", "c").alias("component")))
     sizes = label.groupBy("component").agg(F.count("*").alias("n"))
     top = sizes.orderBy(F.desc("n"), "component").first()
     if top is None:

@@ -321,7 +321,7 @@ class Mapped:
         return Mapped, (self.n, None, self.weights, self.places, self.totals)  # tasks have no use for the table
 
 
-def mapped(n: int, walk: DataFrame, own: DataFrame) -> Mapped:
+def mapped(n: int, walk: DataFrame, own: DataFrame | None, sides: tuple[str, ...] = ("out", "into")) -> Mapped:
     """walk: src, dst, w, the edges of all profiles; own: PARTS of the profiles'
     own edges, rings and globals. No row passes the driver but the number of
     edges of every block."""
@@ -340,7 +340,13 @@ def mapped(n: int, walk: DataFrame, own: DataFrame) -> Mapped:
 
         return walk.select(F.expr(f"{near} DIV {BLOCK}").cast("long").alias("key"), F.col(near).cast("int").alias("near"), F.col(far).cast("int").alias("far"), F.col("w").cast("long").alias("w")).groupBy("key").applyInArrow(pack, PARTS)
 
-    rows = stored(side("out", "src", "dst").unionByName(side("into", "dst", "src")).unionByName(own))
+    made = [side("out", "src", "dst")] if "out" in sides else []
+    made += [side("into", "dst", "src")] if "into" in sides else []
+    made += [own] if own is not None else []
+    rows = made[0]
+    for more in made[1:]:
+        rows = rows.unionByName(more)
+    rows = stored(rows)
     sizes = rows.where("kind IN ('out', 'into')").select("kind", "key", F.expr("octet_length(b) DIV 4").alias("n")).orderBy("kind", "key").collect()
     places, totals = {}, {"out": 0, "into": 0}
     for r in sizes:
@@ -392,3 +398,34 @@ def reached(graphs: Mapped, at: int) -> DataFrame:
             yield from _batches(schema, [node, d[node]])
 
     return graphs.run(graphs.rows.sparkSession.createDataFrame([(at, 0)], "at long, p int"), run, "node long, d long", ("out",))
+
+
+def components(n: int, walk: DataFrame) -> DataFrame:
+    """node, component: the smallest node that walking connects it with, either
+    way. One task; for nodes 0 to n - 1, also those without an edge."""
+    schema = pa.schema([("node", pa.int64()), ("component", pa.int64())])
+
+    def run(asks: list[dict], graph: Callable[[int], Wide]) -> Iterator[pa.RecordBatch]:
+        low, side = np.arange(n, dtype=np.int32), graph(0).out
+        while asks:
+            before = low.copy()
+            for at in range(0, n, FRONT):
+                nodes = np.arange(at, min(n, at + FRONT))
+                i, v, _ = side.of(nodes)
+                a, b = low[nodes[i]], low[v]
+                apart = a != b
+                a, b = a[apart], b[apart]
+                np.minimum.at(low, np.maximum(a, b), np.minimum(a, b))
+            while True:
+                further = low[low]
+                if (further == low).all():
+                    break
+                low = further
+            if (before == low).all():
+                break
+        for at in range(0, n if asks else 0, OUT_ROWS):
+            part = low[at : at + OUT_ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), pa.array(part.astype(np.int64))], schema=schema)
+
+    graphs = mapped(n, walk, None, ("out",))
+    return graphs.run(walk.sparkSession.range(1).selectExpr("CAST(0 AS INT) AS p"), run, "node long, component long", ("out",))

@@ -81,6 +81,8 @@ class World:
 
     @cached_property
     def labels(self) -> DataFrame:
+        if search.BROADCAST_EDGES < max(self.n, self.walk.count()) <= mapped.MAPPED_EDGES:
+            return stored(mapped.components(self.n, self.walk))
         found = components.connected(self.walk.select(F.col("src").alias("a"), F.col("dst").alias("b")))
         return stored(self.nodes.select(F.col("id").alias("node")).join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
 
